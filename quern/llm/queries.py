@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.bpe import bpe_round_trip
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.language_id import language_id
+from quern.llm.quality import fit_quality, score_quality
+from quern.llm.secrets import joined, of_kind, secret_scan
 from quern.llm.token_output import token_files
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +26,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def fold(n: int) -> Column:
+    """crc32(doc_id as text) mod n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = language_id(table(spark, sf_dir, "documents"), fold(3) != 1)
+    return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), crc=True)
 
@@ -30,6 +44,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digest=True)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), fold(4) != 2))
+    return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan(table(spark, sf_dir, "documents"))
+    n = [F.size(of_kind(F.col("found"), o)).cast("long").alias(f"n_{k}") for o, k in enumerate(("assign", "access", "hex"))]
+    base = joined(F.filter("found", lambda x: x["o"] < 3))
+    return got.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
