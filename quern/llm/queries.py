@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import bpe_round_trip
+from quern.llm.decontaminate import benchmark_leaks
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.language_id import language_id
+from quern.llm.lm import lm_scores
 from quern.llm.quality import fit_quality, score_quality
 from quern.llm.secrets import joined, of_kind, secret_scan
 from quern.llm.token_output import token_files
@@ -50,6 +52,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secret_scan(table(spark, sf_dir, "documents"))
     n = [F.size(of_kind(F.col("found"), o)).cast("long").alias(f"n_{k}") for o, k in enumerate(("assign", "access", "hex"))]
@@ -57,6 +63,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm_scores(table(spark, sf_dir, "documents"), fold(7) != 2)
+    return got.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
