@@ -97,7 +97,6 @@ class WordBpe:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-        self.known: dict[bytes, np.ndarray] = {}
 
     def lowered(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
@@ -105,6 +104,8 @@ class WordBpe:
 
     def units(self, text: str) -> list[int | bytes]:
         """Special ids and the UTF-8 of words, in order."""
+        if text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+            return [text.encode()]
         out: list[int | bytes] = []
         for part in self.split_special.split(text) if "<|" in text else [text]:
             if part in self.special:
@@ -184,13 +185,11 @@ class WordBpe:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         units = [self.units(t) for t in texts]
-        todo = list({u for us in units for u in us if not isinstance(u, int) and u not in self.known})
-        if len(self.known) + len(todo) > CACHE_WORDS:
-            self.known.clear()
-            todo = list({u for us in units for u in us if not isinstance(u, int)})
-        self.known.update(zip(todo, self.encode_words(todo), strict=True))
+        words = list({u for us in units for u in us if not isinstance(u, int)})
+        ids: dict = dict(zip(words, self.encode_words(words), strict=True))
+        ids.update((i, np.array([i], np.uint32)) for i in self.special.values())
         empty = np.empty(0, np.uint32)
-        return [np.concatenate([np.array([u], np.uint32) if isinstance(u, int) else self.known[u] for u in us]) if us else empty for us in units]
+        return [ids[us[0]] if len(us) == 1 else np.concatenate([ids[u] for u in us]) if us else empty for us in units]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0].tolist()
@@ -200,16 +199,42 @@ class WordBpe:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+#: What may follow a word's letters and is a piece of its own; no apostrophe and no angle bracket.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def core_of(part: str) -> tuple[str, str] | None:
+    """A part's letters, lower-cased, and what follows them, if it is no more than that and lower-casing is letter by letter."""
+    letters = part.rstrip(TAIL)
+    if not letters.isalpha():
+        return None
+    if not letters.isascii() and ("\u03a3" in letters or not unicodedata.is_normalized("NFC", part)):
+        return None
+    low = letters.lower()
+    return (low, part[len(letters) :]) if low.isalpha() else None
+
+
 class TextBpe:
     """Whole texts by their space-separated parts, each encoded once while it is cached.
 
-    No rule of the tokenizer looks across a space or a line feed, so a text's ids are those of its parts in order.
+    No rule of the tokenizer looks across a space or a line feed, or joins letters with what is none, so a text's ids are
+    those of its parts in order, and a part's those of its letters and of what follows them.
     """
 
     def __init__(self, encode_many, decode=None, most: int = CACHE_WORDS):
         self.encode_many, self.decode, self.most = encode_many, decode, most
         self.ids: dict[str, bytes] = {"": b""}
         self.text: dict[str, str] = {"": ""}
+        self.core_ids: dict[str, bytes] = {"": b""}
+        self.core_text: dict[str, str] = {"": ""}
+
+    def _encode_cores(self, cores: list[str]) -> None:
+        for start in range(0, len(cores), 50_000):
+            some = cores[start : start + 50_000]
+            for core, ids in zip(some, self.encode_many(some), strict=True):
+                self.core_ids[core] = ids.tobytes()
+                if self.decode:
+                    self.core_text[core] = " " + self.decode(ids.tolist()) if len(ids) else ""
 
     def parts(self, texts: list[str]) -> list[list[str]]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
@@ -217,19 +242,24 @@ class TextBpe:
         if len(self.ids) + len(todo) > self.most:
             self.ids, self.text = {"": b""}, {"": ""}
             todo = set().union(*parts) - {""}
-        todo = list(todo)
-        for start in range(0, len(todo), 50_000):
-            some = todo[start : start + 50_000]
-            for part, ids in zip(some, self.encode_many(some), strict=True):
-                self.ids[part] = ids.tobytes()
-                if self.decode:
-                    self.text[part] = " " + self.decode(ids.tolist()) if len(ids) else ""
+        split = [(p, core_of(p) or (p, "")) for p in todo]
+        cores = {x for _, pair in split for x in pair} - self.core_ids.keys()
+        if len(self.core_ids) + len(cores) > self.most:
+            self.core_ids, self.core_text = {"": b""}, {"": ""}
+            cores = {x for _, pair in split for x in pair} - {""}
+        self._encode_cores(list(cores))
+        ids, text = self.core_ids, self.core_text
+        for p, (core, tail) in split:
+            self.ids[p] = ids[core] + ids[tail]
+            if self.decode:
+                self.text[p] = text[core] + text[tail]
         return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        parts = self.parts(texts)
         get = self.ids.__getitem__
-        return [b"".join(map(get, p)) for p in self.parts(texts)]
+        return [b"".join(map(get, p)) for p in parts]
 
     def round_trip(self, texts: list[str]) -> list[tuple[bytes, str]]:
         parts = self.parts(texts)

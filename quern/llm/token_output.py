@@ -28,6 +28,8 @@ from quern.llm.bpe import TextBpe
 
 MAGIC = b"QDAC0001"
 BLOCK = 8  # 64-bit words in a block of the rank directory
+#: Parts that a worker keeps the ids of (about 250 bytes each).
+CACHE_PARTS = 1_200_000
 #: Ids after which a file is closed (a longer document still has one file).
 FILE_IDS = 4_000_000
 
@@ -136,7 +138,7 @@ def library_encoder(vocabulary: str) -> TextBpe:
         t = Tokenizer.from_file(vocabulary)
         t.no_truncation()
         t.no_padding()
-        _ENCODERS[vocabulary] = TextBpe(lambda parts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(parts, add_special_tokens=False)])
+        _ENCODERS[vocabulary] = TextBpe(lambda parts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(parts, add_special_tokens=False)], most=CACHE_PARTS)
     return _ENCODERS[vocabulary]
 
 
