@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm.bpe import bpe_round_trip
 from quern.llm.decontaminate import benchmark_leaks
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.jaccard_join import similar_sets
 from quern.llm.language_id import language_id
 from quern.llm.lm import lm_scores
 from quern.llm.quality import fit_quality, score_quality
@@ -52,6 +53,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
