@@ -16,6 +16,7 @@ from quern.llm.language_id import language_id
 from quern.llm.lm import lm_scores
 from quern.llm.quality import fit_quality, score_quality
 from quern.llm.secrets import joined, of_kind, secret_scan
+from quern.llm.substring_dedup import remove_repeats
 from quern.llm.token_output import token_files
 
 WORD_BPE = "word_bpe_49k.json"
@@ -61,6 +62,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secret_scan(table(spark, sf_dir, "documents"))
     n = [F.size(of_kind(F.col("found"), o)).cast("long").alias(f"n_{k}") for o, k in enumerate(("assign", "access", "hex"))]
