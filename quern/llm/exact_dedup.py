@@ -46,3 +46,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = seen.select("sha", "doc_id", "keep", "c").union(rest)
     keep = F.coalesce("keep", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those whose text another row with a smaller id has; null ids are not dropped."""
+    gone = exact_dedup(docs, id_col, text_col, digest_all=False).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

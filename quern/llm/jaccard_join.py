@@ -353,3 +353,9 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     named = ids.join(one, "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
     full = table.select("doc_id", "n", "digest").join(named, "digest", "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, of which each component's least id stays; rows with a null id are not dropped."""
+    gone = similar_sets(docs, k, num, den, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -215,3 +215,17 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores `threshold` or more; all rows without a model. One pass, no shuffle."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [model.score(texts) for _, texts in docs_of(pa.RecordBatch.from_arrays([batch.column(at)] * 2, names=["x", "y"]))]
+            if score:
+                yield batch.filter(pa.array(np.concatenate(score) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs
