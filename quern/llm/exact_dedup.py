@@ -36,13 +36,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes = keys.join(lengths, "n", "left_semi").groupBy("n", "ph").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n", "ph")
     left = keys.join(prefixes, ["n", "ph"], "left_semi")
     if not digest_all:
-        left = work_table(spark, base.join(left.select("doc_id"), "doc_id", "left_semi").select("doc_id", digest.alias("sha")), "exact-left")
+        some = left.select(F.col("doc_id").alias("id")).distinct()
+        left = work_table(spark, base.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", digest.alias("sha")), "exact-left")
     groups = left.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1")
     if digest_all:
         out = keys.select("doc_id", "sha").join(groups, "sha", "left")
     else:
         seen = left.join(groups, "sha", "left")
-        rest = keys.join(left.select("doc_id"), "doc_id", "left_anti").select(F.lit(None).cast("binary").alias("sha"), "doc_id", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("long").alias("c"))
+        rest = keys.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(F.lit(None).cast("binary").alias("sha"), "doc_id", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("long").alias("c"))
         out = seen.select("sha", "doc_id", "keep", "c").union(rest)
     keep = F.coalesce("keep", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
