@@ -32,3 +32,10 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["ir_metrics_query"](spark, sf_dir)
+
+
+def _load() -> None:
+    from quern.plans import labels, matching, retrieval, sampling, stats, structure, text  # noqa: F401
+
+
+_load()
