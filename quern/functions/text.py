@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANK = r"[ \t]"
 #: White space in Unicode's sense.
@@ -171,7 +172,7 @@ def stable_id(code: Column, *parts: Column) -> Column:
     return F.coalesce(nullable(code), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_text(text: pd.Series) -> pd.Series:
     """Tags as spaces, entities, compatibility forms composed, lower case, white space as one space."""
     cleaned = text.str.replace(r"<[^>]+>", " ", regex=True)

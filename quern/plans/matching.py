@@ -1 +1,145 @@
+"""Queries over terms: lexical scores, dictionary matches, cascades."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import matching as M
+from quern.operators.lexical import bm25 as scores
+from quern.operators.validate import all_failing
+from quern.operators.vectors import top
+from quern.plans.catalog import query
+from quern.tables import load
+
+TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 2)"
+BM25 = f"""
+WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (SELECT item_id AS query_id, list_slice({TOKENS}, 1, 8) AS t FROM benchmark),
+n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), qt AS (SELECT query_id, token, count(*) AS qf FROM (SELECT query_id, unnest(t) AS token FROM q) GROUP BY ALL),
+tf AS (SELECT token, doc_id, n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM d) WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score
+      FROM tf JOIN df USING (token) JOIN qt USING (token), n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+"""
+
+
+def scored(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 8).alias("tokens"))
+    return scores(q, docs)
+
+
+@query(BM25 + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def bm25(spark, sf_dir):
+    return top(scored(spark, sf_dir), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
+
+
+@query(BM25 + """, u AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id % 4 <> query_id % 4)
+SELECT query_id, doc_id, score, rank FROM u WHERE rank <= 5""")
+def bm25_unseen(spark, sf_dir):
+    seen = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("m"))
+    pooled = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("m")).join(seen, "m").drop("m")
+    return top(scored(spark, sf_dir).join(pooled, ["query_id", "doc_id"], "left_anti"), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
+
+
+@query("""
+WITH c AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6))[1:5] AS concepts FROM benchmark),
+c2 AS (SELECT item_id, unnest(concepts) AS concept FROM (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6)))[1:5] AS concepts FROM benchmark)),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9가-힣]+')) AS concept FROM documents)
+SELECT item_id, doc_id, count(*) AS coverage FROM c2 JOIN t USING (concept) GROUP BY ALL HAVING count(*) >= 2
+""")
+def concept_coverage(spark, sf_dir):
+    c = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text"), 6))), 1, 5)).alias("concept"))
+    t = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 1))).alias("concept"))
+    return c.join(t, "concept").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("coverage")).where("coverage >= 2")
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT unnest({TOKENS}) AS key FROM benchmark WHERE item_id < 20), t AS (SELECT doc_id, lang, unnest({TOKENS}) AS key FROM documents)
+SELECT key, count(DISTINCT doc_id) AS docs, count(*) AS occurrences, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es,
+       row_number() OVER (ORDER BY count(DISTINCT doc_id) DESC, count(*) DESC, -length(key), key) AS place FROM t JOIN k USING (key) GROUP BY key
+""")
+def term_stats(spark, sf_dir):
+    k = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(T.tokens(F.col("text"))).alias("key")).distinct()
+    t = load(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("key")).join(k, "key", "left_semi")
+    per_doc = t.groupBy("key", "doc_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("en", "fr", "de", "es")]
+    g = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("occurrences"), *langs)
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("docs"), F.desc("occurrences"), -F.length("key"), "key")))  # a row a term of the dictionary
+
+
+@query("""
+WITH s AS (SELECT event_id AS id, user_id, CAST(floor(epoch(ts)) AS BIGINT) % 1000 AS a FROM events), sp AS (SELECT id, user_id, a AS "start", a + 5 + id % 20 AS "end" FROM s WHERE id % 5 = 0),
+tk AS (SELECT user_id, a - a % 10 AS t0, a - a % 10 + 10 AS t1, CASE WHEN a % 20 < 10 THEN 'N' ELSE 'V' END AS tag FROM s WHERE id % 5 <> 0 GROUP BY ALL),
+j AS (SELECT sp.id, sp.user_id, "start", "end", count(t0) AS n, min(t0) AS f, max(t1) AS l, arg_max(tag, (t1, tag)) AS tag FROM sp LEFT JOIN tk ON sp.user_id = tk.user_id AND "start" < t1 AND t0 < "end" GROUP BY ALL)
+SELECT id AS span_id, CASE WHEN n = 0 THEN 'no_token' WHEN f <> "start" OR l <> "end" THEN 'not_aligned' WHEN tag NOT IN ('N') THEN 'wrong_tag' END AS reason FROM j
+""")
+def span_align(spark, sf_dir):
+    s = load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"), (F.unix_timestamp("ts") % 1000).alias("a"))
+    spans = s.where("event_id % 5 = 0").select("event_id", "id", F.col("a").alias("start"), (F.col("a") + 5 + F.col("event_id") % 20).alias("end"))
+    low = F.col("a") - F.col("a") % 10
+    tokens = s.where("event_id % 5 <> 0").select("id", low.alias("start"), (low + 10).alias("end"), F.when(F.col("a") % 20 < 10, "N").otherwise("V").alias("tag")).distinct()
+    return M.align(spans, tokens, ["N"]).select(F.col("event_id").alias("span_id"), "reason")
+
+
+@query("""
+WITH h AS (SELECT doc_id, CAST(contains(text, 'licens') AS INT) + CAST(contains(text, 'rights') AS INT) AS a, CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'que') AS INT) + CAST(contains(text, 'und') AS INT) AS b FROM documents)
+SELECT doc_id, CASE WHEN a >= 1 AND b >= 2 THEN 'mixed' WHEN a >= 1 THEN 'strong_for' WHEN b >= 2 THEN 'strong_against' ELSE 'neutral' END AS signal FROM h
+""")
+def keyword_diagnosis(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", M.group_signal(F.col("text"), ["licens", "rights"], ["the", "que", "und"]).alias("signal"))
+
+
+@query("""
+WITH t AS (SELECT item_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+k AS (SELECT *, lower(regexp_replace(term, '[.,]', '', 'g')) AS key FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY item_id, pos) AS n FROM k)
+SELECT item_id, pos, term, array_to_string(list_filter([CASE WHEN length(term) < 3 THEN 'short' END, CASE WHEN regexp_matches(term, '[0-9]') THEN 'digit' END, CASE WHEN regexp_matches(term, '[.,]$') THEN 'punctuation' END,
+       CASE WHEN n > 1 THEN 'duplicate_key' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r
+""")
+def noise_filter(spark, sf_dir):
+    t = load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "term")).withColumn("pos", F.col("pos") + 1)
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy(F.lower(F.regexp_replace("term", "[.,]", ""))).orderBy("item_id", "pos")))
+    rules = [("short", F.length("term") < 3), ("digit", F.col("term").rlike("[0-9]")), ("punctuation", F.col("term").rlike("[.,]$")), ("duplicate_key", F.col("n") > 1)]
+    return t.select("item_id", "pos", "term", F.array_join(all_failing(rules), ",").alias("reasons"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), p AS (SELECT DISTINCT p_name || ' ' || p_type AS parent FROM part)
+SELECT parent, key FROM p JOIN k ON contains(parent, key) AND parent <> key AND length(key) >= 2
+""")
+def substring_join(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    keys = part.select(F.explode(F.split("p_name", " ")).alias("key")).where("length(key) >= 2").distinct()
+    parents = part.select(F.row_number().over(Window.orderBy(F.col("p_name"), F.col("p_type"))).cast("long").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("parent")).dropDuplicates(["parent"])
+    found = M.match_terms(parents, keys, "id", "parent", longest=False)
+    return found.select("id", "key").distinct().join(parents, "id").where("parent <> key").select("parent", "key")
+
+
+@query()
+def longest_spans(spark, sf_dir):
+    terms = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(T.tokens(F.col("text"), 4)).alias("key"))
+    return M.match_terms(load(spark, sf_dir, "documents").withColumn("text", F.lower("text")), terms)
+
+
+@query("""
+SELECT conv_id, turn, array_to_string(list_filter(range(0, greatest(length(text) - 1, 0)), lambda i: substring(text, CAST(i AS INT) + 1, 2) = 'en'), ',') AS places FROM conversations WHERE length(text) >= 2
+""")
+def overlapping_occurrences(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").where("length(text) >= 2").select("conv_id", "turn", F.array_join(M.occurrences(F.col("text"), "en"), ",").alias("places"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_size > 45 THEN 'excluded' WHEN p_type = 'ECONOMY' AND p_size < 10 THEN 'ready' WHEN p_brand = 'Brand#1' THEN 'review' ELSE 'lookup' END AS status,
+       p_size <= 45 AND (p_type = 'ECONOMY' AND p_size < 10) AS ready,
+       (CASE WHEN p_type = 'ECONOMY' THEN 100 ELSE 60 END) + (CASE p_brand WHEN 'Brand#1' THEN 30 WHEN 'Brand#2' THEN 18 ELSE 0 END) + least(3 * (p_size % 10), 24) AS score FROM p
+""")
+def status_cascade(spark, sf_dir):
+    size, kind, brand = F.col("p_size"), F.col("p_type"), F.col("p_brand")
+    ready = (kind == "ECONOMY") & (size < 10)
+    status = F.when(size > 45, "excluded").when(ready, "ready").when(brand == "Brand#1", "review").otherwise("lookup")
+    score = F.when(kind == "ECONOMY", 100).otherwise(60) + F.when(brand == "Brand#1", 30).when(brand == "Brand#2", 18).otherwise(0) + F.least(3 * (size % 10), F.lit(24))
+    return load(spark, sf_dir, "part").select("p_partkey", status.alias("status"), ((size <= 45) & ready).alias("ready"), score.alias("score"))
