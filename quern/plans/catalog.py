@@ -35,7 +35,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from quern.plans import labels, matching, retrieval, review, sampling, stats, structure, text  # noqa: F401
+    from quern.plans import labels, matching, records, retrieval, review, sampling, stats, structure, text  # noqa: F401
 
 
 _load()
