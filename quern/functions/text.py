@@ -75,11 +75,11 @@ def found_terms(text: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
-def excerpt(text: Column, term: Column, most: int) -> Column:
-    """Up to `most` characters about the first place of a term, with ... where it is cut; from the start if it has none."""
-    at = F.greatest(F.instr(text, term) - 1 - min(70, most // 3), F.lit(0))
-    body = F.substring(text, at + 1, F.lit(most))
-    return F.concat(F.when(at > 0, "...").otherwise(""), F.trim(body), F.when(at + most < F.length(text), "...").otherwise(""))
+def excerpt(text: Column, terms: list[str], most: int) -> Column:
+    """`most` characters from somewhat before the first place of any term, with ... where cut; from the start if there is none."""
+    places = F.filter(F.transform(F.array(*map(F.lit, terms)), lambda t: F.instr(text, t)), lambda i: i > 0)
+    at = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - 1 - min(70, most // 3), F.lit(0))
+    return F.concat(F.when(at > 0, "...").otherwise(""), F.substring(text, at + 1, F.lit(most)), F.when(at + most < F.length(text), "...").otherwise(""))
 
 
 def in_context(text: Column, start: Column, end: Column, radius: int = 45) -> Column:
@@ -130,20 +130,23 @@ def year_of(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "^([0-9]{4})", 1), F.lit("")).cast("int")
 
 
-#: Years of the older national calendar in case numbers, and what they are ahead by.
-OLD_YEARS, AHEAD = (3000, 9999), 2333
+#: What years of the older national calendar are ahead by.
+AHEAD = 2333
 
 
 def case_number(text: Column) -> Column:
-    """A case number without white space; a year of the older calendar in the common one."""
+    """A case number without white space; of a plain one whose year (3000 to 9999) is of the older calendar, in the common one."""
     t = _sub(text, rf"{WIDE}+", "")
-    year = F.regexp_extract(t, "^([0-9]{4})", 1).try_cast("int")
-    return F.when(year.between(*OLD_YEARS), F.concat((year - AHEAD).cast("string"), F.substring(t, 5, 1_000_000))).otherwise(t)
+    year = F.regexp_extract(t, "^([3-9][0-9]{3})[가-힣]+[0-9]+$", 1)
+    return F.when(year != "", F.concat((year.try_cast("int") - AHEAD).cast("string"), F.substring(t, 5, 1_000_000))).otherwise(t)
 
 
 def case_parts(text: Column) -> Column:
-    """(year, code, serial) of year digits, a code of letters, and the rest; two-digit years below 30 are of the 2000s."""
-    p = "^([0-9]{4}|[0-9]{2})([A-Za-z가-힣]+)([0-9].*)$"
+    """(year, code, serial) of a plain case number: two to four digits, Hangul, digits; short years below 30 are of the 2000s.
+
+    Of any other text the year is null and the rest is empty.
+    """
+    p = "^([0-9]{2,4})([가-힣]+)([0-9]+)$"
     y = F.regexp_extract(text, p, 1)
     n = F.nullif(y, F.lit("")).cast("int")
     year = F.when(F.length(y) == 4, n).when(n < 30, 2000 + n).otherwise(1900 + n)
@@ -151,14 +154,16 @@ def case_parts(text: Column) -> Column:
 
 
 def case_list(text: Column) -> Column:
-    """A comma list of case numbers in full: a bare serial takes year and code from the last full number before it."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda x: _sub(x, rf"{WIDE}+", "")), lambda x: x != "")
+    """The parts of a comma list of case numbers: a bare serial gets region, year and code of the last full number before it;
+    what is neither stays as it is."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: _sub(x, rf"^{WIDE}+|{WIDE}+$", "")), lambda x: x != "")
     empty = F.struct(F.lit("").alias("lead"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc, x):
-        own = F.regexp_extract(x, "^([0-9]+[A-Za-z가-힣]+)", 1)
-        lead = F.when(own != "", own).otherwise(acc["lead"])
-        return F.struct(lead.alias("lead"), F.array_append(acc["out"], F.when(own != "", x).otherwise(F.concat(acc["lead"], x))).alias("out"))
+        own = F.regexp_extract(x, "^([가-힣]*[0-9]{2,4}[가-힣]+)[0-9]", 1)
+        bare = x.rlike("^[0-9]+([(].*)?$") & (acc["lead"] != "")
+        full = F.when((own == "") & bare, F.concat(acc["lead"], x)).otherwise(x)
+        return F.struct(F.when(own != "", own).otherwise(acc["lead"]).alias("lead"), F.array_append(acc["out"], full).alias("out"))
 
     return F.aggregate(parts, empty, step, lambda a: a["out"])
 

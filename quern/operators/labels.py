@@ -26,12 +26,12 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None, positi
 
 
 def majority(votes: list[Column]) -> Column:
-    """The value that two or more votes give and no other as often; of nulls none."""
+    """The value that most votes give, if two or more do; of equally many the one that is given first. Nulls are no votes."""
     given = F.filter(F.array(*votes), lambda x: x.isNotNull())
     counts = F.transform(F.array_distinct(given), lambda v: F.struct(F.size(F.filter(given, lambda x: x == v)).alias("n"), v.alias("v")))
     best = F.array_max(F.transform(counts, lambda c: c["n"]))
     top = F.filter(counts, lambda c: c["n"] == best)
-    return F.when((best >= 2) & (F.size(top) == 1), top[0]["v"])
+    return F.when(best >= 2, top[0]["v"])
 
 
 def binary_majority(votes: list[Column], positive: int = 2) -> Column:

@@ -51,11 +51,11 @@ def contained_terms(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT doc_id, text, greatest(instr(text, 'tion') - 1 - 40, 0) AS p FROM documents)
-SELECT doc_id, CASE WHEN p > 0 THEN '...' ELSE '' END || trim(substring(text, p + 1, 120), ' ') || CASE WHEN p + 120 < length(text) THEN '...' ELSE '' END AS excerpt FROM p
+WITH i AS (SELECT doc_id, text, list_min(list_filter([instr(text, 'tion'), instr(text, 'ment'), instr(text, 'licht')], lambda x: x > 0)) AS i FROM documents), p AS (SELECT *, greatest(coalesce(i, 1) - 1 - 40, 0) AS p FROM i)
+SELECT doc_id, CASE WHEN p > 0 THEN '...' ELSE '' END || substring(text, p + 1, 120) || CASE WHEN p + 120 < length(text) THEN '...' ELSE '' END AS excerpt FROM p
 """)
 def term_excerpt(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), F.lit("tion"), 120).alias("excerpt"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), ["tion", "ment", "licht"], 120).alias("excerpt"))
 
 
 @query("""
@@ -101,15 +101,13 @@ def url_clean(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.masked_parameter(u, "ref").alias("masked"), T.slug(u).alias("slug"), T.redacted(u, F.lit("example")).alias("redacted"))
 
 
-CASE_TEXT = "concat(o_orderkey % 6000, ' ', substr('ABC', cast(o_orderkey % 3 as int) + 1, 1), 'x ', o_custkey)"
+CASE_TEXT = "concat(o_orderkey % 6000, ' ', substr('가나다', cast(o_orderkey % 3 as int) + 1, 1), '합 ', o_custkey)"
 
 
 @query(r"""
-WITH t AS (SELECT o_orderkey, regexp_replace(concat(o_orderkey % 6000, ' ', substr('ABC', CAST(o_orderkey % 3 AS INT) + 1, 1), 'x ', o_custkey), '[ \t]+', '', 'g') AS t FROM orders),
-c AS (SELECT o_orderkey, CASE WHEN TRY_CAST(regexp_extract(t, '^([0-9]{4})', 1) AS INT) BETWEEN 3000 AND 9999
-        THEN CAST(CAST(regexp_extract(t, '^([0-9]{4})', 1) AS INT) - 2333 AS VARCHAR) || substring(t, 5) ELSE t END AS case_no FROM t),
-p AS (SELECT *, regexp_extract(case_no, '^([0-9]{4}|[0-9]{2})([A-Za-z가-힣]+)([0-9].*)$', 1) AS y, regexp_extract(case_no, '^([0-9]{4}|[0-9]{2})([A-Za-z가-힣]+)([0-9].*)$', 2) AS code,
-             regexp_extract(case_no, '^([0-9]{4}|[0-9]{2})([A-Za-z가-힣]+)([0-9].*)$', 3) AS serial FROM c)
+WITH t AS (SELECT o_orderkey, regexp_replace(concat(o_orderkey % 6000, ' ', substr('가나다', CAST(o_orderkey % 3 AS INT) + 1, 1), '합 ', o_custkey), '[ \t]+', '', 'g') AS t FROM orders),
+c AS (SELECT o_orderkey, CASE WHEN regexp_matches(t, '^[3-9][0-9]{3}[가-힣]+[0-9]+$') THEN CAST(CAST(t[1:4] AS INT) - 2333 AS VARCHAR) || substring(t, 5) ELSE t END AS case_no FROM t),
+p AS (SELECT *, regexp_extract(case_no, '^([0-9]{2,4})([가-힣]+)([0-9]+)$', 1) AS y, regexp_extract(case_no, '^([0-9]{2,4})([가-힣]+)([0-9]+)$', 2) AS code, regexp_extract(case_no, '^([0-9]{2,4})([가-힣]+)([0-9]+)$', 3) AS serial FROM c)
 SELECT o_orderkey, case_no, CASE WHEN length(y) = 4 THEN CAST(y AS INT) WHEN CAST(nullif(y, '') AS INT) < 30 THEN 2000 + CAST(y AS INT) ELSE 1900 + CAST(nullif(y, '') AS INT) END AS year, code, serial FROM p
 """)
 def case_number_parse(spark, sf_dir):

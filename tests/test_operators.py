@@ -37,7 +37,7 @@ def test_group_hits_keeps_the_nearest_chunk(spark):
 
 def test_case_numbers(spark):
     assert one(spark, T.case_number(F.col("t")), t=" 4290 가합 12") == "1957가합12"
-    assert one(spark, T.case_list(F.col("t")), t="2019다1, 2, 2020나3,4") == ["2019다1", "2019다2", "2020나3", "2020나4"]
+    assert one(spark, T.case_list(F.col("t")), t="98다45652,45669 , 2020나3(본소),4(병합), etc") == ["98다45652", "98다45669", "2020나3(본소)", "2020나4(병합)", "etc"]
     p = one(spark, T.case_parts(F.col("t")), t="98다12")
     assert (p.year, p.code, p.serial) == (1998, "다", "12")
     assert one(spark, T.date_of_digits(F.col("t")), t="2021.02.31") == "2021-02-31"
