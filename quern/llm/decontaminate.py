@@ -232,4 +232,4 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose id no leak names; rows without an id stay."""
     found = benchmark_leaks(docs, benchmark, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+    return docs.join(found.hint("merge"), id_col, "left_anti").select(docs.columns)

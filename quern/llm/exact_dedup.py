@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = keys.join(prefixes, ["n", "ph"], "left_semi")
     if not digest_all:
         some = left.select(F.col("doc_id").alias("id")).distinct()
-        left = work_table(spark, base.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", digest.alias("sha")), "exact-left")
+        left = work_table(spark, base.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", digest.alias("sha")), "exact-left")
     groups = left.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1")
     if digest_all:
         out = keys.select("doc_id", "sha").join(groups, "sha", "left")
@@ -52,4 +52,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without those whose text another row with a smaller id has; null ids are not dropped."""
     gone = exact_dedup(docs, id_col, text_col, digest_all=False).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
