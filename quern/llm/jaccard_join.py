@@ -21,9 +21,9 @@ from quern.llm.lm import counted
 
 #: Documents of which one is read for the order of shingles, and times seen there from which a shingle comes late. The order
 #: is a hint: any order gives the same links.
-HINT_OF, HINT_SEEN, HINT_BITS = 16, 6, 26
+HINT_OF, HINT_SEEN, HINT_BITS = 8, 3, 26
 #: Classes that share a shingle: up to RUN they are paired, beyond they become one cohort without pairs.
-RUN = 24
+RUN = 64
 #: Classes and shingles of a cohort's block.
 BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 4_000_000
 #: Children of a tree's node; bytes of exact bitmaps a block may take, and bits of hashed ones beyond that.
@@ -180,7 +180,7 @@ def tree_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: i
 def _hint(spark: SparkSession, docs: DataFrame, k: int) -> np.ndarray:
     """A bitmap of shingles that many documents have, as a sample sees it; at most 8 MB from each of eight tasks."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HINT_OF)) == 0).select("text")
-    hot = counted(sample, lambda texts: np.concatenate([shingle_set(t, k) for t in texts]), HINT_SEEN, "jaccard-hint")
+    hot = counted(sample, lambda texts: np.unique(np.concatenate([shingle_set(t, k) for t in texts]), return_counts=True), HINT_SEEN, "jaccard-hint")
     width = 1 << min(HINT_BITS, max(16, (16 * hot.count()).bit_length()))
 
     def bitmap(batches) -> Iterator[pa.RecordBatch]:
@@ -339,7 +339,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
                 got = [shingle_set(t, k) for t in (x or "" for x in part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in got], pa.int64()), pa.array([s.astype("<i8").tobytes() for s in got], pa.binary())], names=["cls", "cohort", "n", "tokens"])
 
-    members = cohorts.select(F.col("node").alias("doc_id"), F.col("component").alias("cohort")).join(rows.where("doc_id is not null"), "doc_id").select(F.col("doc_id").alias("cls"), "cohort", "text")
+    # the cohorts grow with the documents, so they are never broadcast: the same plan at every size
+    members = rows.where("doc_id is not null").join(cohorts.select(F.col("node").alias("doc_id"), F.col("component").alias("cohort")).hint("merge"), "doc_id").select(F.col("doc_id").alias("cls"), "cohort", "text")
     sized = work_table(spark, members.mapInArrow(sets, "cls long, cohort long, n long, tokens binary"), "jaccard-members")
     blocks = sized.groupBy("cohort").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     dealt = sized.join(blocks, "cohort").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), "blocks"))
@@ -358,4 +359,4 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
 def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which each component's least id stays; rows with a null id are not dropped."""
     gone = similar_sets(docs, k, num, den, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
