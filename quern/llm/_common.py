@@ -83,12 +83,13 @@ class Cache(dict):
         return value
 
 
-_TO_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-
-
 def ascii_words(text: str) -> list[str]:
     r"""The words `[^\x20\x09-\x0D]+` of a text."""
-    return list(filter(None, text.translate(_TO_SPACE).split(" "))) if not text.isascii() or _odd(text) else text.split()
+    if text.isascii() and not _odd(text):
+        return text.split()
+    for c in "\n\t\r\x0b\x0c":
+        text = text.replace(c, " ")
+    return list(filter(None, text.split(" ")))
 
 
 def _odd(text: str) -> bool:
