@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano bigram trie in memory-mapped levels.
 
 Training counts every word and every pair of neighbours of all training texts. Level 1 has the words (sorted 63-bit hashes,
-exact counts); level 2 the pairs seen MIN_PAIR times or more, by context. A level-2 file covers a range of contexts: monotone
+exact counts); level 2 every pair, those seen once too, by context. A level-2 file covers a range of contexts: monotone
 pointers to each context's run, the successors as one Elias-Fano sequence (context * words + word), and 8-bit quantised
 log10 p(word | context) and log10 back-off weights. A query bounds its run by the pointers and searches the successor there.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quern.llm._common import ascii_words, docs_of, drop_table, fresh_path, hash64, lower_ascii, mix, prepare, work_table
 from quern.llm.token_output import put
 
-#: Times a pair is seen before it has a place of its own; what pairs seen give to the words they leave out.
-MIN_PAIR, DISCOUNT = 2, 0.75
+#: Times a pair is seen before it has a place of its own (1: all are stored); what pairs seen give to the words they leave out.
+MIN_PAIR, DISCOUNT = 1, 0.75
 #: Entries of a level's file; keys that a task holds before it passes their counts on; words a worker keeps the ids of.
 FILE_ENTRIES, HELD_KEYS, CACHE_IDS = 1_000_000, 2_000_000, 1_000_000
 #: Characters of text that are read into words at a time.

@@ -356,3 +356,13 @@ def test_lm_scores(spark, odd, empty, small, texts):
     alone = lm.lm_scores(odd, F.lit(False)).collect()
     assert len(alone) == len(ROWS) and {(r.n_known, r.train_tokens) for r in alone} == {(0, 0)}
     assert lm.lm_scores(empty, F.lit(True)).count() == 0
+
+
+def test_lm_stores_pairs_seen_once(spark):
+    rows = [(0, "red fox ran"), (1, "fox red sat"), (2, "ran sat red fox")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(spark, df.select("text"))
+    assert sum(p[1].n for p in model.open().pairs) == len({x for _, t in rows for x in zip(["^", *t.split()], [*t.split(), "$"])})
+    got = by_id(lm.score_texts(spark.createDataFrame([(0, "fox ran"), (1, "fox fox")], "doc_id long, text string"), model))
+    # same words apart from one, whose count is higher: only the pair seen once makes the first the likelier text
+    assert got[0].base_score < got[1].base_score and got[0].score > got[1].score
