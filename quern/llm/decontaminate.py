@@ -1,10 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit distance.
+"""Benchmark decontamination: item-sized windows that lie on an unchanged piece, a count of shared words, exact edit distance.
 
 An item of L words leaks where its words and a stretch of a document's are within floor(rate * L) edits. Cut into one piece
-more than that, at least one piece stands there unchanged, so only windows that lie on a piece's first words are embedded;
-this loses nothing. A window of the item's size and the item walk through the same random functions to 3 L places (edits
-become few differing places), some places are sampled, and one repetition of REPEATS that agrees in all sampled places makes
-a candidate. The least distance of the item to any stretch around the window is then computed exactly.
+more than that, at least one piece stands there unchanged, so only windows that lie on a piece's first words are looked at.
+All but floor(rate * L) of the item's words stand around such a window, else it is dropped. The least distance of the item to
+any stretch around the window is then computed exactly. None of this loses a leak, whatever the item's size.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from quern.llm._common import Cache, docs_of, hash64, mix, prepare, shingles
 
 #: Edits a word that still count as the item; items under SHORT words must stand there unchanged.
 RATE, SHORT = 0.2, 8
-#: Sampled places and repetitions: at a quarter of places that differ, 1 - (1 - .75**3)**24 > 0.999 of windows agree once.
-PLACES, REPEATS = 3, 24
 GRAM = 4
+#: Cells of a row of edit distances that are computed side by side, over all windows.
+CELLS = 400_000
 #: Items that one pass takes; a larger benchmark is searched in as many passes.
 BLOCK_ITEMS = 20_000
 FIELD_BITS = 22
@@ -48,28 +47,11 @@ def word_hashes(text: str) -> np.ndarray:
     return h[h > 0]
 
 
-def embed(x: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """CGK walk of each row of x (zero-padded): 3 * width places; the row's own are its first 3 * size."""
-    n, width = x.shape
-    out = np.zeros((n, 3 * (width - 1)), np.uint64)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    for j in range(out.shape[1]):
-        here = x[rows, at]
-        out[:, j] = here
-        step = mix(here + np.uint64((repeat * 1_000_003 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), sizes)
-    return out
-
-
-def signatures(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[row, repetition]: one hash of the sampled places of each walk."""
-    rng = np.random.default_rng(17)
-    out = np.zeros((len(x), REPEATS), np.uint64)
-    for r in range(REPEATS):
-        walk = embed(x, sizes, r)
-        for u in rng.random(PLACES):
-            out[:, r] = mix(out[:, r] * np.uint64(0x9E3779B97F4A7C15) + walk[np.arange(len(x)), (u * 3 * sizes).astype(np.int64)])
-    return out
+def enough_shared(item: np.ndarray, size: np.ndarray, region: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether all but `edits` of an item's words stand in its region at all: fewer cannot be within that many edits."""
+    salt = mix(np.arange(1, len(item) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    there = np.isin(item ^ salt, region ^ salt) & (np.arange(item.shape[1]) < size[:, None])
+    return there.sum(1) >= size - edits
 
 
 def best_stretch(item: np.ndarray, size: np.ndarray, region: np.ndarray, fixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +81,6 @@ class Benchmark:
     words: np.ndarray  # [item, widest + 1]
     sizes: np.ndarray
     edits: np.ndarray
-    signs: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # size: field, sorted grams, first, items, offsets
 
 
@@ -128,8 +109,7 @@ def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark | None:
         field = np.zeros(1 << FIELD_BITS, bool)
         field[uniq >> np.uint64(64 - FIELD_BITS)] = True
         grams[g] = (field, uniq, np.append(first, len(key)), np.array([r[1] for r in rows_g]), np.array([r[2] for r in rows_g]))
-    signs = np.concatenate([signatures(words[i : i + 4096], sizes[i : i + 4096]) for i in range(0, len(kept), 4096)])
-    return Benchmark([i for i, _ in kept], words, sizes, edits, signs, grams)
+    return Benchmark([i for i, _ in kept], words, sizes, edits, grams)
 
 
 def windows(words: np.ndarray, b: Benchmark) -> np.ndarray:
@@ -154,29 +134,31 @@ def _cut(words: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) ->
     return np.where(np.arange(width) < size[:, None], words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
 
 
-def leaks(texts: list[np.ndarray], b: Benchmark, most: int = 4096) -> list[tuple[int, int, int, int, int]]:
+def leaks(texts: list[np.ndarray], b: Benchmark) -> list[tuple[int, int, int, int, int]]:
     """(text, item, begin, end, edits) of the nearest stretch, in words, of each item that leaks into each text."""
     pairs = [windows(w, b) for w in texts]
     lead = np.concatenate([[0], np.cumsum([len(w) for w in texts])])
     own = np.repeat(np.arange(len(texts)), [len(p) for p in pairs])
     words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
     item_of, begin_of = np.concatenate(pairs).T if len(own) else (own, own)
+    order = np.argsort(b.sizes[item_of], kind="stable")
+    own, item_of, begin_of = own[order], item_of[order], begin_of[order]
+    reach = (b.sizes + 2 * b.edits + 1)[item_of]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for start in range(0, len(own), most):
-        text, item, begin = own[start : start + most], item_of[start : start + most], begin_of[start : start + most]
-        size, first, after = b.sizes[item], lead[text], lead[text + 1]
-        begin = begin + first
-        low = np.maximum(begin, first)
-        have = np.minimum(begin + size, after) - low
-        near = (signatures(_cut(words, low, have, int(size.max()) + 1), size) == b.signs[item]).any(1)
-        # where the text begins or ends within the window there is none of that size: its distance is computed at once
-        near |= have < size
+    start = 0
+    while start < len(own):
+        # windows of like sizes, the widest of them last: as many as the cells hold
+        some = reach[start : start + CELLS]
+        after_last = start + max(1, int(np.searchsorted(some * np.arange(1, len(some) + 1), CELLS, "right")))
+        text, item, begin = own[start:after_last], item_of[start:after_last], begin_of[start:after_last]
+        start = after_last
+        size, first, after, slack = b.sizes[item], lead[text], lead[text + 1], b.edits[item]
+        low = np.maximum(begin + first - slack, first)
+        wide = np.minimum(begin + first + size + slack, after) - low
+        near = enough_shared(b.words[item, : int(size.max())], size, _cut(words, low, wide, int(wide.max())), slack)
         if not near.any():
             continue
-        text, item, begin, size, first, after = (x[near] for x in (text, item, begin, size, first, after))
-        slack = b.edits[item]
-        low = np.maximum(begin - slack, first)
-        wide = np.minimum(begin + size + slack, after) - low
+        text, item, size, first, slack, low, wide = (x[near] for x in (text, item, size, first, slack, low, wide))
         mine = b.words[item, : int(size.max())]
         edits, end = best_stretch(mine, size, _cut(words, low, wide, int(wide.max())))
         ok = edits <= slack

@@ -257,6 +257,20 @@ def test_benchmark_leaks(spark, odd, empty):
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_long_items_leak(spark):
+    rng = random.Random(5)
+    items = [(k, [f"w{rng.randrange(5000)}" for _ in range(n)]) for k, n in enumerate([300, 450, 600, 800, 1000] * 3)]
+    docs = []
+    for k, item in items:
+        x = list(item)
+        for j, at in enumerate(rng.sample(range(len(x)), int(decontaminate.RATE * len(x)))):
+            x[at] = f"new{j}"
+        docs.append((k, " ".join(["before"] * 40 + x + ["after"] * 40)))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = decontaminate.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == {(k, k): int(decontaminate.RATE * len(x)) for k, x in items}
+
+
 # ---- 8 ----
 
 
