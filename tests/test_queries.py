@@ -1,6 +1,7 @@
 """Each query against its SQL in DuckDB, on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -41,6 +42,13 @@ def test_query(spark, small, db, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_longest_spans_has_all_items(spark, small, db):
+    words = lambda sql: {w for (t,) in db.sql(sql).fetchall() for w in re.findall("[a-z0-9]+", (t or "").lower())}
+    keys = {w for w in words("select text from benchmark") if len(w) >= 4}
+    got = {r.key for r in catalog.queries()["longest_spans"](spark, small).select("key").distinct().collect()}
+    assert keys & words("select text from documents") <= got
+
+
 def test_entry(spark):
     import __spark_entry__
 
