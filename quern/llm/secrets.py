@@ -27,6 +27,7 @@ ENCODINGS = (
     ("hex", r"^(?=.*[0-9])([0-9a-f]+|[0-9A-F]+)$", _DIGIT + "abcdef"),
     ("base32", r"^(?=.*[2-7])[A-Z2-7]+$", _UPPER + "234567"),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _DIGIT + _LOWER),
+    ("base36 in capitals", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", _DIGIT + _UPPER),
     ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGIT),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGIT + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGIT + "-_"),
@@ -137,20 +138,21 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = d.select("doc_id", "rm", "a2", *(_located(F.col(f"{k}m"), F.col(f"{k}g")).alias(k) for k, _ in kinds))
     kept = F.filter(F.zip_with("a", F.coalesce("a2", F.expr("cast(array() as array<string>)")), lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.length(v).alias("n"))), lambda x: x["n"] >= 6)
     named = [_named(c, o) for o, c in enumerate((kept, F.col("b"), F.col("c")))]
-    d = d.select("doc_id", F.array_sort(F.concat(*named)).alias("base"), F.zip_with("r", "rm", lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v"))).alias("r"))
+    # a row's number, written with it: ids may be null or repeated
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_sort(F.concat(*named)).alias("base"), F.zip_with("r", "rm", lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v"))).alias("r"))
     found = work_table(spark, d, "secrets")
 
     apart = F.filter("r", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    tested = battery(found.where(F.size("r") > 0).select("doc_id", F.explode(apart).alias("x")).select("doc_id", "x.s", "x.e", F.col("x.v").alias("v"))).where("p is not null")
-    tested = work_table(spark, tested.select("doc_id", "s", "e", "enc", "band", _bin(F.col("p")).alias("bin")), "secret-tests")
+    tested = battery(found.where(F.size("r") > 0).select("row", F.explode(apart).alias("x")).select("row", "x.s", "x.e", F.col("x.v").alias("v"))).where("p is not null")
+    tested = work_table(spark, tested.select("row", "s", "e", "enc", "band", _bin(F.col("p")).alias("bin")), "secret-tests")
     counts = tested.groupBy("enc", "band", "bin").agg(F.count(F.lit(1)).alias("c"))
     within = Window.partitionBy("enc", "band")
     ranked = counts.withColumn("above", F.sum("c").over(within.orderBy(F.desc("bin")))).withColumn("all", F.sum("c").over(within))
     limits = ranked.where(F.pow(F.lit(2.0), -F.col("bin") / 2) <= FALSE_RATE * F.col("above") / F.col("all")).groupBy("enc", "band").agg(F.min("bin").alias("limit"))
-    # at most 6 encodings x 13 bands
+    # at most 7 encodings x 13 bands
     random = tested.join(F.broadcast(limits), ["enc", "band"], "left").where("limit is null or bin < limit")
-    added = random.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("s"), F.lit(3).alias("o"), F.col("e"), F.lit(KINDS[3]).alias("k"))).alias("more"))
-    out = found.select("doc_id", "base").join(added, "doc_id", "left")
+    added = random.groupBy("row").agg(F.collect_set(F.struct(F.col("s"), F.lit(3).alias("o"), F.col("e"), F.lit(KINDS[3]).alias("k"))).alias("more"))
+    out = found.select("row", "doc_id", "base").join(added, "row", "left")
     return out.select("doc_id", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})")))).alias("found"))
 
 

@@ -325,6 +325,16 @@ def test_secrets(spark, odd, empty):
     assert secrets.secret_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+def test_random_strings_stay_with_their_rows(spark, letters):
+    rng = random.Random(9)
+    rows = [(None if k % 2 else 7, "a " * k + "".join(rng.choice(letters) for _ in range(40))) for k in range(60)]
+    got = [(r.doc_id, [x.s for x in r.found if x.k == "random"]) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 60 and max(len(s) for _, s in got) == 1
+    found = {(i, s[0]) for i, s in got if s}
+    assert len(found) >= 54 and found <= {(i, 2 * k) for k, (i, _) in enumerate(rows)}
+
+
 # ---- 10 ----
 
 
