@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,12 +12,16 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's word caches hold at most before they start anew (about 200 bytes each).
-CACHE_WORDS = 400_000
+#: Entries that a worker's word cache holds at most before it starts anew (about 200 bytes each).
+CACHE_WORDS = 300_000
+#: Groups of more rows than this share of a table, and of HOT_LEAST rows, are joined in their rows' own tasks.
+HOT_SHARE, HOT_LEAST = 500, 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,10 +38,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of this process's own."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and all run in this process, one of its own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="quern-"))
     return found.rstrip("/")
 
@@ -69,6 +77,31 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
     drop(spark, df._quern_path)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+_USER: list[str] = [""]
+
+
+def holds(user: str, clear: Callable[[], None]) -> None:
+    """`clear` empties what a worker keeps between tasks for `user`."""
+    _HELD[user] = clear
+
+
+def working(user: str) -> None:
+    """Called first in a task: what other users left in this worker is dropped, and its memory given back."""
+    if _USER[0] == user:
+        return
+    for name, clear in _HELD.items():
+        if name != user:
+            clear()
+    _USER[0] = user
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call outside glibc
+        return
+
+
 class Cache(dict):
     """word -> value, filled by `make`; starts anew when full, so that memory stays bounded."""
 
@@ -83,27 +116,6 @@ class Cache(dict):
         return value
 
 
-def ascii_words(text: str) -> list[str]:
-    r"""The words `[^\x20\x09-\x0D]+` of a text."""
-    if text.isascii() and not _odd(text):
-        return text.split()
-    for c in "\n\t\r\x0b\x0c":
-        text = text.replace(c, " ")
-    return list(filter(None, text.split(" ")))
-
-
-def _odd(text: str) -> bool:
-    """Whether str.split() would also split at what the word pattern keeps (U+001C to U+001F)."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    if text.isascii():
-        return text.lower()
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
 def hash64(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
@@ -122,6 +134,40 @@ def docs_of(batch, most_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+def text_runs(batch: pa.RecordBatch, at: int = 0, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of a batch's column, null texts as empty, in runs of bounded size: at least one text each."""
+    texts = batch.column(at).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        before = int(ends[row - 1]) if row else 0
+        after = max(row + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield row, texts.slice(row, after - row)
+        row = after
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    r"""The words `[^\x20\x09-\x0D]+` of all texts one after another, A-Z lower-cased if asked, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words, own = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    full = pc.not_equal(words, "")
+    words, own = words.filter(full), own[full.to_numpy(zero_copy_only=False)]
+    return words, np.bincount(own, minlength=len(texts))
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, each distinct one hashed once."""
+    coded = words.dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return known[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """hash_words() of split_words(), and how many each text has."""
+    words, sizes = split_words(texts, lower)
+    return hash_words(words), sizes
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads all bits (splitmix64's finaliser)."""
     h = h ^ (h >> np.uint64(30))
@@ -145,41 +191,55 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups` (one row for each value of `keys`; `size` counts its rows), no task getting a large group.
+
+    Groups of more than total / HOT_SHARE rows, of which there are HOT_SHARE at most, are sent to all tasks and meet their
+    rows where these are; the others meet by a shuffle. `how`: inner, left or left_semi. Null keys meet nothing.
+    """
+    most = max(HOT_LEAST, total // HOT_SHARE)
+    large = groups.where(F.col(size) > most)  # at most HOT_SHARE rows, as sizes add up to `total`
+    rest = groups.where(F.col(size) <= most)
+    if how == "left_semi":
+        large, rest = large.select(*keys), rest.select(*keys)
+    told = rows.join(F.broadcast(large.withColumn("_met", F.lit(True))), keys, "left")
+    own = rows.columns
+    met = told.where("_met").drop("_met")
+    others = told.where("_met is null").select(*own).join(rest.hint("merge"), keys, how)
+    return met.select(*own, *(c for c in others.columns if c not in own)).unionByName(others)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of `edges` (a, b), component being the smallest node that links reach.
 
     Alternating large-star and small-star rounds; each round is a written table in the shared folder and only counts
-    come to the driver. Nulls and loops are left out; an empty table gives an empty one.
+    come to the driver. A node with a large share of the links meets them in their own tasks. The rounds end when one
+    changes no link. Nulls and loops are left out; an empty table gives an empty one.
     """
 
     def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links")).withColumn("m", F.least("u", "m"))
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        return both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return by_group(both, least(both), ["u"], "links", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, n: int) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = least(down)
-        return (
-            down.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        met = by_group(down, low, ["u"], "links", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return met.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     now = work_table(spark, edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
+    n = now.count()
     for _ in range(most_rounds):
-        after = work_table(spark, small(large(now).where("u <> v").distinct()), "cc")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+        after = work_table(spark, small(large(now, n).where("u <> v").distinct(), n), "cc")
+        n_after = after.count()
+        done = n_after == n and not after.join(now, ["u", "v"], "left_anti").limit(1).count()
         drop_table(spark, now)
-        now = after
-        if state == before:
+        now, n = after, n_after
+        if done:
             break
-        before = state
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import CACHE_WORDS, docs_of, prepare
+from quern.llm._common import CACHE_WORDS, holds, prepare, text_runs, working
 
 NONE = np.int64(1) << 40  # a rank above all others
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -236,12 +237,12 @@ class TextBpe:
                 if self.decode:
                     self.core_text[core] = " " + self.decode(ids.tolist()) if len(ids) else ""
 
-    def parts(self, texts: list[str]) -> list[list[str]]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        todo = set().union(*parts) - self.ids.keys()
+    def learn(self, parts: list[str]) -> None:
+        """Put these distinct parts into the caches."""
+        todo = [p for p in parts if p not in self.ids]
         if len(self.ids) + len(todo) > self.most:
             self.ids, self.text = {"": b""}, {"": ""}
-            todo = set().union(*parts) - {""}
+            todo = [p for p in parts if p]
         split = [(p, core_of(p) or (p, "")) for p in todo]
         cores = {x for _, pair in split for x in pair} - self.core_ids.keys()
         if len(self.core_ids) + len(cores) > self.most:
@@ -253,21 +254,40 @@ class TextBpe:
             self.ids[p] = ids[core] + ids[tail]
             if self.decode:
                 self.text[p] = text[core] + text[tail]
-        return parts
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = self.parts(texts)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def round_trip(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        parts = self.parts(texts)
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [(b"".join(map(ids, p)), "".join(map(text, p))[1:]) for p in parts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and where each text's begin and the last one's end."""
+        ids, ends, _ = self._run(texts, False)
+        return ids, ends
+
+    def round_trip(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """encode(), and each text's decoded form in UTF-8."""
+        return self._run(texts, True)
+
+    def _run(self, texts: pa.Array, decoded: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        self.learn(parts)
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        raw, ends = _joined(pa.array([self.ids[p] for p in parts], pa.binary()).take(coded.indices), at)
+        out = []
+        if decoded:
+            text, cuts = _joined(pa.array([self.text[p] for p in parts], pa.string()).take(coded.indices), at)
+            view = memoryview(text)
+            out = [bytes(view[a + 1 : z]) for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        return np.frombuffer(raw, "<u4"), ends // 4, out
+
+
+def _joined(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values side by side, and their ends at the places `at`."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)[at]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8), ends - ends[0]
 
 
 _LOADED: dict[str, TextBpe] = {}
+holds("bpe", _LOADED.clear)
 
 
 def loaded(path: str) -> TextBpe:
@@ -283,21 +303,26 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     Ids are those of the tokenizers library for the file `vocabulary` without added special tokens; decoded is its decode()
     of them, special tokens kept. One pass without a shuffle; a task holds a bounded run of texts and bounded caches.
     A null text counts as empty (no ids, empty decoded). A null or repeated id is passed on. Other columns are not read.
+    An empty table gives an empty one.
     """
     prepare(docs.sparkSession)
 
     def run(batches):
+        working("bpe")
         bpe = loaded(vocabulary)
         for batch in batches:
-            for ids, texts in docs_of(batch):
-                got = bpe.round_trip(texts)
+            for row, texts in text_runs(batch, 1):
+                own = batch.column(0).slice(row, len(texts))
+                ids, ends, decoded = bpe.round_trip(texts)
                 if digest:
+                    view, at = memoryview(ids).cast("B"), (4 * ends).tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array([len(b) // 4 for b, _ in got], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b, _ in got], pa.string()), pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in got], pa.string())],
+                        [own, pa.array(np.diff(ends)), pa.array([hashlib.sha256(view[a:z]).hexdigest() for a, z in zip(at, at[1:], strict=False)]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])],
                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())], names=["doc_id", "ids", "decoded"])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([own, lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import prepare, work_table
+from quern.llm._common import by_group, prepare, work_table
 
 
 def normalised(text: Column) -> Column:
@@ -14,42 +14,52 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = True) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, and `content`, a 64-bit hash of the text.
 
     Rows are grouped by length of the normalised text; lengths that occur once are done. The others are grouped by length
     and a hash of the first `prefix_chars` characters; what still has a partner is compared by the SHA-256 of the whole text.
-    All grouping is on narrow rows, aggregated before it is shuffled, so a text that fills a third of the table is one row of
-    an aggregate. With `digest_all` the digest, a result column, is made for each row in the only pass over the content;
-    without, the content is read again for surviving rows alone and text_sha256 is null elsewhere.
+    All grouping is on narrow rows, aggregated before it is shuffled, and groups with a large share of the rows meet their
+    rows in these rows' own tasks. With `digest_all` the digest, a result column, is made for each row in the only pass over
+    the content, and the refinement only narrows what is grouped by it; without, the content is read again for surviving
+    rows alone and text_sha256 is null elsewhere.
 
-    A null text counts as empty; empty texts equal each other. A null id is a row of its own group member list: it never
-    becomes keep_id unless all ids of the group are null, and kept is then false. Rows that repeat an id are separate rows
-    (both kept where that id stays). Other columns are not read. An empty table gives an empty one.
+    A null text counts as empty; empty texts equal each other. A null id is a row of its own in the group: it never becomes
+    keep_id unless all ids of the group are null, and kept is then false. Rows that repeat an id are separate rows (both kept
+    where that id stays). Other columns are not read. An empty table gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     digest = F.unhex(F.sha2(F.col("t"), 256))
-    cols = ["doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("ph")]
+    cols = ["doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("ph"), F.xxhash64("t").alias("content")]
     keys = work_table(spark, base.select(*cols, *([digest.alias("sha")] if digest_all else [])), "exact-keys")
 
-    lengths = keys.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n")
-    prefixes = keys.join(lengths, "n", "left_semi").groupBy("n", "ph").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n", "ph")
-    left = keys.join(prefixes, ["n", "ph"], "left_semi")
+    total, one = keys.count(), F.count(F.lit(1)).alias("c")
+    lengths = keys.groupBy("n").agg(one).where("c > 1")
+    prefixes = keys.groupBy("n", "ph").agg(one).where("c > 1")
+    prefixes = by_group(prefixes, lengths, ["n"], "c", total, "left_semi")
+    left = by_group(keys, prefixes, ["n", "ph"], "c", total, "left_semi")
     if not digest_all:
-        some = left.select(F.col("doc_id").alias("id")).distinct()
-        left = work_table(spark, base.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", digest.alias("sha")), "exact-left")
-    groups = left.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        # a surviving row is found again by its id and content, which rows that share both share with their verdict
+        some = left.select(F.col("doc_id").alias("id"), F.col("content").alias("own")).distinct()
+        met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("own"))
+        left = work_table(spark, base.withColumn("content", F.xxhash64("t")).join(some.hint("merge"), met, "left_semi").select("doc_id", "content", digest.alias("sha")), "exact-left")
+    groups = left.groupBy("sha").agg(F.min("doc_id").alias("keep"), one).where("c > 1")
     if digest_all:
-        out = keys.select("doc_id", "sha").join(groups, "sha", "left")
+        out = by_group(keys.select("doc_id", "content", "sha"), groups, ["sha"], "c", total, "left")
     else:
-        seen = left.join(groups, "sha", "left")
-        rest = keys.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(F.lit(None).cast("binary").alias("sha"), "doc_id", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("long").alias("c"))
-        out = seen.select("sha", "doc_id", "keep", "c").union(rest)
+        seen = by_group(left, groups, ["sha"], "c", total, "left")
+        rest = keys.join(some, met, "left_anti").select("doc_id", "content")
+        out = seen.unionByName(rest, allowMissingColumns=True)
     keep = F.coalesce("keep", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "content")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, without those whose text another row with a smaller id has; null ids are not dropped."""
-    gone = exact_dedup(docs, id_col, text_col, digest_all=False).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
+    """The rows of `docs`, all columns, without those whose text another row with a smaller id has.
+
+    Rows are told apart by id and content, so rows that share an id and no text are judged each by its own text; rows that
+    share both stay or go together. Null texts count as empty. Rows with a null id stay. An empty table gives an empty one.
+    """
+    gone = exact_dedup(docs, id_col, text_col, digest_all=False).where("not kept and doc_id is not null").select("doc_id", "content").distinct()
+    found = (docs[id_col] == gone["doc_id"]) & (F.xxhash64(normalised(docs[text_col])) == gone["content"])
+    return docs.join(gone.hint("merge"), found, "left_anti").select(*(docs[c] for c in docs.columns))

@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import Cache, ascii_words, connected_components, docs_of, drop_table, hash64, lower_ascii, mix, prepare, shingles, work_table
+from quern.llm._common import by_group, connected_components, drop_table, hashed_words, mix, prepare, shingles, text_runs, work_table, working
 from quern.llm.lm import counted
 
-#: Documents of which one is read for the order of shingles, and times seen there from which a shingle comes late. The order
-#: is a hint: any order gives the same links.
-HINT_OF, HINT_SEEN, HINT_BITS = 8, 3, 26
+#: Documents of which one is read for the order of shingles; times seen there from which a shingle comes late, or as many
+#: more as leave HINT_MOST late ones at most. The order is a hint: any order gives the same links.
+HINT_OF, HINT_SEEN, HINT_MOST = 8, 3, 1 << 22
+#: Prefix entries of a bucket in which classes meet, and digests that a task keeps to give a prefix once.
+BUCKET_TOKENS, HELD_DIGESTS = 1_500_000, 200_000
 #: Classes that share a shingle: up to RUN they are paired, beyond they become one cohort without pairs.
 RUN = 64
 #: Classes and shingles of a cohort's block.
@@ -29,16 +31,19 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 4_000_000
 #: Children of a tree's node; bytes of exact bitmaps a block may take, and bits of hashed ones beyond that.
 FAN, EXACT_BYTES, HASHED_BITS = 8, 128_000_000, 1 << 15
 
-_WORD = Cache(hash64)
 
-
-def shingle_set(text: str, k: int) -> np.ndarray:
-    """Sorted 62-bit hashes of the distinct k-word shingles; of all words as one where there are fewer."""
-    words = ascii_words(lower_ascii(text))
-    if not words:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(_WORD.__getitem__, words), np.uint64, len(words))
-    return np.unique((shingles(h, min(k, len(h))) >> np.uint64(2)).astype(np.int64))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text the sorted 62-bit hashes of the distinct k-word shingles; of all words as one where there are fewer."""
+    h, sizes = hashed_words(texts, lower=True)
+    all_of = (shingles(h, k) >> np.uint64(2)).astype(np.int64)
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= k:
+            out.append(np.unique(all_of[at : at + n - k + 1]))
+        else:
+            out.append((shingles(h[at : at + n], n) >> np.uint64(2)).astype(np.int64) if n else np.empty(0, np.int64))
+        at += n
+    return out
 
 
 def shared_least(n: np.ndarray | int) -> np.ndarray | int:
@@ -178,68 +183,113 @@ def tree_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: i
 
 
 def _hint(spark: SparkSession, docs: DataFrame, k: int) -> np.ndarray:
-    """A bitmap of shingles that many documents have, as a sample sees it; at most 8 MB from each of eight tasks."""
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HINT_OF)) == 0).select("text")
-    hot = counted(sample, lambda texts: np.unique(np.concatenate([shingle_set(t, k) for t in texts]), return_counts=True), HINT_SEEN, "jaccard-hint")
-    width = 1 << min(HINT_BITS, max(16, (16 * hot.count()).bit_length()))
+    """A bitmap of shingles that many documents have, as a sample sees it: bytes, at most 8 MB from each of eight tasks.
+
+    At most HINT_MOST shingles are in it, the most frequent ones, so that it tells frequent from rare at every corpus size.
+    """
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "content", F.lit(3)), F.lit(HINT_OF)) == 0).select("text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, size // (2 * HINT_OF * BUCKET_TOKENS))
+
+    def finish(_, keys: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        often = c >= HINT_SEEN
+        keys, c = keys[often], c[often]
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["k", "c"])
+
+    bounds = np.array([(1 << 62) * b // buckets for b in range(buckets)], np.int64)
+    hot = work_table(spark, counted(sample, lambda texts: np.concatenate(shingle_sets(texts, k)), bounds, finish, "k long, c long", "jaccard"), "jaccard-hint")
+    sized = sorted(map(tuple, hot.groupBy(F.floor(F.log2("c")).alias("l")).count().collect()), reverse=True)  # 64 rows at most
+    least, total = 64, 0
+    for level, n in sized:
+        if total + n > HINT_MOST:
+            break
+        least, total = level, total + n
+    width = 1 << max(16, (16 * total).bit_length())
 
     def bitmap(batches) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         out = np.zeros(width, bool)
         for b in batches:
             out[b.column(0).to_numpy() & (width - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-    total = np.zeros(width // 8, np.uint8)
-    for r in hot.select("k").coalesce(8).mapInArrow(bitmap, "bits binary").toLocalIterator():
-        total |= np.frombuffer(r[0], np.uint8)
+    late = np.zeros(width // 8, np.uint8)
+    for r in hot.where(F.floor(F.log2("c")) >= least).select("k").coalesce(8).mapInArrow(bitmap, "bits binary").toLocalIterator():
+        late |= np.frombuffer(r[0], np.uint8)
     drop_table(spark, hot)
-    return np.unpackbits(total).astype(bool)
+    return late
 
 
 def _candidates(spark: SparkSession, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that join all classes that can be similar: pairs of small runs, stars of large ones."""
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Edges (a, b) that join all classes that can be similar: pairs of small runs, stars of large ones.
+
+    The classes of a shingle meet in its bucket; buckets are as many as the prefixes' entries need. A shingle that more than
+    RUN classes of one task have is made a star there, and only its least class goes on.
+    """
+    entries = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // (8 * BUCKET_TOKENS)))
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        working("jaccard")
+        held, n, seq = [], 0, 0
 
         def blocks() -> pa.RecordBatch:
+            nonlocal seq
             token = np.concatenate([t for _, _, t in held])
             size = [len(t) for _, _, t in held]
             cls, full = np.repeat([c for c, _, _ in held], size), np.repeat([f for _, f, _ in held], size)
             bucket = (mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((token, bucket))
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            got = [(b, order[x:y]) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if x < y]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), *(pa.array([v[i].astype(kind).tobytes() for _, i in got], pa.binary()) for v, kind in ((token, "<i8"), (cls, "<i8"), (full, "<i4")))], names=["b", "t", "c", "n"])
+            order = np.lexsort((cls, token, bucket))
+            token, cls, full, bucket = token[order], cls[order], full[order], bucket[order]
+            first = np.flatnonzero(np.diff(token, prepend=-1))
+            length = np.diff(np.append(first, len(token)))
+            many = np.repeat(length > RUN, length)
+            head = np.zeros(len(token), bool)
+            head[first] = True
+            full[many] = -1
+            star = np.unique(np.stack([np.repeat(cls[first], length)[many], cls[many]], 1), axis=0)
+            keep = ~many | head
+            token, cls, full, bucket = token[keep], cls[keep], full[keep], bucket[keep]
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            got = [(b, 0, token[x:y], cls[x:y], full[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+            for i in range(0, len(star), 100_000):
+                seq += 1
+                got.append((seq % buckets, 1, star[i : i + 100_000, 0], star[i : i + 100_000, 1], np.empty(0)))
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), *(pa.array([g[i].astype(kind).tobytes() for g in got], pa.binary()) for i, kind in ((2, "<i8"), (3, "<i8"), (4, "<i4")))], names=["b", "star", "t", "c", "n"])
 
         for batch in batches:
             for c, f, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 held.append((c, f, np.frombuffer(raw, "<i8")))
                 n += len(held[-1][2])
-                if n >= 3_000_000:
+                if n >= 2_000_000:
                     yield blocks()
                     held, n = [], 0
         if n:
             yield blocks()
 
     def pair(batches) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         held: dict[int, list] = {}
         for batch in batches:
-            for b, *raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held.setdefault(b, []).append([np.frombuffer(r, kind) for r, kind in zip(raw, ("<i8", "<i8", "<i4"), strict=True)])
+            for b, star, *raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                t, c, n = (np.frombuffer(r, kind) for r, kind in zip(raw, ("<i8", "<i8", "<i4"), strict=True))
+                if star:
+                    yield from _edges(t, c, np.full(len(t), -1), np.zeros(len(t), np.int64))
+                else:
+                    held.setdefault(b, []).append((t, c, n))
         for b in sorted(held):
             token, cls, size = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
             order = np.lexsort((cls, size, token))
             token, cls, size = token[order], cls[order], size[order].astype(np.int64)
             first = np.flatnonzero(np.diff(token, prepend=-1))
             length = np.diff(np.append(first, len(token)))
-            big = length > RUN
+            big = (length > RUN) | (size[first] < 0)
             star = np.unique(np.stack([np.repeat(np.minimum.reduceat(cls, first)[big], length[big]), cls[np.repeat(big, length)]], 1), axis=0) if big.any() else np.empty((0, 2), np.int64)
             yield from _edges(star[:, 0], star[:, 1], np.full(len(star), -1), np.zeros(len(star), np.int64))
             a, c, need = [], [], []
             for r in range(2, RUN + 1):
-                start = first[length == r]
+                start = first[(length == r) & ~big]
                 for chunk in (start[i : i + 200_000] for i in range(0, len(start), 200_000)):
                     i, j = np.triu_indices(r, 1)
                     x, y = (chunk[:, None] + i).ravel(), (chunk[:, None] + j).ravel()
@@ -255,7 +305,7 @@ def _candidates(spark: SparkSession, classes: DataFrame, num: int, den: int) ->
                 new = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(c, prepend=-1) != 0))
                 yield from _edges(a[new], c[new], need[new], np.diff(np.append(new, len(a))))
 
-    dealt = classes.select("cls", "n", "prefix").mapInArrow(deal, "b int, t binary, c binary, n binary").repartition(buckets, "b")
+    dealt = classes.select("cls", "n", "prefix").mapInArrow(deal, "b int, star int, t binary, c binary, n binary").repartitionById(buckets, F.col("b"))
     found = dealt.mapInArrow(pair, "a long, b long, need long, shared long")
     return found.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).where("need < 0 or shared >= need").where("a <> b").select("a", "b")
 
@@ -269,6 +319,7 @@ def _joined(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (cohort, blocks, a, b) of a spanning forest of the links in each block pair of each cohort."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         key, held = None, []
 
         def close() -> pa.RecordBatch:
@@ -294,69 +345,82 @@ def _joined(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: the least id that links of Jaccard similarity >= num/den reach.
+    """doc_id, n_shingles, component_id of each row, the least id that links of Jaccard similarity >= num/den reach, and content.
 
     Sets are of the distinct k-word shingles of the whole text, A-Z lower-cased; a text of fewer words is one shingle, a text
-    without a word (or null) is empty and linked with nothing. Equal sets link. Groups of any size are cut into blocks; a
-    block pair leaves a forest, never all pairs, and components of groups over one block are found over these forests.
-    Ids are taken to name one text; a row with a null id gets the component of the rows its set equals, else null.
-    An empty table gives an empty one; other columns are not read.
+    without a word (or null) is empty and linked with nothing. Equal sets are one class and link. Groups of any size are cut
+    into blocks; a block pair leaves a forest, never all pairs, and components of groups over one block are found over these
+    forests. Classes, not ids, are what is linked: rows that repeat an id are judged each by its own text, and a row with a
+    null id links others as any row does; its component_id is null where no linked row has an id. `content` is a 64-bit hash
+    of the text. An empty table gives an empty one; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
     hot = spark.sparkContext.broadcast(_hint(spark, rows, k))
 
     def read(batches) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         late, seen = hot.value, set()
         for batch in batches:
-            for ids, texts in docs_of(batch):
+            for row, texts in text_runs(batch, 1):
                 out = []
-                for t in texts:
-                    s = shingle_set(t, k)
+                for s in shingle_sets(texts, k):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     prefix = None
                     if len(s) and digest not in seen:
-                        if len(seen) >= 1_000_000:
+                        if len(seen) >= HELD_DIGESTS:
                             seen.clear()
                         seen.add(digest)
-                        prefix = np.sort(s | (late[s & (len(late) - 1)].astype(np.int64) << 62))[: prefix_size(len(s), num, den)].tobytes()
+                        at = s & (8 * len(late) - 1)
+                        often = (late[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.int64)
+                        prefix = np.sort(s | often << 62)[: prefix_size(len(s), num, den)].tobytes()
                     out.append((len(s), digest, prefix))
                 n, digest, prefix = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "digest", "prefix"])
-
-    table = work_table(spark, rows.mapInArrow(read, "doc_id long, n long, digest binary, prefix binary"), "jaccard-sets")
-    classes = table.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    # a class whose only copy with a prefix has no id is read from any copy: the prefix is the set's, not the row's
-    spare = table.where("n > 0 and doc_id is null and prefix is not null").select("digest", F.col("prefix").alias("other")).dropDuplicates(["digest"])
-    classes = classes.join(spare, "digest", "left").select("cls", "n", F.coalesce("prefix", "other").alias("prefix"))
+                some = batch.slice(row, len(out))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "content", "n", "digest", "prefix"])
+
+    table = work_table(spark, rows.select("doc_id", "text", "content").mapInArrow(read, "doc_id long, content long, n long, digest binary, prefix binary"), "jaccard-sets")
+    total = table.count()
+    # a class is known by its own number; its text is read again from one row, named by id and content
+    one_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"))).alias("row")
+    classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("prefix").alias("prefix"), one_row)
+    classes = work_table(spark, classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "id", "copies", "n", "prefix", "row.own_id", "row.own_content"), "jaccard-classes")
     edges = work_table(spark, _candidates(spark, classes, num, den), "jaccard-edges")
     cohorts = work_table(spark, connected_components(spark, edges), "jaccard-cohorts")
 
     def sets(batches) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [shingle_set(t, k) for t in (x or "" for x in part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in got], pa.int64()), pa.array([s.astype("<i8").tobytes() for s in got], pa.binary())], names=["cls", "cohort", "n", "tokens"])
+            for row, texts in text_runs(batch, 3, 1_000_000):
+                some, got = batch.slice(row, len(texts)), shingle_sets(texts, k)
+                out = pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in got], pa.int64()), pa.array([s.astype("<i8").tobytes() for s in got], pa.binary())], names=["cls", "cohort", "n", "tokens"])
+                # texts of one id and one 64-bit hash may still differ
+                yield out.filter(pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(got, some.column(2).to_pylist(), strict=True)], pa.bool_()))
 
     # the cohorts grow with the documents, so they are never broadcast: the same plan at every size
-    members = rows.where("doc_id is not null").join(cohorts.select(F.col("node").alias("doc_id"), F.col("component").alias("cohort")).hint("merge"), "doc_id").select(F.col("doc_id").alias("cls"), "cohort", "text")
+    wanted = cohorts.select(F.col("node").alias("cls"), F.col("component").alias("cohort")).join(classes.select("cls", "digest", "own_id", "own_content"), "cls")
+    members = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))).select("cls", "cohort", "digest", "text")
     sized = work_table(spark, members.mapInArrow(sets, "cls long, cohort long, n long, tokens binary"), "jaccard-members")
-    blocks = sized.groupBy("cohort").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    dealt = sized.join(blocks, "cohort").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), "blocks"))
+    blocks = sized.groupBy("cohort").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.count(F.lit(1)).alias("in_cohort"))
+    dealt = by_group(sized, blocks, ["cohort"], "in_cohort", sized.count()).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("cohort", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "tokens", (F.col("own") > F.col("other")).cast("int").alias("side"))
     links = work_table(spark, _joined(dealt, num, den), "jaccard-links")
     one = links.where("blocks = 1").select(F.col("b").alias("cls"), F.col("a").alias("component"))
     if links.where("blocks > 1").limit(1).count():
         one = one.union(connected_components(spark, links.where("blocks > 1").select("a", "b")))
-    ids = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls")).where("cls is not null")
-    named = ids.join(one, "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
-    full = table.select("doc_id", "n", "digest").join(named, "digest", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = work_table(spark, classes.select("cls", "digest", "id", "copies").join(one.distinct(), "cls", "left").select("digest", "id", "copies", F.coalesce("component", "cls").alias("component")), "jaccard-linked")
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("in_component")).where("in_component > 1")
+    named = by_group(linked, least, ["component"], "in_component", linked.count(), "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id"))
+    full = by_group(table.select("doc_id", "content", "n", "digest"), named, ["digest"], "copies", total, "left")
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "content")
 
 
 def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, of which each component's least id stays; rows with a null id are not dropped."""
-    gone = similar_sets(docs, k, num, den, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
+    """The rows of `docs`, all columns, of which each component's least id stays; rows with a null id are not dropped.
+
+    Rows are told apart by id and content, so rows that share an id and no text are judged each by its own text.
+    """
+    found = similar_sets(docs, k, num, den, id_col, text_col).where("component_id <> doc_id").select("doc_id", "content").distinct()
+    own = (docs[id_col] == found["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["content"])
+    return docs.join(found.hint("merge"), own, "left_anti").select(*(docs[c] for c in docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import docs_of, prepare
+from quern.llm._common import docs_of, prepare, working
 
 #: Hashed n-gram features.
 BINS = 4096
@@ -161,6 +161,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
     prepare(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("language")
         for batch in batches:
             for ids, texts in docs_of(batch):
                 for i in range(0, len(ids), 256):
@@ -173,5 +174,8 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
 
 
 def language_id(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on the rows where `train` holds, then predict every row."""
+    """Fit on the rows where `train` holds, then predict every row, as predict_language() says; null ids may not be learned from.
+
+    Where no row can be learned from, an empty table too, every row is `und`.
+    """
     return predict_language(docs, fit_language_model(docs, train, id_col, text_col, lang_col), id_col, text_col)

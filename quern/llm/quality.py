@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import Cache, docs_of, hash64, prepare, work_table
+from quern.llm._common import Cache, hash64, holds, prepare, text_runs, work_table, working
 from quern.llm.language_id import _sample
 
 #: Buckets of words and of word shapes, and dimensions of their vectors.
@@ -38,6 +38,7 @@ def word_codes(part: str) -> int:
 
 
 _CODES = Cache(word_codes)
+holds("quality", _CODES.clear)
 
 
 def codes_of(text: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -177,6 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
     index = index_vectors()
 
     def sums(batches) -> Iterator[pa.RecordBatch]:
+        working("quality")
         total = np.zeros_like(index)
         for batch in batches:
             total += context_sums(batch.column(0).to_pylist(), index)
@@ -188,6 +190,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
     vectors = word_vectors(total, index)
 
     def features(batches) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             x = pooled(batch.column(1).to_pylist(), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], names=["doc_id", "label", "x"])
@@ -204,27 +207,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted (1 if score >= threshold) of each row, over its whole text; one pass, no shuffle.
 
-    Null texts count as empty. Without a model each score is 0.5. Ids, null or repeated, are passed on.
+    Null texts count as empty. Without a model each score is 0.5. Ids, null or repeated, are passed on; other columns are not
+    read; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
-            for ids, texts in docs_of(batch):
-                score = model.score(texts) if model else np.full(len(ids), 0.5)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for row, texts in text_runs(batch, 1):
+                score = model.score(texts.to_pylist()) if model else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores `threshold` or more; all rows without a model. One pass, no shuffle."""
+    """The rows of `docs`, all columns, whose text scores `threshold` or more; all rows without a model. One pass, no shuffle.
+
+    Rows are judged by their text alone, whatever their id; null texts count as empty. An empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
-            score = [model.score(texts) for _, texts in docs_of(pa.RecordBatch.from_arrays([batch.column(at)] * 2, names=["x", "y"]))]
+            score = [model.score(texts.to_pylist()) for _, texts in text_runs(batch, at)]
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= threshold))
 

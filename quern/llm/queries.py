@@ -27,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    """Groups of equal texts, white space aside: one row per row of `documents`, as exact_dedup() defines null, empty and repeated rows."""
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("content")
 
 
 def fold(n: int) -> Column:
@@ -36,37 +37,45 @@ def fold(n: int) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages; a row with a null id is never held out and never learned from. No row for an empty table."""
     got = language_id(table(spark, sf_dir, "documents"), fold(3) != 1)
     return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "distance", "rejected")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written to files in id order and read back by place: null texts have their end id alone, null ids come first."""
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), crc=True)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text; null texts count as empty, null and repeated ids are passed on."""
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digest=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; null texts count as empty, and where a label or all labels are missing every score is 0.5."""
     docs = table(spark, sf_dir, "documents")
     got = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), fold(4) != 2))
     return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    """Components of texts alike in their 4-word shingles; empty texts are alone, rows are judged by text where ids are null or repeat."""
+    return similar_sets(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("content")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that benchmark items leak into; null and empty texts and items give no row."""
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removal of repeated 35-word passages leaves; rows are judged by text where ids are null or repeat."""
     return remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that look like secrets; null texts have none, each row keeps its own where ids are null or repeat."""
     got = secret_scan(table(spark, sf_dir, "documents"))
     n = [F.size(of_kind(F.col("found"), o)).cast("long").alias(f"n_{k}") for o, k in enumerate(("assign", "access", "hex"))]
     base = joined(F.filter("found", lambda x: x["o"] < 3))
@@ -74,6 +83,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 scores; null texts are their end alone, rows with a null id are scored but not learned from."""
     got = lm_scores(table(spark, sf_dir, "documents"), fold(7) != 2)
     return got.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -88,9 +98,44 @@ FROM n
 """
 
 
+#: The words of each document, A-Z lower-cased or not.
+_WORDS = r"SELECT doc_id, regexp_extract_all({}, '[^\x20\x09-\x0D]+') AS w FROM documents"
+
+OP6_SQL = f"""
+WITH RECURSIVE words AS ({_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words
+),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+OP8_SQL = f"""
+WITH words AS ({_WORDS.format("coalesce(text, '')")}),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+again AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}

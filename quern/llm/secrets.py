@@ -1,14 +1,21 @@
 """Secret scan in DataFrame functions only: fixed patterns, and a battery of randomness tests for other strings.
 
-A long string of an encoding's letters is a secret if it looks drawn at random. The battery tests that hypothesis: chi-squared
-uniformity over the encoding's alphabet and over its classes, the runs of its lower and upper half, and the correlation of
-neighbours. The least p-value, times the number of tests, is the string's. Strings that are not random are the discoveries:
-within each encoding and length band the Benjamini-Hochberg rule dismisses them at rate FALSE_RATE, so that short strings, on
-which the tests say little, are not judged by the many long ones. What is not dismissed is reported as `random`.
+A long string of an encoding's letters is a secret if it looks drawn at random. Two questions are asked of it.
+
+* Does it look random? The battery tests that: chi-squared uniformity over the encoding's alphabet and over its classes, the
+  runs of its lower and upper half, and the correlation of neighbours. A string whose least p-value, times the number of
+  tests, is below NOT_RANDOM is dismissed.
+* Could it be natural text: a word, an identifier, a path, a number? Under a fixed model of such text (which class of
+  character follows which, and how frequent letters and digits are) the likelihood ratio of random to natural has expectation
+  1, so its inverse bounds the p-value of "natural". Within each encoding and length band the Benjamini-Hochberg rule reports
+  strings with such p-values at a false-discovery rate of FALSE_RATE: of what is reported as `random`, no larger share is
+  natural text. Bands keep the many long strings from lending short ones, on which the tests say little, their evidence.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # of the pattern's maximal runs, those of 20 char
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-FALSE_RATE = 0.05
+FALSE_RATE, NOT_RANDOM = 0.05, 1e-3
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: name, what a string must match, its alphabet
@@ -32,6 +39,11 @@ ENCODINGS = (
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGIT + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGIT + "-_"),
 )
+#: Natural text: letters and digits from frequent to rare with the share of the first and the ratio of each to the one before,
+#: and how often a class of character follows another (rows: from lower, upper, digit, other; columns: to the same).
+NATURAL_LETTERS, LETTER_RATIO = "etaoinsrhldcumfpgwybvkxjqz", 0.88
+NATURAL_DIGITS, DIGIT_RATIO = "0123456789", 0.85
+NATURAL_STEPS = ((0.86, 0.06, 0.03, 0.05), (0.70, 0.20, 0.04, 0.06), (0.12, 0.08, 0.68, 0.12), (0.55, 0.20, 0.20, 0.05))
 SPAN = "array<struct<s:int,o:int,e:int,k:string>>"
 CHUNK = 256
 
@@ -82,8 +94,33 @@ def _of_encoding(of) -> Column:
     return out
 
 
+def _shares(letters: str, ratio: float) -> dict[str, float]:
+    weights = [ratio**k for k in range(len(letters))]
+    return {c: w / sum(weights) for c, w in zip(letters, weights, strict=True)}
+
+
+def _natural_logs() -> tuple[dict[str, float], dict[str, float]]:
+    """Natural log-likelihoods: of each character in its class, and of each step between classes ("aA": lower to upper)."""
+    letters, digits = _shares(NATURAL_LETTERS, LETTER_RATIO), _shares(NATURAL_DIGITS, DIGIT_RATIO)
+    own = {c: math.log(p) for c, p in letters.items()} | {c.upper(): math.log(p) for c, p in letters.items()} | {c: math.log(p) for c, p in digits.items()}
+    own |= {c: math.log(1 / 4) for c in "+/_-"}
+    return own, {a + b: math.log(NATURAL_STEPS[i][j]) for i, a in enumerate("aA0-") for j, b in enumerate("aA0-")}
+
+
+def natural_p(text: Column, alphabet_size: Column) -> Column:
+    """A bound on the p-value of "natural": natural likelihood over that of a uniform draw from the encoding's alphabet."""
+    own, step = _natural_logs()
+    kinds = F.translate(text, _UPPER + _LOWER + _DIGIT + "+/_", "A" * 26 + "a" * 26 + "0" * 10 + "---")
+    logs = F.lit(math.log(1 / 4))  # the first character's class
+    for c, log in own.items():
+        logs = logs + (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * log
+    for pair, log in step.items():
+        logs = logs + F.regexp_count(kinds, F.lit(f"{pair[0]}(?={pair[1]})")) * log
+    return F.least(F.lit(1.0), F.exp(logs + F.length(text) * F.log(alphabet_size)))
+
+
 def battery(strings: DataFrame) -> DataFrame:
-    """Adds p (null where no encoding fits), enc and band to rows with a column `v` (string)."""
+    """Adds p of "random" (null where no encoding fits), p of "natural" (natural), enc and band to rows with a column `v`."""
     enc = F
     for k, (_, pattern, _) in enumerate(ENCODINGS):
         enc = enc.when(F.col("v").rlike(pattern), F.lit(k))
@@ -115,7 +152,7 @@ def battery(strings: DataFrame) -> DataFrame:
     d = d.withColumn("v2", spread2).withColumn("v12", F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x))
     z_serial = F.when(F.col("v2") > 0, F.abs(F.col("v12") / F.col("v2") * F.sqrt("n"))).otherwise(F.lit(9.0))
     p = F.least(F.lit(1.0), 4 * F.least(_upper_tail(chi), _upper_tail(F.col("z_class")), _tail(z_runs), _tail(z_serial)))
-    d = d.withColumn("p", F.when(F.col("enc").isNotNull(), p)).withColumn("band", F.least(F.lit(12), F.floor(F.log2("n") * 2) - 9).cast("int"))
+    d = d.withColumn("p", F.when(F.col("enc").isNotNull(), p)).withColumn("natural", natural_p(F.col("v"), F.col("m"))).withColumn("band", F.least(F.lit(12), F.floor(F.log2("n") * 2) - 9).cast("int"))
     return d.drop("own", "n", "m", "chars", "vals", "squares", "z_class", "bits", "ones", "runs", "mean", "v2", "v12")
 
 
@@ -128,7 +165,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Strings that the patterns name are all there; `random` ones are added where they overlap none of those. The text is read
     once; what is found is a written table, and only counts by encoding, length band and p-value bin (bounded) are shuffled.
-    A null text counts as empty and has an empty array. Ids, null or repeated, are passed on; other columns are not read.
+    A null text counts as empty and has an empty array. Ids, null or repeated, are passed on, each row with its own spans; other
+    columns are not read. An empty table gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -144,13 +182,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     apart = F.filter("r", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     tested = battery(found.where(F.size("r") > 0).select("row", F.explode(apart).alias("x")).select("row", "x.s", "x.e", F.col("x.v").alias("v"))).where("p is not null")
-    tested = work_table(spark, tested.select("row", "s", "e", "enc", "band", _bin(F.col("p")).alias("bin")), "secret-tests")
+    tested = work_table(spark, tested.select("row", "s", "e", "enc", "band", (F.col("p") >= NOT_RANDOM).alias("random"), _bin(F.col("natural")).alias("bin")), "secret-tests")
     counts = tested.groupBy("enc", "band", "bin").agg(F.count(F.lit(1)).alias("c"))
     within = Window.partitionBy("enc", "band")
     ranked = counts.withColumn("above", F.sum("c").over(within.orderBy(F.desc("bin")))).withColumn("all", F.sum("c").over(within))
+    # a bin's largest p-value stands for it; at most 7 encodings x 13 bands
     limits = ranked.where(F.pow(F.lit(2.0), -F.col("bin") / 2) <= FALSE_RATE * F.col("above") / F.col("all")).groupBy("enc", "band").agg(F.min("bin").alias("limit"))
-    # at most 7 encodings x 13 bands
-    random = tested.join(F.broadcast(limits), ["enc", "band"], "left").where("limit is null or bin < limit")
+    random = tested.where("random").join(F.broadcast(limits), ["enc", "band"]).where("bin >= limit")
     added = random.groupBy("row").agg(F.collect_set(F.struct(F.col("s"), F.lit(3).alias("o"), F.col("e"), F.lit(KINDS[3]).alias("k"))).alias("more"))
     out = found.select("row", "doc_id", "base").join(added, "row", "left")
     return out.select("doc_id", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})")))).alias("found"))

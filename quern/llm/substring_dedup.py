@@ -2,8 +2,10 @@
 
 A window's shard is that of its minimizer, the least hash of the short word runs in it, so equal windows meet in one shard.
 Consecutive windows with one minimizer travel as one segment. Segments whose minimizer is theirs alone are done; equal ones
-are counted before they move. What is left is indexed shard by shard: a wavelet matrix over the Burrows-Wheeler transform,
-with suffixes sorted as deep as a search goes, and backward search over it.
+are counted before they move, and stand in the index as one row of their class. What is left is indexed shard by shard: a
+wavelet matrix of compressed bitmaps over the Burrows-Wheeler transform, with suffixes sorted as deep as a search goes. The
+documents' stretches are streamed through it by backward search, which gives their matching statistics: how far left of a
+place a stretch occurs twice.
 """
 
 from __future__ import annotations
@@ -13,22 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import Cache, ascii_words, docs_of, hash64, mix, prepare, work_table
+from quern.llm._common import by_group, hash_words, mix, prepare, split_words, text_runs, work_table, working
 
-#: Words of the runs that minimizers are chosen from; words a search matches at most (a power of two).
+#: Words of the runs that minimizers are chosen from; words a search matches at most, for windows of up to half as many.
 GRAM, DEPTH = 8, 64
 #: Words of an index; segments of one minimizer beyond which each window travels alone, to a shard of its own hash.
 SHARD_WORDS, HOT_SEGMENTS = 2_000_000, 20_000
+#: Segments of a bucket in which they meet; digests that a task keeps to cut equal texts once.
+BUCKET_SEGMENTS, HELD_DIGESTS = 2_000_000, 200_000
 
-_WORD = Cache(hash64)
 
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_WORD.__getitem__, words), np.uint64, len(words))
+def depth_of(window: int) -> int:
+    """Words that suffixes are sorted by and segments have at most: a power of two that leaves room for several windows."""
+    depth = DEPTH
+    while depth < window + window // 2:
+        depth *= 2
+    return depth
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -72,7 +79,7 @@ def segments(roll: Rolling, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     least = sliding_min(roll.each(gram), window - gram + 1)
     first = np.flatnonzero(np.diff(least, prepend=~least[:1]))
     count = np.diff(np.append(first, len(least)))
-    most = max(1, DEPTH - window + 1)
+    most = depth_of(window) - window + 1
     pieces = -(-count // most)
     inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(first, pieces) + inner * most
@@ -83,6 +90,39 @@ def segments(roll: Rolling, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
 # ---- FM-index ----
 
 
+class Bits:
+    """A bitmap without its words that are all zeros or all ones, of which a transform of repeated text has many.
+
+    Ones before each 64-bit word and stored words before it are 16-bit counts within blocks of BLOCK words and 64-bit counts
+    before each block; a word whose ones are 0 or 64 is not stored.
+    """
+
+    BLOCK = 512
+
+    def __init__(self, bits: np.ndarray):
+        words = np.packbits(np.concatenate([bits, np.zeros(64 + -len(bits) % 64, bool)]), bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(words).astype(np.int64)
+        mixed = (ones > 0) & (ones < 64)
+        self.words = words[mixed] if mixed.any() else np.zeros(1, np.uint64)
+        self.ones, self.ones_in = self._directory(ones)
+        self.stored, self.stored_in = self._directory(mixed.astype(np.int64))
+
+    def _directory(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = np.concatenate([[0], np.cumsum(counts)])
+        block = before[:: self.BLOCK]
+        return block, (before - np.repeat(block, self.BLOCK)[: len(before)]).astype(np.uint16)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word, off = at >> 6, at & 63
+        block = word // self.BLOCK
+        before = self.ones[block] + self.ones_in[word]
+        own = self.ones[(word + 1) // self.BLOCK] + self.ones_in[word + 1] - before
+        here = self.words[np.minimum(self.stored[block] + self.stored_in[word], len(self.words) - 1)]
+        part = np.bitwise_count(here & ((np.uint64(1) << off.astype(np.uint64)) - np.uint64(1)))
+        return before + np.where(own == 0, 0, np.where(own == 64, off, part))
+
+
 class WaveletMatrix:
     """Rank of any symbol: one bitmap a bit, most significant first, zeros before ones from level to level."""
 
@@ -91,18 +131,14 @@ class WaveletMatrix:
         self.levels = []
         for b in range(bits - 1, -1, -1):
             one = (values >> b & 1).astype(bool)
-            packed = np.packbits(np.concatenate([one, np.zeros(64 + -len(one) % 64, bool)]), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[:-1].astype(np.int32)
-            zeros = int(len(one) - one.sum())
-            self.levels.append((packed, before, zeros))
+            self.levels.append((Bits(one), int(len(one) - one.sum())))
             values = np.concatenate([values[~one], values[one]])
 
     def rank(self, symbol: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol before each of its places ([k, n]), less those before place 0."""
         at = np.concatenate([np.zeros((1, len(symbol)), np.int64), places])
-        for k, (packed, before, zeros) in enumerate(self.levels):
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for k, (bits, zeros) in enumerate(self.levels):
+            ones = bits.rank(at)
             bit = symbol >> (self.bits - 1 - k) & 1
             at = np.where(bit == 1, zeros + ones, at - ones)
         return at[1:] - at[0]
@@ -131,10 +167,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Of a text of symbols 0 (a separator) and up; patterns of up to `depth` symbols without a separator."""
+    """Of a text of symbols 0 (a separator) and up; patterns of up to `depth` symbols without a separator. The text is not kept."""
 
     def __init__(self, text: np.ndarray, depth: int = DEPTH):
-        self.text = text
         symbols = int(text.max()) + 1
         order = suffix_order(text, depth)
         self.wavelet = WaveletMatrix(text[order - 1], max(1, (symbols - 1).bit_length()))
@@ -145,16 +180,16 @@ class FmIndex:
         a, b = self.wavelet.rank(symbol, np.stack([low, high]))
         return self.before[symbol] + a, self.before[symbol] + b
 
-    def longest(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each stretch of the text, how far left of `end` (not beyond `begin`) it occurs twice or more: the place reached."""
+    def longest(self, stream: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each stretch of a stream of symbols, how far left of `end` (not beyond `begin`) it occurs twice: the place reached."""
         at = end - 1
-        first = self.text[at]
+        first = stream[at]
         low, high = self.before[first], self.before[first + 1]
         reached = np.where(high - low >= 2, at, end)
         live = np.flatnonzero((high - low >= 2) & (at > begin))
         low, high = low[live], high[live]
         while len(live):
-            symbol = self.text[reached[live] - 1]
+            symbol = stream[reached[live] - 1]
             low, high = self.extend(symbol, low, high)
             more = high - low >= 2
             live, low, high = live[more], low[more], high[more]
@@ -164,7 +199,7 @@ class FmIndex:
         return reached
 
 
-def repeated_windows(index: FmIndex, begin: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(index: FmIndex, stream: np.ndarray, begin: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
     """For each stretch of `windows` windows from `begin`, a row of flags [stretch, most windows]: the window occurs again.
 
     One search of a whole stretch from its end settles those that occur again whole. Else windows are searched from the left:
@@ -172,7 +207,7 @@ def repeated_windows(index: FmIndex, begin: np.ndarray, windows: np.ndarray, win
     """
     out = np.zeros((len(begin), int(windows.max(initial=1))), bool)
     place = np.arange(out.shape[1])
-    got = index.longest(begin, begin + windows + window - 1) - begin
+    got = index.longest(stream, begin, begin + windows + window - 1) - begin
     out |= (place >= got[:, None]) & (place < windows[:, None])
     # windows from `got` on are settled, the one that ends the stretch too
     left = np.minimum(got, windows - 1)
@@ -180,7 +215,7 @@ def repeated_windows(index: FmIndex, begin: np.ndarray, windows: np.ndarray, win
     live = np.flatnonzero(now < left)
     while len(live):
         s = begin[live] + now[live]
-        got = index.longest(s, s + window) - s
+        got = index.longest(stream, s, s + window) - s
         hit = got == 0
         out[live[hit], now[live[hit]]] = True
         now[live] += np.maximum(got, 1)
@@ -191,6 +226,15 @@ def repeated_windows(index: FmIndex, begin: np.ndarray, windows: np.ndarray, win
 # ---- the job ----
 
 
+def _digests(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes, str]]:
+    """Of each text the words' hashes, their digest, and the words joined by a space."""
+    words, sizes = split_words(texts)
+    h, ends = hash_words(words), np.concatenate([[0], np.cumsum(sizes)])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ").to_pylist()
+    for a, z, text in zip(ends.tolist(), ends[1:].tolist(), joined, strict=False):
+        yield h[a:z], xxhash.xxh3_128_digest(h[a:z].tobytes()), text or ""
+
+
 def _read(rows: DataFrame, window: int) -> DataFrame:
     """Each text's size and digests, and its segments unless the task has met the same words: m, s (digest), first, windows, own.
 
@@ -198,17 +242,15 @@ def _read(rows: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("repeats")
         seen: set = set()
         for batch in batches:
-            for ids, texts in docs_of(batch):
+            for row, texts in text_runs(batch, 2):
                 out = []
-                for text in texts:
-                    words = ascii_words(text)
-                    h = word_hashes(words)
-                    digest = xxhash.xxh3_128_digest(h.tobytes())
+                for h, digest, joined in _digests(texts):
                     blob = None
                     if len(h) >= window and digest not in seen:
-                        if len(seen) >= 1_000_000:
+                        if len(seen) >= HELD_DIGESTS:
                             seen.clear()
                         seen.add(digest)
                         roll = Rolling(h)
@@ -223,33 +265,37 @@ def _read(rows: DataFrame, window: int) -> DataFrame:
                             own[part[order][1:][twice]] = 1
                         s = roll.of(first, count + window - 1)
                         blob = b"".join([m.astype("<i8").tobytes(), s.astype("<u8").tobytes(), first.astype("<i4").tobytes(), count.astype("<i2").tobytes(), own.tobytes()])
-                    out.append((len(h), digest, hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest(), blob))
+                    out.append((len(h), digest, hashlib.sha256(joined.encode("utf-8")).digest(), blob))
                 n, digest, sha, blob = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.binary()), pa.array(blob, pa.binary())], names=["doc_id", "n_words", "digest", "sha", "segs"])
+                some = batch.slice(row, len(out))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.binary()), pa.array(blob, pa.binary())], names=["doc_id", "content", "n_words", "digest", "sha", "segs"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, digest binary, sha binary, segs binary")
+    return rows.select("doc_id", "content", "text").mapInArrow(run, "doc_id long, content long, n_words long, digest binary, sha binary, segs binary")
 
 
 _FIELDS = (("m", "<i8"), ("s", "<i8"), ("doc", "<i8"), ("first", "<i4"), ("count", "<i2"), ("own", "u1"), ("times", "<i4"))
+SEGMENT_BYTES = 23
 FULL, ASK, TEXT, ALONE = 0, 1, 2, 4
 
 
 def _flat(doc, first, count, kind) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(doc), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], t) for x, t in ((doc, pa.int64()), (first, pa.int32()), (count, pa.int32()), (kind, pa.int32()))], names=["doc_id", "first", "windows", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], t) for x, t in ((doc, pa.int64()), (first, pa.int32()), (count, pa.int32()), (kind, pa.int32()))], names=["cls", "first", "windows", "kind"])
 
 
 def _judge(classes: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, first, windows, kind) of segments that occur again whole (FULL) or that an index has to settle.
+    """(cls, first, windows, kind) of segments that occur again whole (FULL) or that an index has to settle.
 
     Segments meet by minimizer. A task sends equal segments once, with their number, so what all documents share arrives as
     one row a task; kind ASK is to be searched, TEXT only to be in the index, ALONE added where the minimizer is a hot one.
     """
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        working("repeats")
+        held, n, seq = [], 0, 0
 
         def blocks() -> pa.RecordBatch:
+            nonlocal seq
             col = {k: np.concatenate([h[k] for h in held]) for k, _ in _FIELDS[:6]}
             bucket = (mix(col["m"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((col["s"], col["m"], bucket))
@@ -260,31 +306,33 @@ def _judge(classes: DataFrame, buckets: int) -> DataFrame:
             again = np.repeat(times > 1, times)
             sent = {k: v[first] for k, v in col.items()} | {"times": times}
             bounds = np.searchsorted(bucket[first], np.arange(buckets + 1))
-            rows = [(b, {k: v[x:y] for k, v in sent.items()}) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if x < y]
+            rows = [(b, 0, {k: v[x:y] for k, v in sent.items()}) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if x < y]
             known = {k: v[again] for k, v in col.items()} | {"times": np.repeat(times, times)[again]}
-            for i in range(0, len(known["m"]), 1_000_000):
-                rows.append((-1 - i // 1_000_000, {k: v[i : i + 1_000_000] for k, v in known.items()}))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([r[k].astype(t).tobytes() for _, r in rows], pa.binary()) for k, t in _FIELDS)], names=["b", *(k for k, _ in _FIELDS)])
+            for i in range(0, len(known["m"]), 100_000):
+                seq += 1
+                rows.append((seq % buckets, 1, {k: v[i : i + 100_000] for k, v in known.items()}))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[k].astype(t).tobytes() for *_, r in rows], pa.binary()) for k, t in _FIELDS)], names=["b", "told", *(k for k, _ in _FIELDS)])
 
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = len(blob) // 23
+                size = len(blob) // SEGMENT_BYTES
                 cuts = np.cumsum([0, 8, 8, 4, 2, 1]) * size
                 m, s, first, count, own = (np.frombuffer(blob[a:b], t) for a, b, t in zip(cuts, cuts[1:], ("<i8", "<i8", "<i4", "<i2", "u1"), strict=False))
                 held.append({"m": m, "s": s, "doc": np.full(size, doc), "first": first, "count": count, "own": own})
                 n += size
-                if n >= 2_000_000:
+                if n >= 1_000_000:
                     yield blocks()
                     held, n = [], 0
         if n:
             yield blocks()
 
     def meet(batches) -> Iterator[pa.RecordBatch]:
+        working("repeats")
         held: dict[int, list] = {}
         for batch in batches:
-            for b, *raw in zip(*(batch.column(i).to_pylist() for i in range(1 + len(_FIELDS))), strict=True):
+            for b, told, *raw in zip(*(batch.column(i).to_pylist() for i in range(2 + len(_FIELDS))), strict=True):
                 col = {k: np.frombuffer(r, t) for (k, t), r in zip(_FIELDS, raw, strict=True)}
-                if b < 0:
+                if told:
                     yield from _flat(col["doc"], col["first"], col["count"].astype(np.int32), np.full(len(col["m"]), FULL, np.int32))
                 else:
                     held.setdefault(b, []).append(col)
@@ -307,67 +355,69 @@ def _judge(classes: DataFrame, buckets: int) -> DataFrame:
             at, kind = first[ask], np.where(times[ask] > 1, TEXT, ASK) + np.where(kinds[ask] > HOT_SEGMENTS, ALONE, 0)
             yield from _flat(col["doc"][at], col["first"][at], col["count"][at].astype(np.int32), kind.astype(np.int32))
 
-    dealt = classes.select("doc_id", "segs").mapInArrow(deal, "b int, " + ", ".join(f"{k} binary" for k, _ in _FIELDS))
-    return dealt.repartition(buckets, "b").mapInArrow(meet, "doc_id long, first int, windows int, kind int")
+    dealt = classes.select("cls", "segs").mapInArrow(deal, "b int, told int, " + ", ".join(f"{k} binary" for k, _ in _FIELDS))
+    return dealt.repartitionById(buckets, F.col("b")).mapInArrow(meet, "cls long, first int, windows int, kind int")
 
 
 def _indexed(texts: DataFrame, buckets: int, window: int) -> DataFrame:
-    """(doc_id, first, windows) of runs of windows that occur again, of (doc_id, text, asked: array of first, windows, kind)."""
+    """(cls, first, windows) of runs of windows that occur again, of (cls, digest, text, asked: array of first, windows, kind)."""
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
+        working("repeats")
         for batch in batches:
-            out = []
-            for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = ascii_words(text or "")
-                roll = Rolling(word_hashes(words))
-                m, first, count = segments(roll, window)
-                key = dict(zip(first.tolist(), m.tolist(), strict=True))
-                for a in asked:
-                    if a["first"] not in key:
+            for row, some in text_runs(batch, 2):
+                out, rest = [], batch.slice(row, len(some))
+                for (h, own, joined), cls, digest, asked in zip(_digests(some), *(rest.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                    if own != digest:  # another text of the same id and 64-bit hash
                         continue
-                    if a["kind"] & ALONE:
-                        starts = np.arange(a["first"], a["first"] + a["windows"])
-                        for s, h in zip(starts.tolist(), roll.of(starts, np.full(len(starts), window)).tolist(), strict=True):
-                            out.append((h >> 1, doc, s, 1, a["kind"] & ASK, " ".join(words[s : s + window])))
-                    else:
-                        out.append((key[a["first"]], doc, a["first"], a["windows"], a["kind"] & ASK, " ".join(words[a["first"] : a["first"] + a["windows"] + window - 1])))
-                if len(out) > 20_000:
+                    words, roll = joined.split(" "), Rolling(h)
+                    m, first, _ = segments(roll, window)
+                    key = dict(zip(first.tolist(), m.tolist(), strict=True))
+                    for a in asked:
+                        if a["kind"] & ALONE:
+                            starts = np.arange(a["first"], a["first"] + a["windows"])
+                            for s, x in zip(starts.tolist(), roll.of(starts, np.full(len(starts), window)).tolist(), strict=True):
+                                out.append((x >> 1, cls, s, 1, a["kind"] & ASK, " ".join(words[s : s + window])))
+                        else:
+                            out.append((key[a["first"]], cls, a["first"], a["windows"], a["kind"] & ASK, " ".join(words[a["first"] : a["first"] + a["windows"] + window - 1])))
+                    if len(out) > 20_000:
+                        yield _batch(out)
+                        out = []
+                if out:
                     yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
 
     def _batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["key", "doc_id", "first", "windows", "ask", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["key", "cls", "first", "windows", "ask", "words"])
 
     def search(batches) -> Iterator[pa.RecordBatch]:
+        working("repeats")
         held, size, last = [], 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
-            lists = [r[4].split(" ") for r in held]
-            ids: dict[str, int] = {}
-            flat = [ids.setdefault(w, len(ids) + 1) for ws in lists for w in ws]
-            sizes = np.array([len(ws) for ws in lists])
-            text = np.zeros(len(flat) + len(lists), np.int64)
-            begin = np.cumsum(sizes + 1) - sizes - 1
-            inner = np.ones(len(text), bool)
-            inner[begin + sizes] = False
-            text[inner] = flat
             asked = np.array([r[3] for r in held], bool)
             if not asked.any():
                 return
-            index = FmIndex(text)
+            lists = pc.split_pattern(pa.array([r[4] for r in held], pa.string()), " ")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            text = np.zeros(len(codes) + len(lists), np.int64)
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            inner = np.ones(len(text), bool)
+            inner[begin + sizes] = False
+            text[inner] = codes.astype(np.int64) + 1
+            index = FmIndex(text, depth_of(window))
+            stream = text.astype(np.int32)
             which = np.flatnonzero(asked)
             count = np.array([r[2] for r in held])[which]
             for i in range(0, len(which), 100_000):
                 part, n = which[i : i + 100_000], count[i : i + 100_000]
-                flags = repeated_windows(index, begin[part], n, window)
+                flags = repeated_windows(index, stream, begin[part], n, window)
                 edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
                 row, a = np.nonzero(edge == 1)
                 _, z = np.nonzero(edge == -1)
                 if len(row):
-                    doc, first = np.array([held[k][0] for k in part[row]], np.int64), np.array([held[k][1] for k in part[row]], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array((first + a).astype(np.int32)), pa.array((z - a).astype(np.int32))], names=["doc_id", "first", "windows"])
+                    cls, first = np.array([held[k][0] for k in part[row]], np.int64), np.array([held[k][1] for k in part[row]], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array((first + a).astype(np.int32)), pa.array((z - a).astype(np.int32))], names=["cls", "first", "windows"])
 
         for batch in batches:
             for key, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -380,30 +430,31 @@ def _indexed(texts: DataFrame, buckets: int, window: int) -> DataFrame:
         if held:
             yield from close()
 
-    cutting = texts.select("doc_id", "text", "asked").mapInArrow(cut, "key long, doc_id long, first int, windows int, ask int, words string")
-    return cutting.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(search, "doc_id long, first int, windows int")
+    cutting = texts.select("cls", "digest", "text", "asked").mapInArrow(cut, "key long, cls long, first int, windows int, ask int, words string")
+    return cutting.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(search, "cls long, first int, windows int")
 
 
 def _kept(texts: DataFrame, window: int, digest: bool) -> DataFrame:
-    """Of (doc_id, text, runs): words, words removed, and what is left."""
+    """Of (key, own, text, runs, whole): key, own, words, words removed (all if whole) and what is left, or its SHA-256."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("repeats")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for doc, text, runs in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = ascii_words(text or "")
-                    edge = np.zeros(len(words) + 1, np.int64)
+            for row, some in text_runs(batch, 2):
+                rest, out = batch.slice(row, len(some)), []
+                for (h, own, joined), runs, whole in zip(_digests(some), *(rest.column(i).to_pylist() for i in (3, 4)), strict=True):
+                    n = len(h)
+                    edge = np.zeros(n + 1, np.int64)
                     for r in runs or ():
-                        edge[min(r["first"], len(words))] += 1
-                        edge[min(r["first"] + r["windows"] + window - 1, len(words))] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                    kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                    out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest() if digest else kept))
+                        edge[min(r["first"], n)] += 1
+                        edge[min(r["first"] + r["windows"] + window - 1, n)] -= 1
+                    gone = np.ones(n, bool) if whole else np.cumsum(edge)[:-1] > 0
+                    kept = " ".join(w for w, g in zip(joined.split(" "), gone.tolist(), strict=False) if not g) if n else ""
+                    out.append((own, n, int(gone.sum()), hashlib.sha256(kept.encode("utf-8")).hexdigest() if digest else kept))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "wanted", "digest", "n_words", "n_removed", "kept"])
 
-    return texts.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.select("doc_id", "wanted", "text", "runs", "whole").mapInArrow(run, "doc_id long, wanted binary, digest binary, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -411,33 +462,43 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; kept is the words left, joined by a space, or with `digest` their SHA-256.
     A text whose words equal another's loses all of them if there are `window` or more, without a search. A null text has no
-    words. Ids are taken to name one text. A row with a null id loses all words if its text has a copy, else none, and its
-    windows do not count for others. `window` is at most DEPTH. Other columns are not read; an empty table gives an empty one.
+    words. Texts, not ids, are what is compared: rows that repeat an id are judged each by its own text, and rows with a null
+    id count for others and are searched as any row is. Other columns are not read; an empty table gives an empty one.
     """
-    if not 1 <= window <= DEPTH:
-        raise ValueError(f"window must be 1 to {DEPTH} words")
+    if window < 1:
+        raise ValueError("window must be a word or more")
     spark = prepare(docs.sparkSession)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
     table = work_table(spark, _read(rows, window), "repeats-read")
-    classes = table.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("segs").alias("segs"))
-    judged = work_table(spark, _judge(classes.where("doc_id is not null"), buckets), "repeats-judged")
-    asked = judged.where(f"kind <> {FULL}").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "kind")).alias("asked"))
-    named = rows.where("doc_id is not null")
-    found = _indexed(named.join(asked, "doc_id"), buckets, window)
-    runs = judged.where(f"kind = {FULL}").select("doc_id", "first", "windows").union(found).groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    copies = table.where(F.col("n_words") >= window).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    none = F.lit(hashlib.sha256(b"").hexdigest() if digest else "")
+    total, long = table.count(), F.col("n_words") >= window
+    # a class of equal word sequences has its own number; its text is read again from one row, named by id and content
+    one_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"))).alias("row")
+    classes = table.where(long).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("segs").alias("segs"), one_row)
+    classes = work_table(spark, classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "copies", "segs", "row.own_id", "row.own_content"), "repeats-classes")
+    n_segments = (classes.agg(F.sum(F.length("segs"))).first()[0] or 0) // SEGMENT_BYTES
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_segments // BUCKET_SEGMENTS))
+    judged = work_table(spark, _judge(classes, buckets), "repeats-judged")
+    named = classes.select("cls", "digest", "copies", "own_id", "own_content")
+    same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
+    asked = judged.where(f"kind <> {FULL}").groupBy("cls").agg(F.collect_list(F.struct("first", "windows", "kind")).alias("asked"))
+    found = _indexed(rows.join(asked.join(named, "cls").hint("merge"), same_row), buckets, window)
+    runs = judged.where(f"kind = {FULL}").select("cls", "first", "windows").union(found).groupBy("cls").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
+    # texts with a copy lose all words, whatever their runs are
+    runs = runs.join(named.where("copies = 1"), "cls").select("digest", "runs", "own_id", "own_content")
+    copies = named.where("copies > 1").select("digest", "copies")
     if not digest:
-        whole = table.select("doc_id", "digest").join(copies, "digest").where("doc_id is not null").select("doc_id").distinct().withColumn("all", F.lit(True))
-        got = _kept(rows.join(runs, "doc_id", "left"), window, False).join(whole, "doc_id", "left")
-        return got.select("doc_id", "n_words", F.when(F.col("all"), F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(F.col("all"), none).otherwise(F.col("kept")).alias("kept"))
-    cut = _kept(named.join(runs, "doc_id"), window, True).select("doc_id", "n_removed", "kept").dropDuplicates(["doc_id"])
-    got = table.select("doc_id", "n_words", "digest", "sha").join(copies, "digest", "left").join(cut, "doc_id", "left")
-    some = F.col("copies").isNotNull()
-    return got.select(
-        "doc_id",
-        "n_words",
-        F.when(some, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(some, none).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept"),
-    )
+        told = by_group(table.select("doc_id", "content", "digest", "n_words"), copies, ["digest"], "copies", total, "left")
+        alone = F.col("copies").isNull() & long
+        told = told.where(alone).join(runs.select("digest", "runs"), "digest", "left").unionByName(told.where(~alone), allowMissingColumns=True)
+        told = told.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), F.col("digest").alias("wanted"), "runs", F.col("copies").isNotNull().alias("whole"))
+        told = told.dropDuplicates(["own_id", "own_content", "wanted"])
+        return _kept(rows.join(told.hint("merge"), same_row), window, False).where("wanted = digest").select("doc_id", "n_words", "n_removed", "kept")
+    cut = _kept(rows.join(runs.withColumnRenamed("digest", "wanted").hint("merge"), same_row).withColumn("whole", F.lit(False)), window, True)
+    cut = cut.where("wanted = digest").select("digest", F.col("n_removed").alias("cut"), "kept")
+    base = by_group(table.select("doc_id", "n_words", "digest", "sha"), copies, ["digest"], "copies", total, "left")
+    none, sha = F.lit(hashlib.sha256(b"").hexdigest()), F.lower(F.hex("sha"))
+    whole = base.where(F.col("copies").isNotNull()).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), none.alias("kept"))
+    short = table.where(~long).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), sha.alias("kept"))
+    single = base.where(F.col("copies").isNull() & long).join(cut.hint("merge"), "digest", "left")
+    single = single.select("doc_id", "n_words", F.coalesce("cut", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", sha).alias("kept"))
+    return whole.union(single).union(short)

@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import docs_of, fresh_path, prepare
+from quern.llm._common import fresh_path, holds, prepare, text_runs, working
 from quern.llm.bpe import TextBpe
 
 MAGIC = b"QDAC0001"
 BLOCK = 8  # 64-bit words in a block of the rank directory
-#: Parts that a worker keeps the ids of (about 250 bytes each).
-CACHE_PARTS = 1_200_000
+#: Parts that a worker keeps the ids of (about 250 bytes each); ids that are read at a time.
+CACHE_PARTS, READ_IDS = 600_000, 1 << 17
 #: Ids after which a file is closed (a longer document still has one file).
 FILE_IDS = 4_000_000
 
@@ -113,7 +113,12 @@ class DacFile:
         return out
 
     def document(self, k: int) -> np.ndarray:
-        return self.at(np.arange(self.offsets[k], self.offsets[k + 1]))
+        """The ids of the k-th document."""
+        return self.documents(k, k + 1)
+
+    def documents(self, first: int, after: int) -> np.ndarray:
+        """The ids of some documents in a row, each reached by its place."""
+        return self.at(np.arange(self.offsets[first], self.offsets[after]))
 
 
 def put(uri: str, raw: bytes) -> None:
@@ -126,7 +131,43 @@ def put(uri: str, raw: bytes) -> None:
     fs.move(own, path)
 
 
+def get(uri: str) -> np.ndarray:
+    """A file of the shared store: a memory map where that can be, else its bytes."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.asarray(np.memmap(path, np.uint8, "r"))
+    with fs.open_input_stream(path) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+class TokenStore:
+    """Random access to the ids of many files, listed as write_token_files() does: (name, documents, ids) of each.
+
+    Files are opened when they are first asked for. A place counts the ids of all documents, in id order.
+    """
+
+    def __init__(self, directory: str, files: list[tuple[str, int, int]]):
+        self.directory, self.files = directory, sorted(files)
+        self.starts = np.concatenate([[0], np.cumsum([n for _, _, n in self.files])]).astype(np.int64)
+        self.opened: dict[int, DacFile] = {}
+
+    def file(self, k: int) -> DacFile:
+        if k not in self.opened:
+            self.opened[k] = DacFile(get(f"{self.directory}/{self.files[k][0]}"))
+        return self.opened[k]
+
+    def at(self, places) -> np.ndarray:
+        """The ids at these places of all files' ids."""
+        places = np.asarray(places, np.int64)
+        out, file = np.empty(len(places), np.uint32), np.searchsorted(self.starts, places, "right") - 1
+        for k in np.unique(file).tolist():
+            own = file == k
+            out[own] = self.file(k).at(places[own] - self.starts[k])
+        return out
+
+
 _ENCODERS: dict[str, TextBpe] = {}
+holds("token files", _ENCODERS.clear)
 
 
 def library_encoder(vocabulary: str) -> TextBpe:
@@ -155,26 +196,27 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        bpe, end = library_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        task, seq = TaskContext.get().partitionId(), 0
-        held_ids, held, n = [], [], 0
+        working("token files")
+        bpe, task, seq = library_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        held_ids, held, sizes, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal held_ids, held, n, seq
+            nonlocal held_ids, held, sizes, n, seq
             name = f"part-{task:06d}-{seq:05d}.dac"
-            put(f"{directory}/{name}", pack(held_ids, np.array([len(h) // 4 for h in held], np.int64), np.frombuffer(b"".join(held), "<u4")))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64())], names=["name", "n_docs", "n_ids"])
-            held_ids, held, n, seq = [], [], 0, seq + 1
+            put(f"{directory}/{name}", pack(held_ids, np.concatenate(sizes), np.concatenate(held)))
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held_ids)], pa.int64()), pa.array([n], pa.int64())], names=["name", "n_docs", "n_ids"])
+            held_ids, held, sizes, n, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for ids, texts in docs_of(batch, 2_000_000):
-                for i, got in zip(ids, bpe.encode(texts), strict=True):
-                    held_ids.append(i)
-                    held.append(got + end)
-                    n += len(got) // 4 + 1
-                    if n >= FILE_IDS:
-                        yield close()
+            for row, texts in text_runs(batch, 1):
+                ids, ends = bpe.encode(texts)
+                held_ids += batch.column(0).slice(row, len(texts)).to_pylist()
+                held.append(np.insert(ids, ends[1:], end_id))
+                sizes.append(np.diff(ends) + 1)
+                n += len(held[-1])
+                if n >= FILE_IDS:
+                    yield close()
         if held:
             yield close()
 
@@ -187,7 +229,7 @@ def read_token_files(files: DataFrame, directory: str) -> DataFrame:
     `start` counts the ids of all documents before, over all files. The list of files, one row for each 4 million ids or
     task, is read on the driver for its running sum; what comes from the files stays on the executors.
     """
-    return _read(files, directory, "ids binary", lambda raw: raw, pa.binary())
+    return _read(files, directory, "ids binary", bytes, pa.binary())
 
 
 def _read(files: DataFrame, directory: str, field: str, of, kind: pa.DataType) -> DataFrame:
@@ -200,15 +242,18 @@ def _read(files: DataFrame, directory: str, field: str, of, kind: pa.DataType) -
     starts = spark.createDataFrame([(x[0], b) for x, b in zip(listed, before[:-1], strict=True)], "name string, before long")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        working("token files")
         for batch in batches:
             for path, raw in zip(batch.column(0), batch.column(1), strict=True):
-                f = DacFile(raw.as_buffer())
-                ids, at = f.all().astype("<u4"), f.offsets.tolist()
-                name = path.as_py().rpartition("/")[2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(f.doc_ids)), pa.array(f.doc_ids, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(np.diff(f.offsets), pa.int64()), pa.array([of(ids[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], kind)],
-                    names=["name", "doc_id", "own", "n_tokens", field.split()[0]],
-                )
+                f, name, first = DacFile(raw.as_buffer()), path.as_py().rpartition("/")[2], 0
+                while first < len(f.doc_ids):
+                    after = max(first + 1, int(np.searchsorted(f.offsets, f.offsets[first] + READ_IDS, "right")) - 1)
+                    view, at = memoryview(f.documents(first, after).astype("<u4")).cast("B"), (4 * (f.offsets[first : after + 1] - f.offsets[first])).tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * (after - first)), pa.array(f.doc_ids[first:after], pa.int64()), pa.array(f.offsets[first:after]), pa.array(np.diff(f.offsets[first : after + 1])), pa.array([of(view[a:z]) for a, z in zip(at, at[1:], strict=False)], kind)],
+                        names=["name", "doc_id", "own", "n_tokens", field.split()[0]],
+                    )
+                    first = after
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(directory).select("path", "content")
     got = raw.mapInArrow(run, f"name string, doc_id long, own long, n_tokens long, {field}")
@@ -216,7 +261,11 @@ def _read(files: DataFrame, directory: str, field: str, of, kind: pa.DataType) -
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", crc: bool = False) -> DataFrame:
-    """Write the files and read them back: doc_id, start, n_tokens, ids; with `crc` ids_crc32 in the place of ids."""
+    """Write the files and read them back, each document by its place: doc_id, start, n_tokens, ids; with `crc` ids_crc32 for ids.
+
+    A null text counts as empty and has its end id alone; null ids come first, rows that repeat an id stay beside each other.
+    Other columns are not read. An empty table gives an empty one.
+    """
     spark = prepare(docs.sparkSession)
     directory = fresh_path(spark, "tokens")
     written = write_token_files(docs, vocabulary, directory, end_id, id_col, text_col)
