@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache holds at most before it starts anew (about 200 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Groups of more rows than this share of a table, and of HOT_LEAST rows, are joined in their rows' own tasks.
 HOT_SHARE, HOT_LEAST = 500, 500
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm._common import CACHE_WORDS, holds, prepare, text_runs, working
 
 NONE = np.int64(1) << 40  # a rank above all others
+TEXT_RUN = 10_000_000  # bytes of text that are cut into parts at a time
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -215,8 +216,25 @@ def core_of(part: str) -> tuple[str, str] | None:
     return (low, part[len(letters) :]) if low.isalpha() else None
 
 
+_ASCII_PART = "^(?P<core>[A-Za-z]+)(?P<tail>[" + "".join("\\" + c for c in TAIL) + "]*)$"
+
+
+def split_parts(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """core_of() of each part; a part that has none is a core of its own, with nothing after it."""
+    found = pc.extract_regex(parts, _ASCII_PART)
+    plain = found.is_valid()
+    cores = pc.if_else(plain, pc.ascii_lower(pc.struct_field(found, "core")), parts)
+    tails = pc.if_else(plain, pc.struct_field(found, "tail"), "")
+    other = pc.invert(pc.or_(plain, pc.string_is_ascii(parts)))
+    if pc.any(other).as_py():
+        pairs = [core_of(p) or (p, "") for p in parts.filter(other).to_pylist()]
+        cores = pc.replace_with_mask(cores, other, pa.array([c for c, _ in pairs], pa.string()))
+        tails = pc.replace_with_mask(tails, other, pa.array([t for _, t in pairs], pa.string()))
+    return cores, tails
+
+
 class TextBpe:
-    """Whole texts by their space-separated parts, each encoded once while it is cached.
+    """Whole texts by their space-separated parts, the letters of each encoded once while they are cached.
 
     No rule of the tokenizer looks across a space or a line feed, or joins letters with what is none, so a text's ids are
     those of its parts in order, and a part's those of its letters and of what follows them.
@@ -226,34 +244,19 @@ class TextBpe:
         self.encode_many, self.decode, self.most = encode_many, decode, most
         self.ids: dict[str, bytes] = {"": b""}
         self.text: dict[str, str] = {"": ""}
-        self.core_ids: dict[str, bytes] = {"": b""}
-        self.core_text: dict[str, str] = {"": ""}
 
-    def _encode_cores(self, cores: list[str]) -> None:
-        for start in range(0, len(cores), 50_000):
-            some = cores[start : start + 50_000]
-            for core, ids in zip(some, self.encode_many(some), strict=True):
-                self.core_ids[core] = ids.tobytes()
-                if self.decode:
-                    self.core_text[core] = " " + self.decode(ids.tolist()) if len(ids) else ""
-
-    def learn(self, parts: list[str]) -> None:
-        """Put these distinct parts into the caches."""
-        todo = [p for p in parts if p not in self.ids]
+    def learn(self, cores: list[str]) -> None:
+        """Put these distinct cores into the caches."""
+        todo = [c for c in cores if c not in self.ids]
         if len(self.ids) + len(todo) > self.most:
             self.ids, self.text = {"": b""}, {"": ""}
-            todo = [p for p in parts if p]
-        split = [(p, core_of(p) or (p, "")) for p in todo]
-        cores = {x for _, pair in split for x in pair} - self.core_ids.keys()
-        if len(self.core_ids) + len(cores) > self.most:
-            self.core_ids, self.core_text = {"": b""}, {"": ""}
-            cores = {x for _, pair in split for x in pair} - {""}
-        self._encode_cores(list(cores))
-        ids, text = self.core_ids, self.core_text
-        for p, (core, tail) in split:
-            self.ids[p] = ids[core] + ids[tail]
-            if self.decode:
-                self.text[p] = text[core] + text[tail]
+            todo = [c for c in cores if c]
+        for start in range(0, len(todo), 50_000):
+            some = todo[start : start + 50_000]
+            for core, ids in zip(some, self.encode_many(some), strict=True):
+                self.ids[core] = ids.tobytes()
+                if self.decode:
+                    self.text[core] = " " + self.decode(ids.tolist()) if len(ids) else ""
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text's begin and the last one's end."""
@@ -266,14 +269,20 @@ class TextBpe:
 
     def _run(self, texts: pa.Array, decoded: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        self.learn(parts)
+        parts = lists.flatten().dictionary_encode()
+        coded = [x.dictionary_encode() for x in split_parts(parts.dictionary)]
+        names = [x.dictionary.to_pylist() for x in coded]
+        self.learn(list(dict.fromkeys(names[0] + names[1])))
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        raw, ends = _joined(pa.array([self.ids[p] for p in parts], pa.binary()).take(coded.indices), at)
+
+        def all_of(cache: dict, kind: pa.DataType, nothing) -> tuple[np.ndarray, np.ndarray]:
+            core, tail = (pa.array([cache[n] for n in some], kind).take(x.indices) for some, x in zip(names, coded, strict=True))
+            return _joined(pc.binary_join_element_wise(core, tail, pa.scalar(nothing, kind)).take(parts.indices), at)
+
+        raw, ends = all_of(self.ids, pa.binary(), b"")
         out = []
         if decoded:
-            text, cuts = _joined(pa.array([self.text[p] for p in parts], pa.string()).take(coded.indices), at)
+            text, cuts = all_of(self.text, pa.string(), "")
             view = memoryview(text)
             out = [bytes(view[a + 1 : z]) for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
         return np.frombuffer(raw, "<u4"), ends // 4, out
@@ -311,7 +320,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         working("bpe")
         bpe = loaded(vocabulary)
         for batch in batches:
-            for row, texts in text_runs(batch, 1):
+            for row, texts in text_runs(batch, 1, TEXT_RUN):
                 own = batch.column(0).slice(row, len(texts))
                 ids, ends, decoded = bpe.round_trip(texts)
                 if digest:

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import fresh_path, holds, prepare, text_runs, working
-from quern.llm.bpe import TextBpe
+from quern.llm.bpe import TEXT_RUN, TextBpe
 
 MAGIC = b"QDAC0001"
 BLOCK = 8  # 64-bit words in a block of the rank directory
-#: Parts that a worker keeps the ids of (about 250 bytes each); ids that are read at a time.
-CACHE_PARTS, READ_IDS = 600_000, 1 << 17
+#: Words that a worker keeps the ids of (about 200 bytes each); words the library encodes as one text; ids read at a time.
+CACHE_PARTS, JOINED, READ_IDS = 1_200_000, 2000, 1 << 17
 #: Ids after which a file is closed (a longer document still has one file).
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 def _pad(raw: bytes) -> bytes:
@@ -171,7 +171,10 @@ holds("token files", _ENCODERS.clear)
 
 
 def library_encoder(vocabulary: str) -> TextBpe:
-    """The tokenizers library for a file, each distinct space-separated part encoded once while it is cached."""
+    """The tokenizers library for a file, each distinct word encoded once while it is cached.
+
+    Words of letters go to the library many in one text, where the vocabulary marks the ends of words: the ids are cut there.
+    """
     if vocabulary not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -179,7 +182,26 @@ def library_encoder(vocabulary: str) -> TextBpe:
         t = Tokenizer.from_file(vocabulary)
         t.no_truncation()
         t.no_padding()
-        _ENCODERS[vocabulary] = TextBpe(lambda parts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(parts, add_special_tokens=False)], most=CACHE_PARTS)
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        ends = np.zeros(t.get_vocab_size() + 1, bool)
+        if suffix:
+            ends[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
+
+        def single(parts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+
+        def many(parts: list[str]) -> list[np.ndarray]:
+            words = [p for p in parts if p.isalpha()] if suffix else []
+            found = {}
+            for some in (words[i : i + JOINED] for i in range(0, len(words), JOINED)):
+                ids = np.array(t.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                cuts = np.flatnonzero(ends[ids]) + 1
+                found.update(zip(some, np.split(ids, cuts[:-1]) if len(cuts) == len(some) else single(some), strict=True))
+            rest = [p for p in parts if p not in found]
+            found.update(zip(rest, single(rest), strict=True))
+            return [found[p] for p in parts]
+
+        _ENCODERS[vocabulary] = TextBpe(many, most=CACHE_PARTS)
     return _ENCODERS[vocabulary]
 
 
@@ -209,7 +231,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
             return row
 
         for batch in batches:
-            for row, texts in text_runs(batch, 1):
+            for row, texts in text_runs(batch, 1, TEXT_RUN):
                 ids, ends = bpe.encode(texts)
                 held_ids += batch.column(0).slice(row, len(texts)).to_pylist()
                 held.append(np.insert(ids, ends[1:], end_id))
@@ -226,7 +248,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
 def read_token_files(files: DataFrame, directory: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian u32) of the files that write_token_files() listed.
 
-    `start` counts the ids of all documents before, over all files. The list of files, one row for each 4 million ids or
+    `start` counts the ids of all documents before, over all files. The list of files, one row for each 2 million ids or
     task, is read on the driver for its running sum; what comes from the files stays on the executors.
     """
     return _read(files, directory, "ids binary", bytes, pa.binary())
