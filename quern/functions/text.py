@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 BLANK = r"[ \t]"
 #: White space in Unicode's sense.
@@ -30,11 +30,18 @@ def lines_normalised(text: Column) -> Column:
     return nullable(_sub(t, r"\n{3,}", "\n\n"))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def entities(text: Column) -> Column:
-    """The five named entities of markup, the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All character references of markup; the commonest, and texts without one, in the JVM."""
+    plain = text
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    common = _sub(text, "&(lt|gt|quot|#39|nbsp|copy|middot|amp);", "")
+    return F.when(~F.contains(common, F.lit("&")) & ~text.rlike("&amp;[#A-Za-z]"), plain).otherwise(_unescaped(text))
 
 
 def markup_normalised(text: Column, trim_lines: bool = True) -> Column:
@@ -192,3 +199,89 @@ def match_key(text: Column) -> Column:
 def headword_key(text: Column) -> Column:
     """The key without hyphens, circumflexes and middle dots too."""
     return _sub(match_key(text), "[-^·ㆍ]+", "")
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """Compatibility forms composed; plain ASCII, which has none, stays in the JVM."""
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(_composed(text))
+
+
+def term_key(text: Column) -> Column:
+    """Compatibility forms composed, lower case, no white space; null as empty."""
+    return _sub(F.lower(composed(F.coalesce(text, F.lit("")))), rf"{WIDE}+", "")
+
+
+def ends_as_statute(name: Column, endings: list[str]) -> Column:
+    """Whether a name of three characters or more ends as statutes' names do."""
+    return (F.length(name) >= 3) & name.rlike("(" + "|".join(endings) + ")$")
+
+
+def numbered(items: Column) -> Column:
+    """Structs (category, definition) as numbered lines."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), F.trim(x["category"]), F.lit("] "), F.trim(x["definition"]))), "\n")
+
+
+def judgment_type(text: Column) -> Column:
+    """Spellings of a judgment's type as one: forms composed, one space, spaces about colons, the full bench set apart."""
+    t = _sub(_sub(composed(F.coalesce(text, F.lit(""))), rf"{WIDE}+", " "), " ?: ?", " : ")
+    return F.trim(_sub(t, "전원합의체 ?(판결|결정)", "전원합의체 $1"))
+
+
+def case_name(text: Column) -> Column:
+    """A case's name without double quotes, on one line."""
+    return one_line(_sub(markup_normalised(F.coalesce(text, F.lit(""))), '["“”]', ""))
+
+
+def without_heading(text: Column, heading: Column) -> Column:
+    """An article's text without its heading, if it begins with it; null if nothing is left."""
+    return nullable(F.when(F.startswith(text, heading), F.substring(text, F.length(heading) + 1, F.length(text))).otherwise(text))
+
+
+#: The levels of headings, from the widest: each is named by its last syllable after a number.
+HEADING_LEVELS = ("편", "장", "절", "관")
+
+
+def heading_label(text: Column) -> Column:
+    """The shortest beginning that names a heading ("제1장"), else null."""
+    return F.nullif(F.regexp_extract(text, "^(제.+?(?:" + "|".join(HEADING_LEVELS) + "))", 1), F.lit(""))
+
+
+def heading_level(text: Column, levels: tuple[str, ...] = HEADING_LEVELS, pattern: str = "^제[^ ]*{}") -> Column:
+    """Which level's pattern the text begins with, the first of them; else unknown."""
+    out = F
+    for level in levels:
+        out = out.when(text.rlike(pattern.format(level)), level)
+    return out.otherwise("unknown")
+
+
+@F.pandas_udf(BooleanType())
+def _evidence_in(evidence: pd.Series, corpus: pd.Series) -> pd.Series:
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if c.isalnum())
+    return pd.Series([len(e := plain(a)) >= 2 and e in plain(b) for a, b in zip(evidence, corpus, strict=True)], dtype="bool")
+
+
+def evidence_in(evidence: Column, corpus: Column) -> Column:
+    """Whether the evidence, letters and digits alone, two or more of them, stands in the corpus, letters and digits alone."""
+    return _evidence_in(evidence, corpus)
+
+
+#: A reason of little substance: up to so many characters, and one of these said.
+LOW_SUBSTANCE = (
+    (1200, "(상고장|항소장).*(각하|보정|인지대|송달료|기간 내|기간내)"),
+    (1200, "(판결문|판결).*명백한 오류|판결선고일.*경정|직권으로 주문과 같이 결정"),
+    (1500, "청구의 표시|별지 청구원인|무변론 판결|자백간주"),
+    (1200, "(제1심|원심).*이유.*(그대로 )?인용|민사소송법 제420조"),
+)
+
+
+def low_substance(text: Column, rules: tuple = LOW_SUBSTANCE) -> Column:
+    """Whether any rule (most characters, pattern) holds of a text."""
+    out = F.lit(False)
+    for most, pattern in rules:
+        out = out | ((F.length(text) <= most) & text.rlike(pattern))
+    return out

@@ -23,12 +23,17 @@ def in_list_order(df: DataFrame, ids: list, key: str) -> DataFrame:
 
 
 def without_keys(df: DataFrame, fields: list[str], excluded: DataFrame, key: str = "key") -> DataFrame:
-    """Drops excluded keys (a dictionary's, one array) from arrays of structs with `key`; empty fields become null, rows without any go."""
-    keys = excluded.agg(F.collect_set("key").alias("_x"))
-    d = df.join(F.broadcast(keys))  # one row
-    cut = d.select(*(F.filter(F.col(c), lambda x: ~F.array_contains(F.col("_x"), x[key])).alias(c) if c in fields else F.col(c) for c in df.columns))
-    kept = cut.select(*(F.when(F.size(c) > 0, F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
-    return kept.where(F.coalesce(*(F.size(c) for c in fields)).isNotNull())
+    """Drops excluded keys (of any number) from arrays of structs with `key`; empty fields become null, rows without any go."""
+    others = [c for c in df.columns if c not in fields]
+    rows = df.withColumn("_row", F.struct(*others))
+    items = None
+    for c in fields:
+        one = rows.select("_row", F.lit(c).alias("_field"), F.posexplode(c).alias("_at", "_item")).withColumn("_key", F.col("_item")[key])
+        items = one if items is None else items.unionByName(one)
+    left = items.join(excluded.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti")
+    arrays = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_field") == c, F.struct("_at", "_item")))), lambda x: x["_item"]).alias(c) for c in fields]
+    kept = left.groupBy("_row").agg(*arrays)
+    return kept.select(*(F.when(F.size(c) > 0, F.col(c)).alias(c) if c in fields else F.col(f"_row.{c}") for c in df.columns))
 
 
 def first_of_each(df: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:
@@ -64,14 +69,19 @@ def merged_windows(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 EXCERPT = StructType([StructField("text", StringType()), StructField("windows", IntegerType()), StructField("chars", IntegerType())])
 
 
-def excerpts(heading: str, keywords: list[str], most: int, head: tuple[int, float], tail: tuple[int, float], about_heading: tuple[int, int], about_keyword: tuple[int, int], keyword_windows: int):
+def excerpts(headings: list[str], keywords: list[str], most: int, head: tuple[int, int], tail: tuple[int, int], about_heading: tuple[int, int], about_keyword: tuple[int, int], keyword_windows: int, title: str = "이유 발췌"):
     """A function of a text column: beginning, end and windows about headings and the first keywords, merged, up to `most`.
 
-    Texts of up to `most` characters stay whole. head and tail are (characters, share of most), the less counts.
+    Texts of up to `most` characters stay whole (0 windows). head and tail are (characters, part of most: a third is 3), the
+    less counts. Keywords are looked for one after another, in any case, and the first windows count. Each window is
+    preceded by [title number: begin~end]; `chars` counts the whole excerpt.
     """
     import re
 
-    title, words = re.compile(heading), re.compile("|".join(map(re.escape, keywords)))
+    heads, words = ([re.compile(p, re.I) for p in ps] for ps in (headings, keywords))
+
+    def about(text: str, patterns: list, before: int, after: int) -> list[tuple[int, int]]:
+        return [(max(0, m.start() - before), min(len(text), m.end() + after)) for p in patterns for m in p.finditer(text)]
 
     @F.pandas_udf(EXCERPT)
     def run(text: pd.Series) -> pd.DataFrame:
@@ -79,21 +89,22 @@ def excerpts(heading: str, keywords: list[str], most: int, head: tuple[int, floa
         for t in text:
             t = t or ""
             if len(t) <= most:
-                rows.append((t, 1 if t else 0, len(t)))
+                rows.append((t, 0, len(t)))
                 continue
-            spans = [(0, min(head[0], int(most * head[1]))), (len(t) - min(tail[0], int(most * tail[1])), len(t))]
-            spans += [(max(0, m.start() - about_heading[0]), min(len(t), m.end() + about_heading[1])) for m in title.finditer(t)]
-            for k, m in enumerate(words.finditer(t)):
-                if k == keyword_windows:
-                    break
-                spans.append((max(0, m.start() - about_keyword[0]), min(len(t), m.end() + about_keyword[1])))
+            spans = [(0, min(head[0], most // head[1])), (max(0, len(t) - min(tail[0], most // tail[1])), len(t))]
+            spans += about(t, heads, *about_heading) + about(t, words, *about_keyword)[:keyword_windows]
             left, parts = most, []
             for a, z in merged_windows(spans):
-                if left <= 0:
-                    break
-                parts.append(t[a : min(z, a + left)].strip())
-                left -= len(parts[-1])
-            rows.append(("\n...\n".join(parts), len(parts), sum(map(len, parts))))
+                part = t[a:z].strip()
+                if left <= 0 or not part:
+                    continue
+                if len(part) > left:
+                    part = part[:left].rstrip()
+                    z = a + len(part)
+                parts.append(f"[{title} {len(parts) + 1}: {a}~{z}]\n{part}")
+                left -= len(part)
+            out = "\n\n...\n\n".join(parts)
+            rows.append((out, len(parts), len(out)))
         return pd.DataFrame(rows, columns=["text", "windows", "chars"])
 
     return run

@@ -50,3 +50,60 @@ def evenly_spaced(df: DataFrame, count: int, by: list[str], order: list[str]) ->
         return d.where("_i = floor(_n / 2)").drop("_i", "_n")
     wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1), 0).cast("long"))
     return d.where(F.array_contains(wanted, F.col("_i").cast("long")) | (F.col("_n") <= count)).drop("_i", "_n")
+
+
+def required_then_spaced(df: DataFrame, key: str, required: list, total: int, order: list[Column]) -> DataFrame:
+    """`total` rows: the required keys that are there, then places spaced evenly over the order, then the first rows that are left.
+
+    Adds step (0 required, 1 spaced, 2 fill). Only `total` places and as many first rows are looked at beyond the numbering.
+    """
+    d = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    wanted = d.where(F.col(key).isin(required)).select(key)
+    n, asked = df.count(), min(total, wanted.count())
+    slots = total - asked
+    at = sorted({round(k * (n - 1) / max(slots - 1, 1)) for k in range(slots)}) if n else []
+    first = F.when(F.col(key).isin(required), 0).when(F.col("_i").isin(at), 1)
+    d = d.withColumn("step", F.coalesce(first, F.lit(2)))
+    return d.orderBy("step", "_i").limit(total).drop("_i")
+
+
+def preferred(df: DataFrame, cell: Column, cells: list[str], total: int, by: str, order: list[str], most_each: int = 2) -> DataFrame:
+    """`total` rows: cells give one row in turn, no value of `by` more than `most_each`; then the first rows that are left.
+
+    A row that stands beyond place `total` * `most_each` of its cell and `by` cannot be taken, so no more than the first
+    `most_each` of each (cell, by) and `total` of what is left reach the one task that takes turns.
+    """
+    d = df.withColumn("_cell", cell)
+    near = F.row_number().over(Window.partitionBy("_cell", by).orderBy(*order))
+    ahead = d.withColumn("_n", near).where(F.col("_n") <= most_each).where(F.col("_cell").isin(cells))
+    ahead = ahead.withColumn("_n", F.row_number().over(Window.partitionBy("_cell").orderBy(*order))).where(F.col("_n") <= total * most_each * len(cells)).drop("_n")
+    rest = d.orderBy(*order).limit(total)
+    columns = df.columns
+    both = ahead.withColumn("_first", F.lit(True)).unionByName(rest.withColumn("_first", F.lit(False)))
+
+    def run(frame):
+        got = frame.drop_duplicates(subset=[*order, "_first"]).sort_values(order)
+        turns = {c: list(g.itertuples()) for c, g in got[got["_first"]].groupby("_cell")}
+        taken, used, seen = [], {}, set()
+        while len(taken) < total:
+            moved = False
+            for c in cells:
+                queue = turns.get(c, [])
+                for k, r in enumerate(queue):
+                    if used.get(getattr(r, by), 0) < most_each:
+                        taken.append(r.Index)
+                        seen.add(tuple(getattr(r, o) for o in order))
+                        used[getattr(r, by)] = used.get(getattr(r, by), 0) + 1
+                        turns[c] = queue[:k] + queue[k + 1 :]
+                        moved = True
+                        break
+                if len(taken) == total:
+                    break
+            if not moved:
+                break
+        for r in got[~got["_first"]].itertuples():
+            if len(taken) < total and tuple(getattr(r, o) for o in order) not in seen:
+                taken.append(r.Index)
+        return got.loc[taken, columns]
+
+    return both.groupBy().applyInPandas(run, df.schema)

@@ -59,50 +59,119 @@ def sessions(df: DataFrame, by: str, time: str, key: str, ttl_seconds: int) -> D
 
 # ---- cutting long texts; order-dependent, so plain Python within a vectorised function ----
 
-#: Chunk size and overlap, and from which share of a chunk on a sentence's end is a good place to cut.
-SIZE, OVERLAP, CUT_FROM = 800, 120, 0.6
-_END = re.compile(r"[.!?。]\s")
+#: Chunk size and overlap, from which share of a window on a sentence's end is a good place to cut, and below how many
+#: characters a unit is glued to the next one.
+SIZE, OVERLAP, CUT_FROM, SMALL = 800, 120, 0.6, 120
+#: White space after the last syllable or sign of a sentence; what a short line says that introduces the next;
+#: a line of judges' names; how far from the end such lines are looked for, and which share of the text must remain.
+SENTENCE = r"(?<=[.다요임음함됨)])\s+"
+INTRO, INTRO_CHARS = "(상고이유|재항고이유|항소이유|원심판결 이유|기초사실|판단|본다|대하여)", 80
+SIGNATURE = r"(?m)^\s*(?:대법원판사|대법관|판사|재판장|주심)\s*[가-힣A-Za-z·ㆍ\s,()]+$"
+SIGNATURE_REACH, MUST_REMAIN = 1200, 0.5
+
+_SENTENCE, _INTRO, _SIGNATURE = re.compile(SENTENCE), re.compile(INTRO), re.compile(SIGNATURE)
 
 
 def split_long(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Windows of up to `size` characters, cut after a sentence if one ends late enough, each begun `overlap` before the last's end."""
+    """Windows of up to `size` characters, cut after a sentence if one ends late enough, each begun `overlap` before the last's end.
+
+    Sentences' ends are looked for in the window alone, as white space after a sentence's last syllable.
+    """
     out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            ends = [m.end() for m in _END.finditer(text, start + int(size * CUT_FROM), end)]
-            end = ends[-1] if ends else end
-        if part := text[start:end].strip():
-            out.append(part)
-        if end == len(text):
-            break
+    while len(text) - start > size:
+        late = [m.end() for m in _SENTENCE.finditer(text[start : start + size]) if m.end() >= size * CUT_FROM]
+        end = start + (late[-1] if late else size)
+        out.append(text[start:end].strip())
         start = max(end - overlap, start + 1)
+    if start < len(text):
+        out.append(text[start:].strip() if out else text)
+    return [part for part in out if part]
+
+
+def units(text: str, size: int = SIZE) -> list[str]:
+    """What chunks are packed from: lines, introductions with the line they introduce, small ones with the next, long ones cut."""
+    lines, whole = [x.strip() for x in text.split("\n") if x.strip()], []
+    at = 0
+    while at < len(lines):
+        introduces = len(lines[at]) <= INTRO_CHARS and _INTRO.search(lines[at])
+        if introduces and at + 1 == len(lines) and whole:
+            whole[-1] += "\n" + lines[at]
+        else:
+            whole.append("\n".join(lines[at : at + 2]) if introduces else lines[at])
+        at += 2 if introduces else 1
+    out, at = [], 0
+    while at < len(whole):
+        step = 2 if len(whole[at]) < SMALL else 1
+        out += split_long("\n".join(whole[at : at + step]), size, 0)
+        at += step
     return out
 
 
+def overlap_of(chunk: str, overlap: int) -> str:
+    """What the next chunk begins with: the chunk's end, from a line's begin on unless that is in the last characters."""
+    if not 0 < overlap < len(chunk):
+        return ""
+    tail = chunk[-overlap:].strip()
+    head, line_feed, rest = tail.partition("\n")
+    return rest.strip() if line_feed and len(head) < len(tail) - 20 else tail
+
+
 def pack(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Lines packed greedily into chunks; a chunk begins with the end of the one before, from a line's begin on, if there is room."""
-    units = [u for line in text.split("\n") if line.strip() for u in (split_long(line.strip(), size, 0) if len(line) > size else [line.strip()])]
+    """Units packed greedily into chunks; a chunk begins with the end of the one before where both fit."""
     out: list[str] = []
     now = ""
-    for u in units:
-        if not now:
-            now = u
-        elif len(now) + 1 + len(u) <= size:
-            now += "\n" + u
-        else:
+    for unit in units(text, size):
+        if now and len(now) + 1 + len(unit) > size:
             out.append(now)
-            tail = now[-overlap:] if overlap else ""
-            tail = tail[tail.index("\n") + 1 :] if "\n" in tail else tail
-            now = f"{tail}\n{u}" if tail and len(tail) + 1 + len(u) <= size else u
+            now = overlap_of(now, overlap)
+            if len(now) + 1 + len(unit) > size:
+                now = ""
+        now = f"{now}\n{unit}".strip()
     return [*out, now] if now else out
 
 
+def without_signatures(text: str) -> tuple[str, bool]:
+    """The text without the judges' names at its end, and whether there were any; the whole text if too little would remain."""
+    found = _SIGNATURE.search(text[max(0, len(text) - SIGNATURE_REACH) :])
+    kept = text[: max(0, len(text) - SIGNATURE_REACH) + found.start()].rstrip() if found else text
+    return (text, False) if not found or len(kept) < len(text) * MUST_REMAIN else (kept, True)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def packed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: pack(t or ""))
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
+def signatures_cut(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([without_signatures(t or "") for t in text], columns=["text", "cut"])
+
+
+def case_chunks(cases: DataFrame, key: str, split: list[tuple[str, str, str]], whole: list[tuple[str, str, str]]) -> DataFrame:
+    """(key, chunk_id, section, place, chunk) of cases: sections to split, and sections that are one chunk each.
+
+    Sections are (column, name in ids, title); empty ones give nothing. Ids are precedent:key:name:number in four digits.
+    """
+
+    def numbered(chunks: Column, name: str, title: str) -> Column:
+        return F.transform(chunks, lambda x, i: F.struct(F.lit(name).alias("name"), F.lit(title).alias("section"), (i + 1).alias("place"), x.alias("chunk")))
+
+    parts = [numbered(packed(c), n, t) for c, n, t in split]
+    parts += [numbered(F.filter(F.array(F.coalesce(F.col(c), F.lit(""))), lambda x: x != ""), n, t) for c, n, t in whole]
+    d = cases.select(key, F.explode(F.concat(*parts)).alias("x"))
+    return d.select(key, F.format_string("precedent:%s:%s:%04d", F.col(key).cast("string"), "x.name", "x.place").alias("chunk_id"), "x.section", "x.place", "x.chunk")
+
+
+def split_by_groups(children: DataFrame, key: str, order: str, line: Column, groups: DataFrame) -> DataFrame:
+    """(key, part, parts, chunk): children dealt to configured groups (key, order, part); both must have the same children."""
+    d = children.withColumn("_line", line).join(groups.select(key, order, "part"), [key, order], "full_outer")
+    ok = F.col("part").isNotNull() & F.col("_line").isNotNull()
+    d = d.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("the groups are not a partition of the children")).cast("boolean")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_line").alias("t")))), lambda x: x["t"]), "\n")
+    g = d.groupBy(key, "part").agg(body.alias("chunk"))
+    return g.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy(key))).select(key, "part", "parts", "chunk")
+
+
 HEADER = r"【([^】\n]{1,40})】"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import matching as M
-from quern.operators.lexical import bm25 as scores
+from quern.operators.lexical import best_bm25
 from quern.operators.validate import all_failing
 from quern.operators.vectors import top
 from quern.plans.catalog import query
@@ -15,7 +15,7 @@ from quern.tables import load
 
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 2)"
 BM25 = f"""
-WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (SELECT item_id AS query_id, list_slice({TOKENS}, 1, 8) AS t FROM benchmark),
+WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (SELECT item_id AS query_id, {TOKENS} AS t FROM benchmark),
 n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), qt AS (SELECT query_id, token, count(*) AS qf FROM (SELECT query_id, unnest(t) AS token FROM q) GROUP BY ALL),
 tf AS (SELECT token, doc_id, n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM d) WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
@@ -25,44 +25,50 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 """
 
 
-def scored(spark, sf_dir):
+def texts(spark, sf_dir):
+    """Tokens of the items as queries and of all documents."""
     docs = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 8).alias("tokens"))
-    return scores(q, docs)
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens")), docs
 
 
 @query(BM25 + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
 def bm25(spark, sf_dir):
-    return top(scored(spark, sf_dir), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
+    return best_bm25(*texts(spark, sf_dir), 5)
 
 
-@query(BM25 + """, u AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id % 4 <> query_id % 4)
+@query(BM25 + """, p AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN labels ON doc_id % 40 = item_id % 40),
+u AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s ANTI JOIN p USING (query_id, doc_id))
 SELECT query_id, doc_id, score, rank FROM u WHERE rank <= 5""")
 def bm25_unseen(spark, sf_dir):
-    seen = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("m"))
-    pooled = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("m")).join(seen, "m").drop("m")
-    return top(scored(spark, sf_dir).join(pooled, ["query_id", "doc_id"], "left_anti"), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m"))
+    pooled = items.join(load(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 40).alias("m")), "m").select("query_id", "doc_id").distinct()
+    most = pooled.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    best = best_bm25(*texts(spark, sf_dir), 5 + most).drop("rank")
+    return top(best.join(pooled, ["query_id", "doc_id"], "left_anti"), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
 
 
 @query("""
-WITH c AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6))[1:5] AS concepts FROM benchmark),
-c2 AS (SELECT item_id, unnest(concepts) AS concept FROM (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6)))[1:5] AS concepts FROM benchmark)),
-t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9가-힣]+')) AS concept FROM documents)
-SELECT item_id, doc_id, count(*) AS coverage FROM c2 JOIN t USING (concept) GROUP BY ALL HAVING count(*) >= 2
+WITH c AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6))) AS concept FROM benchmark),
+m AS (SELECT item_id, doc_id, count(*) AS coverage FROM c JOIN documents ON contains(lower(text), concept) GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) AS place FROM m)
+SELECT item_id, doc_id, coverage, place FROM r WHERE place <= 3
 """)
 def concept_coverage(spark, sf_dir):
-    c = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text"), 6))), 1, 5)).alias("concept"))
-    t = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 1))).alias("concept"))
-    return c.join(t, "concept").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("coverage")).where("coverage >= 2")
+    """How many of an item's concepts a text contains, as part of longer words too: two or more, the best three texts."""
+    c = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 6))).alias("key"))
+    found = M.match_terms(load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), c.select("key").distinct(), longest=False)
+    d = found.select(F.col("id").alias("doc_id"), "key").distinct().join(F.broadcast(c), "key")  # a stated set of items, whose terms match_terms bounds
+    covered = d.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("coverage")).where("coverage >= 2")
+    return covered.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id"))).where("place <= 3")
 
 
 @query(f"""
-WITH k AS (SELECT DISTINCT unnest({TOKENS}) AS key FROM benchmark WHERE item_id < 20), t AS (SELECT doc_id, lang, unnest({TOKENS}) AS key FROM documents)
+WITH k AS (SELECT DISTINCT unnest({TOKENS}) AS key FROM benchmark), t AS (SELECT doc_id, lang, unnest({TOKENS}) AS key FROM documents)
 SELECT key, count(DISTINCT doc_id) AS docs, count(*) AS occurrences, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es,
        row_number() OVER (ORDER BY count(DISTINCT doc_id) DESC, count(*) DESC, -length(key), key) AS place FROM t JOIN k USING (key) GROUP BY key
 """)
 def term_stats(spark, sf_dir):
-    k = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(T.tokens(F.col("text"))).alias("key")).distinct()
+    k = load(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("key")).distinct()
     t = load(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("key")).join(k, "key", "left_semi")
     per_doc = t.groupBy("key", "doc_id", "lang").agg(F.count(F.lit(1)).alias("n"))
     langs = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("en", "fr", "de", "es")]
@@ -113,9 +119,9 @@ SELECT parent, key FROM p JOIN k ON contains(parent, key) AND parent <> key AND
 def substring_join(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     keys = part.select(F.explode(F.split("p_name", " ")).alias("key")).where("length(key) >= 2").distinct()
-    parents = part.select(F.row_number().over(Window.orderBy(F.col("p_name"), F.col("p_type"))).cast("long").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("parent")).dropDuplicates(["parent"])
-    found = M.match_terms(parents, keys, "id", "parent", longest=False)
-    return found.select("id", "key").distinct().join(parents, "id").where("parent <> key").select("parent", "key")
+    parents = part.select(F.concat_ws(" ", "p_name", "p_type").alias("parent")).distinct().withColumn("id", F.xxhash64("parent"))
+    found = M.match_terms(parents, keys, "id", "parent", longest=False).select("id", "key").distinct()
+    return found.join(parents, "id").where(F.contains("parent", F.col("key")) & (F.col("parent") != F.col("key"))).select("parent", "key")
 
 
 @query()

@@ -12,15 +12,15 @@ from quern.tables import load
 
 
 @query("""
-WITH w AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT p_name AS name, count(*) AS n, count(*) FILTER (p_size > 25) AS valid FROM part WHERE p_partkey % 40 = 0 GROUP BY 1)
-SELECT w.name, coalesce(n, 0) AS matches, CASE WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' WHEN valid = 0 THEN 'invalid_detail' ELSE 'collected' END AS status FROM w LEFT JOIN c USING (name)
+WITH c AS (SELECT o_custkey AS c_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS valid FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(n, 0) AS matches, CASE WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' WHEN valid = 0 THEN 'invalid_detail' ELSE 'collected' END AS status FROM customer LEFT JOIN c USING (c_custkey)
 """)
 def lookup_status(spark, sf_dir):
-    part = load(spark, sf_dir, "part")
-    found = part.where("p_partkey % 40 = 0").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 25).alias("valid"))
-    d = part.select(F.col("p_name").alias("name")).distinct().join(found, "name", "left").withColumn("matches", F.coalesce("n", F.lit(0)))
+    """Customers looked up among the orders: exactly one match, of the right kind, is collected."""
+    found = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("valid"))
+    d = load(spark, sf_dir, "customer").select("c_custkey").join(found, "c_custkey", "left").withColumn("matches", F.coalesce("n", F.lit(0)))
     status = V.first_failing([("not_found", F.col("matches") == 0), ("ambiguous", F.col("matches") > 1), ("invalid_detail", F.col("valid") == 0)], "collected")
-    return d.select("name", "matches", status.alias("status"))
+    return d.select("c_custkey", "matches", status.alias("status"))
 
 
 @query("""

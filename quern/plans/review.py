@@ -29,13 +29,11 @@ def by_id_list(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_type NOT IN ('error', 'view'))
-SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS others FROM f WHERE n <= 5 GROUP BY user_id
+SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS others FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY user_id
 """)
 def nested_filter(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))).where("n <= 5")
-    item = F.struct(F.col("event_type").alias("key"), "n")
+    item = F.struct(F.col("event_type").alias("key"), "event_id")
     d = e.groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "click", item)).alias("clicks"), F.collect_list(F.when(F.col("event_type") != "click", item)).alias("others"))
     out = spark.createDataFrame([("error",), ("view",)], "key string")
     kept = R.without_keys(d, ["clicks", "others"], out)
@@ -118,18 +116,19 @@ def control_sample(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT doc_id, quality AS g FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS g FROM labels WHERE doc_id % 11 <> 0)
+WITH a AS (SELECT doc_id, quality AS g FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS g FROM labels JOIN documents USING (doc_id) WHERE n_chars >= 400)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.g AS before, b.g AS after, CASE WHEN b.g IS NULL THEN 'removed' WHEN a.g > b.g THEN 'lowered' ELSE 'raised' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.g IS DISTINCT FROM b.g
 """)
 def review_package(spark, sf_dir):
     labels = load(spark, sf_dir, "labels")
     a = labels.select("doc_id", F.col("quality").alias("before"))
-    b = labels.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("after"))
+    long = load(spark, sf_dir, "documents").where("n_chars >= 400").select("doc_id")  # the second review has no short texts
+    b = labels.join(long, "doc_id", "left_semi").select("doc_id", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("after"))
     d = a.join(b, "doc_id", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
     return d.withColumn("change", F.when(F.col("after").isNull(), "removed").when(F.col("before") > F.col("after"), "lowered").otherwise("raised"))
 
 
 @query()
 def windowed_excerpt(spark, sf_dir):
-    cut = R.excerpts(r"<h[1-3]>", ["the", "que", "und"], 1500, (400, 1 / 3), (200, 1 / 5), (50, 200), (40, 80), 8)
+    cut = R.excerpts(["<h[1-3]>"], ["the", "que", "und"], 1500, (400, 3), (200, 5), (50, 200), (40, 80), 8)
     return load(spark, sf_dir, "pages").select("page_id", cut("html").alias("e")).select("page_id", "e.text", "e.windows", "e.chars")

@@ -14,7 +14,7 @@ WIDE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 
 _N = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n?', chr(10), 'g'), '(?s)<img[^>]*>.*?</img>', '', 'g'), '</?img[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')"
 LINES = r"nullif(regexp_replace(regexp_replace(regexp_replace(" + _N + r", ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '')"
-_E = "replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_E = "replace(replace(replace(replace(replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _M = _E.format(t=r"regexp_replace(regexp_replace(regexp_replace(replace(html, '\n', chr(10)), '\r\n?', chr(10), 'g'), '(?i)<br */?>|</p>', chr(10), 'g'), '<[^>]*>', ' ', 'g')")
 MARKUP = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_M}, '\x{{a0}}', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 

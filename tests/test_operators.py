@@ -2,12 +2,13 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import labels, matching, metrics, sampling, stats, structure, validate, vectors
+from quern.operators import decisions, labels, lexical, matching, metrics, review, sampling, stats, structure, terms, validate, vectors
 from quern.sources import files
 from quern.streaming import state
 
@@ -128,3 +129,84 @@ def test_sessions_in_a_stream(spark, small, tmp_path):
     q.stop()
     want = structure.sessions(events, "user_id", "ts", "event_id", 1800).select("user_id", "event_id", "session")
     assert sorted(map(tuple, spark.sql("select user_id, event_id, session from sessions").collect())) == sorted(map(tuple, want.collect()))
+
+
+# ---- chunks, excerpts, terms, decisions ----
+
+
+def test_units_and_chunks():
+    intro, short, long = "상고이유를 본다", "짧은 문단.", "긴 문단이다. " * 40
+    units = structure.units(f"{intro}\n\n{long}\n{short}\n{short}\n{long}")
+    assert units[0] == f"{intro}\n{long.strip()}" and units[1] == f"{short}\n{short}" and units[2] == long.strip()
+    assert structure.units(f"{long}\n{intro}") == [f"{long.strip()}\n{intro}"]
+    assert structure.units("") == [] and structure.pack("") == []
+    cut = structure.split_long("문장 하나다. " * 200, 800, 0)
+    assert all(len(c) <= 800 and c.endswith("다.") for c in cut) and "".join(cut).replace(" ", "") == ("문장 하나다. " * 200).replace(" ", "")
+    chunks = structure.pack("\n".join(f"{k} " + "가" * 300 for k in range(8)), 800, 120)
+    assert all(len(c) <= 800 for c in chunks) and [c for c in chunks if c.startswith("0 ")] == chunks[:1]
+    assert chunks[1].split("\n")[0] == "가" * 120  # the end of the chunk before
+    body = "이유 " * 300
+    assert structure.without_signatures(body + "\n재판장 판사 홍길동") == (body.rstrip(), True)
+    assert structure.without_signatures("가나다라\n대법관 홍길동 김철수 이영희") == ("가나다라\n대법관 홍길동 김철수 이영희", False)  # too little would remain
+    assert structure.without_signatures("") == ("", False)
+
+
+def test_excerpts(spark):
+    text = "a" * 3000 + " key " + "b" * 3000
+    df = spark.createDataFrame([(text,), ("short",), (None,)], "text string")
+    cut = review.excerpts(["zzz"], ["KEY"], 1000, (300, 3), (100, 5), (50, 50), (20, 30), 8)
+    whole, short, none = [r.e for r in df.select(cut("text").alias("e")).collect()]
+    assert whole.text == f"[이유 발췌 1: 0~300]\n{'a' * 300}\n\n...\n\n[이유 발췌 2: 2981~3034]\n{text[2981:3034]}\n\n...\n\n[이유 발췌 3: 5905~6005]\n{'b' * 100}"
+    assert (whole.windows, short.text, none.text) == (3, "short", "")
+
+
+def test_text_columns(spark):
+    df = spark.createDataFrame([("１２ Ａb　c", "제1장 총칙", "전원합의체판결: 가", "가&copy;&#44032;나")], "a string, b string, c string, d string")
+    r = df.select(T.term_key("a").alias("k"), T.heading_label(F.col("b")).alias("l"), T.heading_level(F.col("b")).alias("v"), T.judgment_type(F.col("c")).alias("j"), T.entities(F.col("d")).alias("e"), T.low_substance(F.lit("무변론 판결")).alias("s"), T.evidence_in(F.lit("가, 나"), F.lit("x가 나y")).alias("i"), T.evidence_in(F.lit("가"), F.lit("가")).alias("n")).first()
+    assert tuple(r) == ("12abc", "제1장", "장", "전원합의체 판결 : 가", "가©가나", True, True, False)
+
+
+def test_component_cover(spark):
+    df = spark.createDataFrame([("abcabd", ["ab", "abc", "bd", "b", "x", ""]), ("", ["a"]), ("zz", None)], "parent string, components array<string>")
+    assert [tuple(r) for r in terms.cover(df).collect()] == [("abcabd", "abc", 0, 3), ("abcabd", "ab", 3, 5)]
+
+
+def test_preferred_sample(spark):
+    rows = [(k, f"q{k % 5}", "32"[k % 2]) for k in range(20)]
+    df = spark.createDataFrame(rows, "n int, q string, g string")
+    got = [r.n for r in sampling.preferred(df, F.col("g"), ["3", "2"], 7, "q", ["n"]).collect()]
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 6]
+    got = [r.n for r in sampling.preferred(df.where("q = 'q0'"), F.col("g"), ["3"], 3, "q", ["n"]).collect()]
+    assert sorted(got) == [0, 5, 10]  # two of the cell (0, 10), then the first that is left
+
+
+def test_decisions_that_fail(spark):
+    base = spark.createDataFrame([(1, 2), (2, 0)], "k int, grade int")
+    for bad in (spark.createDataFrame([(3, 1)], "k int, grade int"), spark.createDataFrame([(1, 5)], "k int, grade int"), spark.createDataFrame([(1, 1), (1, 1)], "k int, grade int")):
+        with pytest.raises(Exception, match="resolution|duplicate"):
+            decisions.resolved(base, bad, ["k"]).collect()
+    with pytest.raises(Exception, match="does not start"):
+        decisions.with_additions(base, spark.createDataFrame([(1, 0, 3)], "k int, from int, to int"), base.where("false"), ["k"]).collect()
+    with pytest.raises(Exception, match="duplicate"):
+        decisions.combined([("a", base), ("b", base)], ["k"]).collect()
+
+
+def test_best_bm25_equals_all_scores(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 30))]) for i in range(200)], "doc_id long, tokens array<string>")
+    queries = spark.createDataFrame([(q, [f"w{rng.randrange(60)}" for _ in range(6)]) for q in range(12)] + [(12, ["none"])], "query_id long, tokens array<string>")
+    all_of = {(r.query_id, r.doc_id): r.score for r in lexical.bm25(queries, docs).collect()}
+    want = {}
+    for q in range(13):
+        order = sorted(range(200), key=lambda d: (-all_of.get((q, d), 0.0), d))[:5]
+        want |= {(q, d): (k + 1, all_of.get((q, d), 0.0)) for k, d in enumerate(order)}
+    got = {(r.query_id, r.doc_id): (r.rank, r.score) for r in lexical.best_bm25(queries, docs, 5).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert lexical.best_bm25(queries.where("false"), docs, 5).count() == 0 and lexical.best_bm25(queries, docs.where("false"), 5).count() == 0
+
+
+def test_survey_ids():
+    from quern.plans import catalog
+
+    ids = catalog.covered()
+    assert len(ids) >= 200 and all(n in catalog.queries() for names in ids.values() for n in names)
