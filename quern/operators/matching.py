@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+import bisect
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,38 +18,16 @@ class Automaton:
     """All occurrences of any key in one pass over a text."""
 
     def __init__(self, keys):
-        self.next: list[dict[str, int]] = [{}]
-        self.out: list[list[str]] = [[]]
-        self.fail = [0]
-        for key in sorted(set(keys) - {""}):
-            node = 0
-            for c in key:
-                if c not in self.next[node]:
-                    self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.out.append([])
-                    self.fail.append(0)
-                node = self.next[node][c]
-            self.out[node].append(key)
-        queue = deque(self.next[0].values())
-        while queue:
-            node = queue.popleft()
-            for c, child in self.next[node].items():
-                queue.append(child)
-                back = self.fail[node]
-                while back and c not in self.next[back]:
-                    back = self.fail[back]
-                self.fail[child] = self.next[back].get(c, 0)
-                self.out[child] += self.out[self.fail[child]]
+        self.found = ahocorasick.Automaton()
+        for key in set(keys) - {""}:
+            self.found.add_word(key, key)
+        if len(self.found):
+            self.found.make_automaton()
 
     def find(self, text: str) -> Iterator[tuple[int, int, str]]:
-        node = 0
-        for i, c in enumerate(text):
-            while node and c not in self.next[node]:
-                node = self.fail[node]
-            node = self.next[node].get(c, 0)
-            for key in self.out[node]:
-                yield i + 1 - len(key), i + 1, key
+        if len(self.found):
+            for last, key in self.found.iter(text):
+                yield last + 1 - len(key), last + 1, key
 
 
 def hangul(c: str) -> bool:
@@ -63,12 +42,12 @@ def inside_word(text: str, start: int, key: str) -> bool:
 def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Of overlapping spans the longest, then the first, then the least key; in text order."""
     kept: list[tuple[int, int, str]] = []
-    taken: set[int] = set()
-    for s, e, k in sorted(spans, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if not any(i in taken for i in range(s, e)):
-            taken.update(range(s, e))
-            kept.append((s, e, k))
-    return sorted(kept)
+    for span in sorted(spans, key=lambda x: (x[0] - x[1], x[0], x[2])):
+        at = bisect.bisect_left(kept, span[:2])
+        # kept spans are apart, so only the neighbours can overlap
+        if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or kept[at][0] >= span[1]):
+            kept.insert(at, span)
+    return kept
 
 
 def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def ordered_hash(df: DataFrame, by: list[str], order: list[str], row: Column) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "\n"), 256).alias("digest"))
 
 
+def corpus_digest(df: DataFrame, order: list[str], row: Column) -> tuple[int, str]:
+    """(rows, SHA-256) of all rows' text in order, a line feed between: rows stream through the driver, which holds one block of them.
+
+    A digest over all rows in one order cannot be put together from parts; the sort is distributed, the hashing is not.
+    """
+    digest, n = hashlib.sha256(), 0
+    for r in df.orderBy(*order).select(row.alias("t")).toLocalIterator():
+        digest.update((b"\n" if n else b"") + r["t"].encode())
+        n += 1
+    return n, digest.hexdigest()
+
+
 def batches(sizes: Column, most_items: int, most_total: int) -> Column:
     """The batch (from 0) of each of an array of sizes, filled greedily in order up to a number of items and a total."""
     start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("total"), F.expr("cast(array() as array<int>)").alias("out"))

@@ -151,7 +151,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from quern.plans import chunking, decisions, labels, matching, rankings, records, retrieval, review, sampling, stats, structure, terms, text  # noqa: F401
+    from quern.plans import chunking, decisions, files, labels, matching, rankings, records, retrieval, review, sampling, stats, structure, terms, text  # noqa: F401
 
 
 _load()

@@ -93,6 +93,13 @@ def corpus_hash(spark, sf_dir):
     return stats.ordered_hash(load(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.concat_ws("|", "role", "text"))
 
 
+@query("SELECT count(*) AS rows, sha256(string_agg(doc_id || '|' || coalesce(lang, 'null') || '|' || coalesce(text, 'null'), chr(10) ORDER BY doc_id)) AS digest FROM documents", "AGG-23")
+def corpus_sha256(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    row = F.concat_ws("|", "doc_id", F.coalesce("lang", F.lit("null")), F.coalesce("text", F.lit("null")))
+    return spark.createDataFrame([stats.corpus_digest(d, ["doc_id"], row)], "rows long, digest string")
+
+
 @query("""
 SELECT event_type, count(*) AS calls, round(avg(value), 6) AS mean, count(*) FILTER (value > 100) AS slow, round(count(*) FILTER (value > 100) / count(*), 6) AS slow_rate,
        round(sum(CASE WHEN user_id % 3 = 0 THEN value * 2 WHEN user_id % 3 = 1 THEN value * 0.5 ELSE NULL END) / 1000000, 6) AS cost FROM events GROUP BY event_type

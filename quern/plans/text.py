@@ -148,3 +148,12 @@ def case_lists(spark, sf_dir):
     d = load(spark, sf_dir, "orders").select("o_custkey", F.expr(CASE_TEXT).alias("c"), "o_orderkey")
     g = d.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "c"))), lambda x: x["c"]), ", ").alias("list"))
     return g.select("o_custkey", T.case_list(F.concat("list", F.lit(", 77, 78"))).alias("cases"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n+') AS w FROM documents)),
+c AS (SELECT doc_id, i, {one_line_sql('t')} AS t FROM p), d AS (SELECT doc_id FROM documents)
+SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS summary FROM d LEFT JOIN c USING (doc_id) GROUP BY doc_id
+""", "STR-31")
+def easy_summary(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("summary"))

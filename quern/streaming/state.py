@@ -15,11 +15,15 @@ SESSIONS = "user_id long, event_id long, session int, opened timestamp"
 def session_stream(events: DataFrame, ttl_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
     """user_id, event_id, session, opened of a stream of (user_id, event_id, ts): a session ends ttl after it was opened.
 
-    State is one number and one time a user. Events of a batch are taken in order; one that comes later than another batch's
-    is put into the session that is open then.
+    State is one number and one time a user, forgotten once the watermark has passed the session's end, so it does not grow
+    with all users ever seen; sessions of a user that was forgotten are numbered from 1 again. Events of a batch are taken in
+    order; one that comes later than another batch's is put into the session that is open then.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n = state.get if state.exists else (0, 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         out = []
@@ -29,10 +33,11 @@ def session_stream(events: DataFrame, ttl_seconds: int = 1800, late: str = "10 m
                 opened, n = micros, n + 1
             out.append((key[0], e, n, pd.Timestamp(opened * 1000)))
         state.update((opened, n))
+        state.setTimeoutTimestamp(max(opened // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "session", "opened"])
 
     rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("user_id").applyInPandasWithState(step, SESSIONS, "opened long, n int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, SESSIONS, "opened long, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def favourite_stream(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
