@@ -12,12 +12,25 @@ def hash_key(seed: str, *parts: str) -> Column:
 
 
 def hash_sample(df: DataFrame, rate: float, seed: str, by: list[str], keys: list[str], rounding: str = "half_even") -> DataFrame:
-    """Of each group of n rows the round(n rate) (or, rounding up, ceil) that come first in hash order."""
+    """Of each group of n rows the round(n rate) (or, rounding up, ceil) that come first in hash order.
+
+    Counts by the hash's first digits say from which on no row can be taken, so that only about a share `rate` of the rows,
+    and not whole groups, is sorted.
+    """
+    d = df.withColumn("_h", hash_key(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))  # at most 4096 a group
     w = Window.partitionBy(*by)
-    size = F.count(F.lit(1)).over(w) * F.lit(rate)
+    size = F.sum("_c").over(w) * F.lit(rate)
     quota = F.bround(size, 0) if rounding == "half_even" else F.ceil(size)
-    d = df.withColumn("_quota", quota).withColumn("sample_rank", F.row_number().over(w.orderBy(hash_key(seed, *keys))))
-    return d.where("sample_rank <= _quota").drop("_quota")
+    reach = counts.withColumn("_quota", quota).withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c"))
+    last = reach.where("_before < _quota").groupBy(*by).agg(F.max("_b").alias("_last"), F.max("_quota").alias("_quota"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        last = last.withColumnRenamed(c, f"_by{k}")
+        same = same & d[c].eqNullSafe(F.col(f"_by{k}"))
+    near = d.join(last, same & (F.col("_b") <= F.col("_last")))
+    near = near.withColumn("sample_rank", F.row_number().over(w.orderBy("_h"))).where("sample_rank <= _quota")
+    return near.select(*df.columns, "sample_rank")
 
 
 def stratified(df: DataFrame, strata: Column, total: int, seed: str, keys: list[str]) -> DataFrame:
