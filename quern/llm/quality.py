@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,23 @@ _CODES = Cache(word_codes)
 holds("quality", _CODES.clear)
 
 
-def codes_of(text: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Word buckets, shape buckets and the share of non-empty lines that repeat one before."""
-    lines = text.split("\n")
-    parts = text.split()
-    both = np.fromiter(map(_CODES.__getitem__, parts), np.int64, len(parts))
-    words, shapes = both >> 16, both & 0xFFFF
-    if len(parts) > 1:
-        same = np.fromiter(map(str.__eq__, parts[1:], parts[:-1]), bool, len(parts) - 1)
-        shapes[1:][same] = REPEAT
-    full = [x for x in lines if x.strip()]
-    return words, shapes, 1 - len(set(full)) / len(full) if full else 0.0
+def codes_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each text word buckets, shape buckets and the share of non-empty lines that repeat one before."""
+    lists = pc.utf8_split_whitespace(texts)
+    coded, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    parts = coded.dictionary.to_pylist()
+    known = np.fromiter((_CODES[p] if p else -1 for p in parts), np.int64, len(parts))
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    end = 0
+    for text, n in zip(texts.to_pylist(), sizes.tolist(), strict=True):
+        own = which[end : end + n]
+        end += n
+        both = known[own]
+        own, both = own[both >= 0], both[both >= 0]  # white space at the ends gives empty parts
+        words, shapes = both >> 16, both & 0xFFFF
+        shapes[1:][own[1:] == own[:-1]] = REPEAT
+        full = [x for x in text.split("\n") if x.strip()]
+        yield words, shapes, 1 - len(set(full)) / len(full) if full else 0.0
 
 
 def index_vectors() -> np.ndarray:
@@ -62,11 +69,10 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def context_sums(texts: list[str], index: np.ndarray) -> np.ndarray:
+def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     """For each bucket the sum of the index vectors around its occurrences."""
     out = np.zeros((WORDS + SHAPES, DIM))
-    for text in texts:
-        words, shapes, _ = codes_of(text)
+    for words, shapes, _ in codes_of(texts):
         for start in range(0, len(words), 100_000):
             w, s = words[start : start + 100_000], shapes[start : start + 100_000]
             own = index[w] + index[s]
@@ -92,11 +98,10 @@ def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A document's mean word vector, mean shape vector, log length, share of repeated words and of repeated lines."""
     out = np.zeros((len(texts), 2 * DIM + 3), np.float32)
-    for i, text in enumerate(texts):
-        words, shapes, again = codes_of(text)
+    for i, (words, shapes, again) in enumerate(codes_of(texts)):
         n = len(words)
         for start in range(0, n, 200_000):
             out[i, :DIM] += vectors[words[start : start + 200_000]].sum(0)
@@ -120,7 +125,7 @@ class QualityModel:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         z = self.logits(pooled(texts, self.vectors).astype(np.float64)) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -181,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
         working("quality")
         total = np.zeros_like(index)
         for batch in batches:
-            total += context_sums(batch.column(0).to_pylist(), index)
+            total += context_sums(batch.column(0), index)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["sums"])
 
     total = np.zeros_like(index)
@@ -192,7 +197,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
     def features(batches) -> Iterator[pa.RecordBatch]:
         working("quality")
         for batch in batches:
-            x = pooled(batch.column(1).to_pylist(), vectors)
+            x = pooled(batch.column(1), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], names=["doc_id", "label", "x"])
 
     got = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(features, "doc_id long, label int, x binary").collect())
@@ -216,7 +221,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
         working("quality")
         for batch in batches:
             for row, texts in text_runs(batch, 1):
-                score = model.score(texts.to_pylist()) if model else np.full(len(texts), 0.5)
+                score = model.score(texts) if model else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -233,7 +238,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
     def run(batches) -> Iterator[pa.RecordBatch]:
         working("quality")
         for batch in batches:
-            score = [model.score(texts.to_pylist()) for _, texts in text_runs(batch, at)]
+            score = [model.score(texts) for _, texts in text_runs(batch, at)]
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= threshold))
 
