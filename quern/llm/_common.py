@@ -73,8 +73,10 @@ def work_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    drop(spark, df._quern_path)
+def drop_table(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        drop(spark, df._quern_path)
 
 
 _HELD: dict[str, Callable[[], None]] = {}
@@ -242,4 +244,6 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
             break
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._quern_path = now._quern_path
+    return out

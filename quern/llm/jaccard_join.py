@@ -386,7 +386,9 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("prefix").alias("prefix"), one_row)
     classes = work_table(spark, classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "id", "copies", "n", "prefix", "row.own_id", "row.own_content"), "jaccard-classes")
     edges = work_table(spark, _candidates(spark, classes, num, den), "jaccard-edges")
-    cohorts = work_table(spark, connected_components(spark, edges), "jaccard-cohorts")
+    found = connected_components(spark, edges)
+    cohorts = work_table(spark, found, "jaccard-cohorts")
+    drop_table(spark, edges, found)
 
     def sets(batches) -> Iterator[pa.RecordBatch]:
         working("jaccard")
@@ -406,10 +408,12 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("cohort", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "tokens", (F.col("own") > F.col("other")).cast("int").alias("side"))
     links = work_table(spark, _joined(dealt, num, den), "jaccard-links")
+    drop_table(spark, cohorts, sized)
     one = links.where("blocks = 1").select(F.col("b").alias("cls"), F.col("a").alias("component"))
     if links.where("blocks > 1").limit(1).count():
         one = one.union(connected_components(spark, links.where("blocks > 1").select("a", "b")))
     linked = work_table(spark, classes.select("cls", "digest", "id", "copies").join(one.distinct(), "cls", "left").select("digest", "id", "copies", F.coalesce("component", "cls").alias("component")), "jaccard-linked")
+    drop_table(spark, classes, links)
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("in_component")).where("in_component > 1")
     named = by_group(linked, least, ["component"], "in_component", linked.count(), "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id"))
     full = by_group(table.select("doc_id", "content", "n", "digest"), named, ["digest"], "copies", total, "left")
