@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import work_table
+from quern.llm._common import drop_table, work_table
 from quern.llm.bpe import bpe_round_trip
 from quern.llm.decontaminate import decontaminate
 from quern.llm.exact_dedup import drop_copies
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work_table(spark, docs, f"stage-{k}")
+            if k:
+                drop_table(spark, before)
     return docs
