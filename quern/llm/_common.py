@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache holds at most before it starts anew (about 200 bytes each).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Groups of more rows than this share of a table, and of HOT_LEAST rows, are joined in their rows' own tasks.
 HOT_SHARE, HOT_LEAST = 500, 500
 
@@ -74,9 +74,14 @@ def work_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove written tables that nothing reads any more."""
+    """Remove written tables that nothing reads any more.
+
+    The plans that read them hold tables they were sent on the driver until both of its sides collect their garbage.
+    """
     for df in tables:
         drop(spark, df._quern_path)
+    give_back()
+    spark.sparkContext._jvm.System.gc()
 
 
 _HELD: dict[str, Callable[[], None]] = {}
@@ -96,6 +101,11 @@ def working(user: str) -> None:
         if name != user:
             clear()
     _USER[0] = user
+    give_back()
+
+
+def give_back() -> None:
+    """Collect this process's garbage and give free memory back."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -200,15 +210,15 @@ def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
     rows where these are; the others meet by a shuffle. `how`: inner, left or left_semi. Null keys meet nothing.
     """
     most = max(HOT_LEAST, total // HOT_SHARE)
-    large = groups.where(F.col(size) > most)  # at most HOT_SHARE rows, as sizes add up to `total`
-    rest = groups.where(F.col(size) <= most)
-    if how == "left_semi":
-        large, rest = large.select(*keys), rest.select(*keys)
-    told = rows.join(F.broadcast(large.withColumn("_met", F.lit(True))), keys, "left")
-    own = rows.columns
-    met = told.where("_met").drop("_met")
-    others = told.where("_met is null").select(*own).join(rest.hint("merge"), keys, how)
-    return met.select(*own, *(c for c in others.columns if c not in own)).unionByName(others)
+    own, wanted = rows.columns, keys if how == "left_semi" else groups.columns
+    large = groups.where(F.col(size) > most).select(*wanted)
+    found = large.collect()  # at most HOT_SHARE rows, as sizes add up to `total`
+    rest = groups.select(*wanted).hint("merge")
+    if not found:
+        return rows.join(rest, keys, how)
+    told = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, large.schema).withColumn("_met", F.lit(True))), keys, "left")
+    others = told.where("_met is null").select(*own).join(rest, keys, how)
+    return told.where("_met").select(*own, *(c for c in others.columns if c not in own)).unionByName(others)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm._common import CACHE_WORDS, holds, prepare, text_runs, working
 
 NONE = np.int64(1) << 40  # a rank above all others
-TEXT_RUN = 10_000_000  # bytes of text that are cut into parts at a time
+TEXT_RUN = 4_000_000  # bytes of text that are cut into parts at a time
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 

@@ -29,7 +29,7 @@ from quern.llm.bpe import TEXT_RUN, TextBpe
 MAGIC = b"QDAC0001"
 BLOCK = 8  # 64-bit words in a block of the rank directory
 #: Words that a worker keeps the ids of (about 200 bytes each); words the library encodes as one text; ids read at a time.
-CACHE_PARTS, JOINED, READ_IDS = 1_200_000, 2000, 1 << 17
+CACHE_PARTS, JOINED, READ_IDS = 900_000, 2000, 1 << 17
 #: Ids after which a file is closed (a longer document still has one file).
 FILE_IDS = 2_000_000
 
