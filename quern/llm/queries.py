@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import bpe_round_trip
+from quern.llm.conversation_repair import damaged, repair_conversations
 from quern.llm.decontaminate import benchmark_leaks
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard_join import similar_sets
 from quern.llm.language_id import language_id
 from quern.llm.lm import lm_scores
 from quern.llm.quality import fit_quality, score_quality
+from quern.llm.sequence_patterns import click_events, sequence_patterns
 from quern.llm.secrets import joined, of_kind, secret_scan
 from quern.llm.substring_dedup import remove_repeats
 from quern.llm.token_output import token_files
@@ -88,6 +90,16 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of clicks and of what opens and shuts them; clicks without client, time or kind are left out, equal ones count once."""
+    return sequence_patterns(click_events(table(spark, sf_dir, "clicks")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of damaged conversations; a null conv_id is one of its own, null roles and texts count as one space."""
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -133,9 +145,119 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+#: crc32 of ASCII text: a table of the 256 bytes (`crc_bytes.known`), then a step a character.
+_CRC_BYTES = "crc_bytes AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) FOR n IN range(256)] AS known)"
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c // 256, known[xor(c, x) % 256 + 1]), 4294967295::BIGINT))"
+
+#: Of all ways to end at an event the latest start is kept, level by level.
+_LONGER = """
+level{n} AS (
+  SELECT l.client_id, list_append(l.p, e.kind) AS p, e.t, max(l.begun) AS begun FROM level{before} l JOIN events e
+  ON l.client_id = e.client_id AND e.t > l.t AND e.t <= l.t + 300000000 AND e.t <= l.begun + 450000000 GROUP BY ALL
+)"""
+
+OP11_SQL = f"""
+WITH {_CRC_BYTES},
+clicked AS (
+  SELECT client_id, epoch_us(ts) AS t, kind, click_id IS NOT NULL AND {_CRC.format("coalesce(click_id, 0)::VARCHAR")} % 5 = 0 AS marked
+  FROM clicks, crc_bytes WHERE client_id IS NOT NULL AND ts IS NOT NULL AND kind IS NOT NULL
+),
+events AS (
+  SELECT client_id, t, kind FROM clicked UNION SELECT client_id, t - 1000000, 'open' FROM clicked WHERE marked
+  UNION SELECT client_id, t + 1000000, 'shut' FROM clicked WHERE marked
+),
+level1 AS (SELECT client_id, [kind] AS p, t, t AS begun FROM events),
+{",".join(_LONGER.format(n=n, before=n - 1) for n in (2, 3, 4))},
+supports AS (SELECT DISTINCT client_id, p FROM (FROM level1 UNION ALL FROM level2 UNION ALL FROM level3 UNION ALL FROM level4)),
+clients_crc AS (SELECT client_id, {_CRC.format("client_id::VARCHAR")} AS crc FROM (SELECT DISTINCT client_id FROM events), crc_bytes),
+kept AS (
+  SELECT p, count(*) AS support, sum(crc)::BIGINT AS clients_crc FROM supports JOIN clients_crc USING (client_id) GROUP BY p
+  HAVING count(*) >= 2 AND 100 * count(*) >= 3 * (SELECT count(*) FROM clients_crc)
+),
+parts AS (SELECT DISTINCT p AS longer, support, [p[i] FOR i IN range(1, len(p) + 1) IF (m >> (i - 1)) % 2 = 1] AS p FROM kept, range(1, 15) AS r(m) WHERE m < (1 << len(p)) - 1),
+wider AS (SELECT p, support, count(DISTINCT longer) AS n FROM parts GROUP BY p, support)
+SELECT array_to_string(p, '>') AS pattern, len(p)::INTEGER AS length, support, clients_crc, coalesce(n, 0) AS n_wider, n IS NULL AS closed
+FROM kept LEFT JOIN wider USING (p, support)
+"""
+
+#: The best way {c: cost, a: audit, t: text} to each of four states, row by row; insertions stand before a row or at the end.
+_NONE = "{'c': 1000000000, 'a': '', 't': ''}"
+_STEP = "CASE WHEN {w}.c >= 1000000000 THEN {w} ELSE {{'c': {w}.c + {cost}, 'a': {w}.a || '{edit}', 't': {w}.t || {text}}} END"
+
+
+def _step(w: str, cost: str, edit: str, text: str = "''") -> str:
+    return _STEP.format(w=w, cost=cost, edit=edit, text=text)
+
+
+def _row(w: dict[int, str]) -> list[str]:
+    """What each state is after a row, from the states before it."""
+    charge = "5 * (r.fault = 't')::INTEGER"
+    keep = lambda q, initial: f"CASE WHEN left(r.role, 1) = '{initial}' THEN {_step(w[q], charge, 'K', turn)} ELSE {_NONE} END"
+    turn = "r.role || ':' || r.text || chr(10)"
+    say = lambda q, role: _step(w[q], f"1 + {charge}", "R", f"'{role}:' || r.text || chr(10)")
+    stay = {1: [keep(0, "s")], 2: [keep(q, "u") for q in (0, 1, 3)] + [say(q, "user") for q in (0, 1, 3)], 3: [keep(2, "a"), say(2, "assistant")], 0: []}
+    out = []
+    for q in range(4):
+        gone = _step(w[q], "2", "D")
+        ways = f"list_min([{', '.join([gone, *stay[q]])}])" if stay[q] else gone
+        out.append(f"CASE WHEN r.fault IN ('b', 'd') THEN {gone} ELSE {ways} END")
+    return out
+
+
+_USER, _ASSISTANT = "'user:' || chr(10)", "'assistant:' || chr(10)"
+
+
+def _ready() -> str:
+    """The states with the insertions before a row: up to two of them lead from any state to any that can be said next."""
+    one = {2: [_step(f"w{q}", "5", "I", _USER) for q in (0, 1, 3)], 3: [_step("w2", "5", "I", _ASSISTANT)]}
+    first = {2: f"list_min([w2, {', '.join(one[2])}])", 3: f"list_min([w3, {', '.join(one[3])}])"}
+    cols = f"SELECT *, {first[2]} AS x2, {first[3]} AS x3 FROM states"
+    return f"SELECT * REPLACE (list_min([x2, {_step('x3', '5', 'I', _USER)}]) AS w2, list_min([x3, {_step('x2', '5', 'I', _ASSISTANT)}]) AS w3) FROM ({cols})"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_BYTES},
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations, crc_bytes
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(2) AS r(copy) WHERE code <> 0 AND (copy = 0 OR code = 3)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+turns AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed
+),
+states AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS w0, {_NONE} AS w1, {_NONE} AS w2, {_NONE} AS w3 FROM turns
+  UNION ALL
+  SELECT r.conv_id, r.i, {", ".join(f"{x} AS w{q}" for q, x in enumerate(_row({q: f"s.w{q}" for q in range(4)})))}
+  FROM ({_ready()}) s JOIN turns r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+),
+ended AS (
+  SELECT conv_id, list_min([w0, w3, {_step("w2", "5", "I", _ASSISTANT)}, {_step("w1", "10", "II", _USER + " || " + _ASSISTANT)}]) AS w
+  FROM states WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM turns GROUP BY conv_id)
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(w.c, 0)::BIGINT AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(w.t[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_patterns": OP11_SQL, "op13_conversation_repair": OP13_SQL}

@@ -19,7 +19,7 @@ from tests.llm.test_ops import base_spans, components, shingle_sets
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, small, name):
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "clicks", "conversations"):
         duckdb.sql(f"create or replace view {t} as select * from '{small}/{t}.parquet'")
     want = duckdb.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, small).toPandas()[list(want.columns)]
