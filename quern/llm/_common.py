@@ -73,6 +73,16 @@ def work_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed_table(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """work_table() with rows bucketed by `key`: joins by it move the other side alone."""
+    path = fresh_path(spark, name)
+    table = "quern_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out._quern_path = path
+    return out
+
+
 def drop_table(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more.
 

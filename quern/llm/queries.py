@@ -19,6 +19,7 @@ from quern.llm.quality import fit_quality, score_quality
 from quern.llm.sequence_patterns import click_events, sequence_patterns
 from quern.llm.secrets import joined, of_kind, secret_scan
 from quern.llm.substring_dedup import remove_repeats
+from quern.llm.suffix_dedup import remove_seen_bytes
 from quern.llm.token_output import token_files
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,6 +96,11 @@ def op11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_patterns(click_events(table(spark, sf_dir, "clicks")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without 50-byte strings that smaller ids have; null texts are empty, null ids come after all others."""
+    return remove_seen_bytes(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repairs of damaged conversations; a null conv_id is one of its own, null roles and texts count as one space."""
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
@@ -145,6 +151,27 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Bytes as pairs of hexadecimal digits.
+OP12_SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5(b[2 * i + 1:2 * i + 100]) AS h FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM bytes)),
+gone AS (SELECT doc_id, i FROM windows JOIN (SELECT h, min(doc_id) AS least FROM windows GROUP BY h) USING (h) WHERE doc_id > least),
+begun AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INTEGER AS new FROM gone),
+spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun) GROUP BY doc_id, k
+),
+pieces AS (
+  SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans
+),
+left_of AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last,
+         string_agg(b[2 * before + 1:2 * s], '' ORDER BY s) AS kept FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || b[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM bytes LEFT JOIN left_of USING (doc_id)
+"""
+
 #: crc32 of ASCII text: a table of the 256 bytes (`crc_bytes.known`), then a step a character.
 _CRC_BYTES = "crc_bytes AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) FOR n IN range(256)] AS known)"
 _CRC = "xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c // 256, known[xor(c, x) % 256 + 1]), 4294967295::BIGINT))"
@@ -260,4 +287,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_patterns": OP11_SQL, "op13_conversation_repair": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_patterns": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_conversation_repair": OP13_SQL}
