@@ -95,7 +95,7 @@ def illegal(initials: list[tuple[str, int]]) -> int:
     return inside + sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of sorted rows, a result for each conversation that begins and ends inside this partition and is short, pieces of the others."""
     part, made = TaskContext.get().partitionId(), 0
     out: list[dict] = []
@@ -121,7 +121,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows, chars, cut = None, [], 0, True  # the first conversation may have begun in the partition before
     for batch in batches:
         for r in batch.to_pylist():
-            if r["ck"] != now or len(rows) >= PIECE_ROWS or chars >= PIECE_CHARS:
+            if r["ck"] != now or len(rows) >= most or chars >= PIECE_CHARS:
                 same = r["ck"] == now
                 if rows:
                     out.append(piece(now, rows, cut or same))
@@ -214,7 +214,7 @@ def damaged(rows: DataFrame) -> DataFrame:
     return got.select("conv_id", "turn", F.when(code == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(code == 0, 0).when(code == 3, 2).otherwise(1).alias("copies"))
 
 
-def repair_conversations(rows: DataFrame) -> DataFrame:
+def repair_conversations(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row per conv_id: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     `rows` has conv_id, turn, role, text and, if a row counts several times or not at all, copies. A conversation's rows stand in
@@ -255,7 +255,7 @@ def repair_conversations(rows: DataFrame) -> DataFrame:
 
     place = F.col("turn").asc_nulls_first()
     order = judged.drop("blank").withColumn("near", F.substring("text", 1, 64)).repartitionByRange("ck", place, "role", "near").drop("near")
-    pieces = work_table(spark, order.sortWithinPartitions("ck", place, "role", "text").mapInArrow(_pieces, _RESULT), "pieces")
+    pieces = work_table(spark, order.sortWithinPartitions("ck", place, "role", "text").mapInArrow(lambda it: _pieces(it, piece_rows), _RESULT), "pieces")
     narrow = pieces.where("piece is not null").select("ck", "piece", "illegal", "first", "last", "moves")
     plan = narrow.repartition("ck").sortWithinPartitions("ck", "piece").mapInArrow(_chain, "ck string, piece long, state int, edits string, cost long, illegal long")
     long = pieces.where("piece is not null").select("piece", "roles", "texts", "forced")

@@ -151,10 +151,9 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
-#: Bytes as pairs of hexadecimal digits.
 OP12_SQL = """
-WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b, strlen(coalesce(text, '')) AS n FROM documents),
-windows AS (SELECT doc_id, i, md5(b[2 * i + 1:2 * i + 100]) AS h FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM bytes)),
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5(b[i + 1:i + 50]) AS h FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM bytes)),
 gone AS (SELECT doc_id, i FROM windows JOIN (SELECT h, min(doc_id) AS least FROM windows GROUP BY h) USING (h) WHERE doc_id > least),
 begun AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INTEGER AS new FROM gone),
 spans AS (
@@ -165,10 +164,10 @@ pieces AS (
 ),
 left_of AS (
   SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last,
-         string_agg(b[2 * before + 1:2 * s], '' ORDER BY s) AS kept FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id
+         string_agg(hex(b[before + 1:s]), '' ORDER BY s) AS kept FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id
 )
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(kept, '') || b[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256
 FROM bytes LEFT JOIN left_of USING (doc_id)
 """
 
