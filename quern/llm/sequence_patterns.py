@@ -41,7 +41,7 @@ def click_events(clicks: DataFrame) -> DataFrame:
 
 
 def cut_tiles(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa.RecordBatch]:
-    """A row for each run of `most` events in order, and which of them a tile before may need: those of its first client within `span` of its start."""
+    """A row for each run of `most` events in order, and which of them a tile before may need: its first client's, or where it has no other, those within `span` of its start."""
     schema = pa.schema([("tile", pa.int64()), ("client_from", pa.int64()), ("t_from", pa.int64()), ("client_to", pa.int64()), ("t_to", pa.int64()), ("clients", pa.binary()), ("times", pa.binary()), ("types", pa.binary()), ("names", pa.list_(pa.string())), ("near_t", pa.list_(pa.int64())), ("near_type", pa.list_(pa.string()))])
     part, made, held = TaskContext.get().partitionId(), 0, []
 
@@ -49,7 +49,7 @@ def cut_tiles(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterat
         client, t = (rows.column(c).to_numpy() for c in ("client", "t"))
         coded = rows.column("type").combine_chunks().dictionary_encode()
         codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.to_pylist()
-        near = int(np.searchsorted((client != client[0]) | (t > t[0] + span), True))
+        near = int(np.searchsorted(client, client[0], "right") if client[0] != client[-1] else np.searchsorted(t, t[0] + span, "right"))
         one = {"tile": (part << 32) + made, "client_from": client[0], "t_from": t[0], "client_to": client[-1], "t_to": t[-1], "clients": client.tobytes(), "times": t.tobytes(), "types": codes.tobytes(), "names": names, "near_t": t[:near], "near_type": [names[k] for k in codes[:near]]}
         return pa.RecordBatch.from_pylist([one], schema)
 
@@ -108,33 +108,37 @@ def enumerate_tile(client: np.ndarray, t: np.ndarray, code: np.ndarray, own: int
 
 
 def mine_tiles(batches: Iterator[pa.RecordBatch], longest: int, gap: int, span: int) -> Iterator[pa.RecordBatch]:
-    """What each tile supports: sums over the clients that are whole in it, and a row for each pattern of its first and last client, who may go on elsewhere."""
+    """What each tile supports: sums over the clients that are whole in it, and a row for each pattern of those that are cut."""
     schema = pa.schema([("types", pa.list_(pa.string())), ("client", pa.int64()), ("support", pa.int64()), ("crc", pa.int64())])
     for batch in batches:
         for row in batch.to_pylist():
             client, t = (np.frombuffer(row[c], np.int64) for c in ("clients", "times"))
-            own, names = len(t), list(row["names"])
+            names, code = list(row["names"]), np.frombuffer(row["types"], np.int32)
             halo = sorted((e["t"], e["type"]) for e in row["halo"] or ())
+            if row["first"] == "away":
+                client, t, code = (x[np.searchsorted(client, client[0], "right") :] for x in (client, t, code))
+            own = len(t) + (len(halo) if row["last"] == "takes" else 0)
             known = {x: k for k, x in enumerate(names)}
             more = np.array([known.setdefault(x, len(known)) for _, x in halo], np.int32)
             names = list(known)
             client = np.r_[client, np.full(len(halo), client[-1])]
             t = np.r_[t, np.array([x for x, _ in halo], np.int64)]
-            code = np.r_[np.frombuffer(row["types"], np.int32), more]
+            code = np.r_[code, more]
             border = np.flatnonzero(np.r_[True, client[1:] != client[:-1]])
             who = np.repeat(np.arange(len(border)), np.diff(np.r_[border, len(client)]))
-            last = len(border) - 1
+            cut = {p for p, state in ((0, row["first"]), (len(border) - 1, row["last"])) if state == "cut"}
             crc = pa.array(client[border]).cast(pa.string()).to_pylist()
             crc = np.array([zlib.crc32(x.encode()) for x in crc], np.int64)
             out: dict[str, list] = {k: [] for k in schema.names}
 
-            def add(pattern, people, out=out, names=names, last=last, crc=crc, client=client, border=border):
-                inner = people[(people > 0) & (people < last)]
+            def add(pattern, people, out=out, names=names, cut=cut, crc=crc, client=client, border=border):
+                torn = np.isin(people, list(cut))
+                inner = people[~torn]
                 types = [names[k] for k in pattern]
                 if len(inner):
                     for k, v in zip(schema.names, (types, None, len(inner), int(crc[inner].sum())), strict=True):
                         out[k].append(v)
-                for p in people[(people == 0) | (people == last)]:
+                for p in people[torn]:
                     for k, v in zip(schema.names, (types, int(client[border[p]]), 1, int(crc[p])), strict=True):
                         out[k].append(v)
 
@@ -153,10 +157,10 @@ def sequence_patterns(events: DataFrame, longest: int = 4, gap_us: int = 300 * S
     `min_clients` clients at least and `min_percent` percent of the clients that have events.
 
     Spark ranges the events by client and time, so that a long timeline is cut into as many tiles as it has runs of
-    `tile_events` events, wherever these lie. A tile's halo is what follows its last event within the span, be it in the next
-    tile or in several; tiles meet their halos by client and time slot. Each task enumerates the occurrences that start in a tile.
-    Clients whole in one tile are summed there; for the two at a tile's ends (client, pattern) rows are made distinct first.
-    Nothing but sums by pattern is gathered. Work grows with the patterns that occur, so types should be a vocabulary.
+    `tile_events` events, wherever these lie; a short one that lies on a border goes whole to the tile where it begins. A cut
+    one's tile has as its halo what follows its last event within the span, be it in the next tile or in several; tiles meet
+    their halos by client and time slot. Each task enumerates the occurrences that start in a tile. Clients whole in one tile
+    are summed there; those of cut timelines become distinct (client, pattern) rows first. Nothing but sums by pattern is gathered. Work grows with the patterns that occur, so types should be a vocabulary.
 
     Events without client, time or type are left out; repeated ones and ties count once, as a pattern never pairs equal
     times. An empty table gives an empty one.
@@ -167,11 +171,26 @@ def sequence_patterns(events: DataFrame, longest: int = 4, gap_us: int = 300 * S
     ranged = got.repartitionByRange("client", "t").sortWithinPartitions("client", "t", "type")
     tiles = work_table(spark, ranged.mapInArrow(lambda it: cut_tiles(it, span_us, tile_events), _TILES), "tiles")
 
-    near = tiles.select(F.col("tile").alias("from"), F.col("client_from").alias("client"), F.explode(F.arrays_zip("near_t", "near_type")).alias("e")).select("from", "client", F.col("e.near_t").alias("t"), F.col("e.near_type").alias("type")).withColumn("slot", slot(F.col("t")))
-    ends = tiles.select("tile", F.col("client_to").alias("client"), "t_to", F.explode(F.array(slot(F.col("t_to")), slot(F.col("t_to")) + 1)).alias("slot"))
-    halos = near.join(ends.hint("merge"), ["client", "slot"]).where((F.col("from") > F.col("tile")) & F.col("t").between(F.col("t_to"), F.col("t_to") + span_us))
-    halos = halos.groupBy("tile").agg(F.collect_set(F.struct("t", "type")).alias("halo"))
-    whole = tiles.select("tile", "clients", "times", "types", "names").join(halos.hint("merge"), "tile", "left")
+    # a tile of several clients ends its first one's timeline and begins its last one's; a tile of one is in the midst of a long one
+    single = F.col("client_from") == F.col("client_to")
+    role = lambda client, name: F.struct(F.col(client).alias("client"), F.lit(name).alias("role"))
+    roles = tiles.select("tile", F.explode(F.when(single, F.array(role("client_from", "inside"))).otherwise(F.array(role("client_from", "ends"), role("client_to", "begins")))).alias("e")).select("tile", "e.*")
+    at = lambda name: F.min(F.when(F.col("role") == name, F.col("tile")))
+    clients = roles.groupBy("client").agg(at("begins").alias("begins"), at("ends").alias("ends"), at("inside").isNotNull().alias("long"))
+    firsts = clients.select(F.col("client").alias("client_from"), F.when(F.col("long"), "cut").when(F.col("begins").isNotNull(), "away").otherwise("whole").alias("first"), F.col("begins").alias("home"))
+    lasts = clients.select(F.col("client").alias("client_to"), F.when(F.col("long"), "cut").when(F.col("ends").isNotNull(), "takes").otherwise("whole").alias("last"))
+    narrow = tiles.select("tile", "client_from", "client_to", "t_to")
+    states = narrow.where(~single).join(firsts.hint("merge"), "client_from").join(lasts.hint("merge"), "client_to").unionByName(narrow.where(single).withColumns({"first": F.lit("cut"), "last": F.lit("cut")}), allowMissingColumns=True)
+    states = work_table(spark, states, "tile-states")
+
+    near = tiles.select("tile", "t_from", F.arrays_zip("near_t", "near_type").alias("e")).join(states.select("tile", "client_from", "first", "home").hint("merge"), "tile")
+    event = lambda x: F.struct(x["near_t"].alias("t"), x["near_type"].alias("type"))
+    taken = near.where("first = 'away'").select(F.col("home").alias("tile"), F.transform("e", event).alias("halo"))
+    early = near.where("first = 'cut'").select(F.col("tile").alias("from"), F.col("client_from").alias("client"), "t_from", F.explode("e").alias("e")).select("from", "client", event(F.col("e")).alias("e"), slot(F.col("e.near_t")).alias("slot")).where(F.col("e.t") <= F.col("t_from") + span_us)
+    ends = states.where("last = 'cut'").select("tile", F.col("client_to").alias("client"), "t_to", F.explode(F.array(slot(F.col("t_to")), slot(F.col("t_to")) + 1)).alias("slot"))
+    met = early.join(ends.hint("merge"), ["client", "slot"]).where((F.col("from") > F.col("tile")) & F.col("e.t").between(F.col("t_to"), F.col("t_to") + span_us))
+    halos = met.groupBy("tile").agg(F.collect_set("e").alias("halo")).unionByName(taken)
+    whole = tiles.select("tile", "clients", "times", "types", "names").join(states.select("tile", "first", "last").hint("merge"), "tile").join(halos.hint("merge"), "tile", "left")
 
     found = work_table(spark, whole.mapInArrow(lambda it: mine_tiles(it, longest, gap_us, span_us), _FOUND), "patterns")
     inner = found.where("client is null").groupBy("types").agg(F.sum("support").alias("support"), F.sum("crc").alias("crc"))
