@@ -1,8 +1,8 @@
 """The queries with SQL against DuckDB, and the pipeline against its stages done by hand."""
 
 import hashlib
-import shutil
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -29,7 +29,6 @@ def test_sql(spark, small, name):
 
 def test_pipeline_on_odd_rows(spark, small, tmp_path):
     """Null ids and texts, repeated rows, an extra column with an operator's own name, and tables without a row."""
-    shutil.copytree(small, tmp_path / "odd")
     docs = spark.read.parquet(f"{small}/documents.parquet")
     some = docs.limit(30).collect()
     rows = [*some, some[0], Row(**some[1].asDict() | {"doc_id": None}), Row(**some[2].asDict() | {"doc_id": some[3].doc_id}), Row(**some[4].asDict() | {"doc_id": 10**6, "text": None}), Row(**some[5].asDict() | {"doc_id": 10**6 + 1, "text": ""})]
@@ -51,11 +50,15 @@ def test_queries_on_odd_rows(spark, small, tmp_path):
     some = docs.limit(40).collect()
     rows = [*some, some[0], Row(**some[1].asDict() | {"doc_id": None}), Row(**some[2].asDict() | {"doc_id": some[3].doc_id}), Row(**some[4].asDict() | {"doc_id": 10**6, "text": None}), Row(**some[5].asDict() | {"doc_id": None, "text": ""})]
     for name, table in (("odd", spark.createDataFrame(rows, docs.schema)), ("empty", docs.where("false"))):
-        shutil.copytree(small, tmp_path / name)
-        (tmp_path / name / "documents.parquet").unlink()
-        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (tmp_path / name).mkdir()
+        for other in Path(small).iterdir():
+            if other.name != "documents.parquet":
+                (tmp_path / name / other.name).symlink_to(other)
+        table.withColumn("content", F.lit(1)).withColumn("unit", F.lit("x")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         want = sorted((r.doc_id is None, r.doc_id or 0) for r in table.collect())
         for query, run in queries.queries().items():
+            if query in ("op11_patterns", "op13_conversation_repair"):  # of other tables
+                continue
             got = sorted((r.doc_id is None, r.doc_id or 0) for r in run(spark, f"{tmp_path}/{name}").collect())
             assert got == want or query == "op7_decontamination" and set(got) <= set(want), query
 
