@@ -42,40 +42,6 @@ def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataF
     return d.groupBy(*by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_g")
 
 
-def sessions(df: DataFrame, by: str, time: str, key: str, ttl_seconds: int) -> DataFrame:
-    """Numbers a user's sessions: a row opens one if the one open has expired, ttl after it was opened; later rows do not prolong
-    it. Adds session and opened (begin of it).
-
-    A row that comes ttl or more after the one before opens a session whatever went before, so a user's history falls into
-    stretches at such pauses; only a stretch is folded in order, and stretches meet again as counts of their sessions.
-    """
-    t = F.unix_micros(F.col(time).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy("t", "k")
-    rows = df.select(by, t.alias("t"), F.col(key).alias("k"))
-    rows = rows.withColumn("_new", F.coalesce(F.col("t") - F.lag("t").over(w) >= ttl_seconds * 1_000_000, F.lit(True)).cast("int"))
-    rows = rows.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = rows.groupBy(by, "_stretch").agg(F.array_sort(F.collect_list(F.struct("t", "k"))).alias("rows"))
-
-    def fold(batches):
-        for batch in batches:
-            out = []
-            for user, stretch, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                opened, n = None, 0
-                for r in items:
-                    if opened is None or opened + ttl_seconds * 1_000_000 <= r["t"]:
-                        opened, n = r["t"], n + 1
-                    out.append((user, stretch, r["k"], n, opened))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[by, "_stretch", key, "n", "opened"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    folded = g.select(by, "_stretch", "rows").mapInArrow(fold, f"`{by}` {kinds[by]}, _stretch long, `{key}` {kinds[key]}, n long, opened long")
-    sizes = folded.groupBy(by, "_stretch").agg(F.max("n").alias("_sessions"))
-    before = F.coalesce(F.sum("_sessions").over(Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = folded.join(sizes.withColumn("_before", before), [by, "_stretch"])
-    return d.select(by, key, (F.col("_before") + F.col("n")).cast("int").alias("session"), F.timestamp_micros("opened").alias("opened"))
-
-
 # ---- cutting long texts; order-dependent, so plain Python within a vectorised function ----
 
 #: Chunk size and overlap, from which share of a window on a sentence's end is a good place to cut, and below how many

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import sampling as S
 from quern.operators import validate as V
+from quern.operators.generation import generation
 from quern.plans.catalog import query
 from quern.tables import load
 
@@ -92,17 +92,24 @@ def response_state(spark, sf_dir):
     return r.select("conv_id", F.when(F.col("count") > 0, "completed").otherwise("empty").alias("state"), ((F.col("count") > 0) | F.col("message")).alias("valid"), "count")
 
 
+#: What the events of a user do to an explanation; the states are not generated, generating, generated, failed.
+ACTIONS = {"view": "start", "purchase": "request", "signup": "complete", "error": "fail"}
+
+
 @query("""
-WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
-p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM s)
-SELECT event_id, CASE WHEN event_type = 'purchase' AND before = 'purchase' THEN 'idempotent' WHEN event_type = 'purchase' THEN 'generated' WHEN event_type = 'error' AND before = 'error' THEN 'failed' WHEN event_type = 'error' THEN 'retry' ELSE 'none' END AS transition FROM p
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'request' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'none' END AS action,
+                     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 'none' AS action, 0 AS before, 0 AS state FROM e WHERE i = 1 UNION ALL
+      SELECT e.user_id, e.i, e.event_id, e.action, s.state, CASE WHEN e.action = 'complete' THEN 2 WHEN e.action = 'fail' THEN 3 WHEN e.action IN ('start', 'request') AND s.state IN (0, 3) THEN CASE e.action WHEN 'start' THEN 1 ELSE 2 END ELSE s.state END
+      FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT event_id, CASE WHEN action = 'complete' THEN 'completed' WHEN action = 'fail' THEN 'failed' WHEN action = 'none' THEN 'none' WHEN before = 1 THEN 'in_progress' WHEN before = 2 THEN 'idempotent'
+                      WHEN action = 'start' THEN 'started' ELSE 'generated' END AS transition, before AS state FROM s WHERE i > 0
 """)
 def generation_state(spark, sf_dir):
+    """What each event does to its user's explanation: a request for one that is there is idempotent, one for one in progress is refused."""
     e = load(spark, sf_dir, "events")
-    before, now = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")), F.col("event_type")
-    d = e.withColumn("before", before)
-    same = F.col("before") == now
-    return d.select("event_id", F.when((now == "purchase") & same, "idempotent").when(now == "purchase", "generated").when((now == "error") & same, "failed").when(now == "error", "retry").otherwise("none").alias("transition"))
+    action = F.coalesce(F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))[F.col("event_type")], F.lit("none"))
+    return generation(e.select("user_id", "event_id", action.alias("action")), "user_id", "event_id").select("event_id", "transition", "state")
 
 
 @query("""

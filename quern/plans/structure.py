@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import order as O
 from quern.operators import structure as S
 from quern.plans.catalog import query
 from quern.tables import load
@@ -50,7 +51,32 @@ s AS (SELECT user_id, event_id, t, i, t AS o, 1 AS n FROM e WHERE i = 1 UNION AL
 SELECT user_id, event_id, n AS session FROM s
 """)
 def session_ttl(spark, sf_dir):
-    return S.sessions(load(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1800).select("user_id", "event_id", "session")
+    return O.greedy_sessions(load(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", 1_800_000_000).select("user_id", "event_id", "session")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+l AS (SELECT *, lead(t, 100) OVER (ORDER BY t, event_id) AS later FROM c)
+SELECT user_id, event_id, CASE WHEN later < t + 1800000000 THEN later ELSE t + 1800000000 END AS ends, coalesce(later < t + 1800000000, false) AS evicted FROM l
+""", "STM-1")
+def session_store(spark, sf_dir):
+    """Searches that a store of 100 open sessions keeps for 30 minutes: when each is over, and whether a later search pushed it out."""
+    opens = load(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return O.evicted(opens, ["t", "event_id"], F.col("t"), 1_800_000_000, 100).select("user_id", "event_id", "ends", "evicted")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT doc_id, i, 1 AS items, n AS total, 1::BIGINT AS batch FROM d WHERE i = 1 UNION ALL
+      SELECT d.doc_id, d.i, CASE WHEN items >= 64 OR total + n > 30000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 64 OR total + n > 30000 THEN n ELSE total + n END,
+             batch + CASE WHEN items >= 64 OR total + n > 30000 THEN 1 ELSE 0 END FROM s JOIN d ON d.i = s.i + 1)
+SELECT doc_id, batch FROM s
+""", "SET-8")
+def corpus_batches(spark, sf_dir):
+    """All documents as one sequence of requests of at most 64 items and 30,000 words."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long")
+    return O.greedy_batches(d.select("doc_id", words.alias("words")), ["doc_id"], F.col("words"), 64, 30_000).select("doc_id", "batch")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS asked FROM events GROUP BY ALL")

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.operators.generation import MOVES, NOT_GENERATED, outcome
+
 SESSIONS = "user_id long, event_id long, session int, opened timestamp"
 
 
@@ -49,3 +52,34 @@ def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10
     """Rows and sum of value for each window and event_type."""
     d = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return d.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("value"))
+
+
+class Explanations(StatefulProcessor):
+    """The generation state of each key as one number; rows (order, action) of a batch are taken in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "state int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values("order")
+        state, before = int(self.now.get()[0]) if self.now.exists() else NOT_GENERATED, []
+        for action in got["action"]:
+            before.append(state)
+            state = MOVES[action][state] if action in MOVES else state
+        self.now.update((state,))
+        yield pd.DataFrame({"key": key[0], "order": got["order"], "action": got["action"], "state": before})
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def generation_stream(events: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, action, state, transition) of a stream of (by, order, action), as generation() gives it for a table.
+
+    A key's events must come in order from batch to batch. State is a number a key and must outlive every pause, so it is not timed
+    out. The session's state store must be RocksDB's, as value states need column families.
+    """
+    rows = events.select(F.col(by).alias("key"), F.col(order).alias("order"), "action")
+    got = rows.groupBy("key").transformWithStateInPandas(Explanations(), "key long, order long, action string, state int", "append", "none")
+    named = got.withColumn("transition", outcome(F.col("action"), F.col("state")))
+    return named.withColumnsRenamed({"key": by, "order": order})

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import decisions, labels, lexical, matching, metrics, review, sampling, stats, structure, terms, validate, vectors
+from quern.operators import decisions, labels, lexical, matching, metrics, order, review, sampling, stats, structure, terms, validate, vectors
 from quern.sources import files
 from quern.streaming import state
 
@@ -127,7 +127,7 @@ def test_sessions_in_a_stream(spark, small, tmp_path):
     q = state.session_stream(stream).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    want = structure.sessions(events, "user_id", "ts", "event_id", 1800).select("user_id", "event_id", "session")
+    want = order.greedy_sessions(events, "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", 1_800_000_000).select("user_id", "event_id", "session")
     assert sorted(map(tuple, spark.sql("select user_id, event_id, session from sessions").collect())) == sorted(map(tuple, want.collect()))
 
 
