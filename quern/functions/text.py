@@ -25,7 +25,7 @@ def nullable(text: Column) -> Column:
 def lines_normalised(text: Column) -> Column:
     """Images and tags dropped, blanks as one space, trimmed around line feeds, at most one empty line; empty as null."""
     t = _sub(text, r"\r\n?", "\n")
-    t = _sub(_sub(t, r"(?s)<img[^>]*>.*?</img>", ""), r"</?img[^>]*>", "")
+    t = _sub(_sub(t, r"(?is)<img\b[^>]*>.*?</img>", ""), r"(?i)</?img\b[^>]*>", "")
     t = _sub(_sub(t, r"[ \t]+", " "), r" ?\n ?", "\n")
     return nullable(_sub(t, r"\n{3,}", "\n\n"))
 
@@ -44,16 +44,22 @@ def entities(text: Column) -> Column:
     return F.when(~F.contains(common, F.lit("&")) & ~text.rlike("&amp;[#A-Za-z]"), plain).otherwise(_unescaped(text))
 
 
-def markup_normalised(text: Column, trim_lines: bool = True) -> Column:
-    r"""Markup as text: written-out \n, breaks and paragraph ends as line feeds, other tags as spaces, named entities."""
-    t = F.replace(text, F.lit("\\n"), F.lit("\n"))
-    t = _sub(t, r"\r\n?", "\n")
-    t = _sub(t, r"(?i)<br */?>|</p>", "\n")
-    t = entities(_sub(t, r"<[^>]*>", " "))
-    t = _sub(_sub(t, " ", " "), r"[ \t]+", " ")
-    if trim_lines:
-        t = _sub(t, r" ?\n ?", "\n")
-    return _sub(_sub(t, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+def chunk_normalised(text: Column) -> Column:
+    r"""Markup as text for chunks: written-out \r\n, \n and \t, breaks and paragraph ends as line feeds, other tags as spaces, entities.
+
+    Blanks become one space and go around line feeds; at most one empty line stays. A no-break space is kept; null is empty.
+    """
+    t = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit(" "))
+    t = _sub(_sub(t, r"\r\n?", "\n"), r"(?i)<br[ \t-\r]*/?>|</p[ \t-\r]*>", "\n")
+    t = _sub(entities(_sub(t, r"<[^>]+>", " ")), r"[ \t\f\x0b]+", " ")
+    return _sub(_sub(_sub(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"), rf"^{WIDE}+|{WIDE}+$", "")
+
+
+def body_normalised(text: Column) -> Column:
+    """Markup as text for reading: as chunk_normalised(), but nothing written out is meant, a no-break space is a space, and spaces stay around line feeds."""
+    t = _sub(F.coalesce(text, F.lit("")), r"(?i)<br[ \t-\r]*/?>|</p[ \t-\r]*>", "\n")
+    t = F.replace(entities(_sub(t, r"<[^>]+>", " ")), F.lit("\u00a0"), F.lit(" "))
+    return _sub(_sub(_sub(t, r"[ \t\r\f\x0b]+", " "), r"\n{3,}", "\n\n"), rf"^{WIDE}+|{WIDE}+$", "")
 
 
 def one_line(text: Column) -> Column:
@@ -234,7 +240,7 @@ def judgment_type(text: Column) -> Column:
 
 def case_name(text: Column) -> Column:
     """A case's name without double quotes, on one line."""
-    return one_line(_sub(markup_normalised(F.coalesce(text, F.lit(""))), '["“”]', ""))
+    return one_line(_sub(body_normalised(F.coalesce(text, F.lit(""))), '["“”]', ""))
 
 
 def without_heading(text: Column, heading: Column) -> Column:
@@ -251,11 +257,11 @@ def heading_label(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "^(제.+?(?:" + "|".join(HEADING_LEVELS) + "))", 1), F.lit(""))
 
 
-def heading_level(text: Column, levels: tuple[str, ...] = HEADING_LEVELS, pattern: str = "^제[^ ]*{}") -> Column:
-    """Which level's pattern the text begins with, the first of them; else unknown."""
+def heading_level(text: Column) -> Column:
+    """part, chapter, section or subsection: the first whose syllable follows a beginning 제 and something more on its line; else unknown."""
     out = F
-    for level in levels:
-        out = out.when(text.rlike(pattern.format(level)), level)
+    for name, syllable in zip(("part", "chapter", "section", "subsection"), HEADING_LEVELS, strict=True):
+        out = out.when(text.rlike(f"^제[^\n]+{syllable}"), name)
     return out.otherwise("unknown")
 
 

@@ -70,18 +70,6 @@ def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, start int, end int, key string")
 
 
-def align(spans: DataFrame, tokens: DataFrame, good_tags: list[str]) -> DataFrame:
-    """Adds to spans (id, start, end) whether they begin and end with tokens (id, start, end, tag) and end in a good tag.
-
-    reason: no_token, not_aligned, wrong_tag or null.
-    """
-    t = tokens.select("id", F.col("start").alias("t0"), F.col("end").alias("t1"), "tag")
-    d = spans.join(t, (spans["id"] == t["id"]) & (F.col("start") < F.col("t1")) & (F.col("t0") < F.col("end")), "left").drop(t["id"])
-    g = d.groupBy(*spans.columns).agg(F.count("t0").alias("n"), F.min("t0").alias("first"), F.max("t1").alias("last"), F.max_by("tag", "t1").alias("tag"))
-    reason = F.when(F.col("n") == 0, "no_token").when((F.col("first") != F.col("start")) | (F.col("last") != F.col("end")), "not_aligned").when(~F.col("tag").isin(good_tags), "wrong_tag")
-    return g.select(*spans.columns, reason.alias("reason"))
-
-
 def group_signal(text: Column, for_terms: list[str], against_terms: list[str]) -> Column:
     """mixed, strong_for, strong_against or neutral: one hit for, two against are strong."""
     hits = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))

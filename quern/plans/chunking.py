@@ -10,12 +10,16 @@ from quern.plans.catalog import query
 from quern.tables import load
 
 
-@query("""
-SELECT page_id, CASE WHEN regexp_matches(html, '<h1>') THEN 'h1' WHEN regexp_matches(html, '<h2>') THEN 'h2' ELSE 'unknown' END AS level, nullif(regexp_extract(url, '^(http://.+?(?:example|test))', 1), '') AS label FROM pages
-""", "STR-34")
+#: Headings as laws have them, with the level and label that each must get.
+HEADINGS = [("제1편 총칙", "part", "제1편"), ("제 1편 총칙", "part", "제 1편"), ("제2장 계약의 절차", "chapter", "제2장"), ("제3절의2 특례", "section", "제3절"), ("제4관 정관", "subsection", "제4관"), ("부칙 제1편", "unknown", None), ("제편", "unknown", None)]
+
+
+@query("WITH t AS (SELECT conv_id, turn, turn % 7 AS k FROM conversations) SELECT conv_id, turn, CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v, _) in enumerate(HEADINGS)) + " END AS level, CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, _, v) in enumerate(HEADINGS) if v) + " END AS label FROM t", "STR-34")
 def heading_labels(spark, sf_dir):
-    label = F.nullif(F.regexp_extract("url", "^(http://.+?(?:example|test))", 1), F.lit(""))
-    return load(spark, sf_dir, "pages").select("page_id", T.heading_level(F.col("html"), ("h1", "h2"), "<{}>").alias("level"), label.alias("label"))
+    """Levels and labels of headings that stand before the turns' texts, one line each."""
+    title = F.element_at(F.array(*(F.lit(h) for h, _, _ in HEADINGS)), (F.col("turn") % 7 + 1).cast("int"))
+    d = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(title, F.lit("\n"), "text").alias("t"))
+    return d.select("conv_id", "turn", T.heading_level(F.col("t")).alias("level"), T.heading_label(F.col("t")).alias("label"))
 
 
 @query("""
@@ -50,9 +54,9 @@ def signatures_cut(spark, sf_dir):
 
 
 def cases(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").withColumn("reason", S.signatures_cut(T.markup_normalised(F.col("text")))["text"])
+    d = load(spark, sf_dir, "documents").withColumn("reason", S.signatures_cut(T.chunk_normalised(F.col("text")))["text"])
     first = F.substring_index(F.col("text"), "\n", 1)
-    return d.select("doc_id", "reason", T.one_line(first).alias("summary"), F.when(F.col("n_chars") % 3 == 0, "").otherwise(T.markup_normalised(first)).alias("issue"), F.col("source").alias("holding"))
+    return d.select("doc_id", "reason", T.one_line(first).alias("summary"), F.when(F.col("n_chars") % 3 == 0, "").otherwise(T.chunk_normalised(first)).alias("issue"), F.col("source").alias("holding"))
 
 
 @query(None, "CHK-6 CHK-2 CHK-3 CHK-4 STR-4")

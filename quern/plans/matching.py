@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import matching as M
+from quern.operators import spans as P
 from quern.operators.lexical import best_bm25
 from quern.operators.validate import all_failing
 from quern.operators.vectors import top
@@ -80,14 +81,14 @@ def term_stats(spark, sf_dir):
 WITH s AS (SELECT event_id AS id, user_id, CAST(floor(epoch(ts)) AS BIGINT) % 1000 AS a FROM events), sp AS (SELECT id, user_id, a AS "start", a + 5 + id % 20 AS "end" FROM s WHERE id % 5 = 0),
 tk AS (SELECT user_id, a - a % 10 AS t0, a - a % 10 + 10 AS t1, CASE WHEN a % 20 < 10 THEN 'N' ELSE 'V' END AS tag FROM s WHERE id % 5 <> 0 GROUP BY ALL),
 j AS (SELECT sp.id, sp.user_id, "start", "end", count(t0) AS n, min(t0) AS f, max(t1) AS l, arg_max(tag, (t1, tag)) AS tag FROM sp LEFT JOIN tk ON sp.user_id = tk.user_id AND "start" < t1 AND t0 < "end" GROUP BY ALL)
-SELECT id AS span_id, CASE WHEN n = 0 THEN 'no_token' WHEN f <> "start" OR l <> "end" THEN 'not_aligned' WHEN tag NOT IN ('N') THEN 'wrong_tag' END AS reason FROM j
+SELECT id AS span_id, CASE WHEN n = 0 THEN 'no_morpheme' WHEN f <> "start" OR l <> "end" THEN 'not_token_aligned' WHEN tag NOT IN ('N') THEN 'non_nominal_morpheme' END AS reason FROM j
 """)
 def span_align(spark, sf_dir):
     s = load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"), (F.unix_timestamp("ts") % 1000).alias("a"))
     spans = s.where("event_id % 5 = 0").select("event_id", "id", F.col("a").alias("start"), (F.col("a") + 5 + F.col("event_id") % 20).alias("end"))
     low = F.col("a") - F.col("a") % 10
     tokens = s.where("event_id % 5 <> 0").select("id", low.alias("start"), (low + 10).alias("end"), F.when(F.col("a") % 20 < 10, "N").otherwise("V").alias("tag")).distinct()
-    return M.align(spans, tokens, ["N"]).select(F.col("event_id").alias("span_id"), "reason")
+    return P.aligned(spans.withColumnRenamed("event_id", "span"), tokens, lambda tag: tag == "N").select(F.col("span").alias("span_id"), "reason")
 
 
 @query("""
@@ -149,3 +150,32 @@ def status_cascade(spark, sf_dir):
     status = F.when(size > 45, "excluded").when(ready, "ready").when(brand == "Brand#1", "review").otherwise("lookup")
     score = F.when(kind == "ECONOMY", 100).otherwise(60) + F.when(brand == "Brand#1", 30).when(brand == "Brand#2", 18).otherwise(0) + F.least(3 * (size % 10), F.lit(24))
     return load(spark, sf_dir, "part").select("p_partkey", status.alias("status"), ((size <= 45) & ready).alias("ready"), score.alias("score"))
+
+
+#: Terms looked for in the turns, of which some contain others or end within a word.
+VALIDATED = ["the", "and", "in the", "the and", "there", "tion", "er", "is", "nowhere found"]
+
+
+@query(f"""
+WITH w AS (SELECT conv_id * 1000 + turn AS id, text, string_split(text, ' ') AS w FROM conversations),
+tk AS (SELECT id, coalesce(list_sum([length(x) + 1 FOR x IN w[:i - 1]]), 0)::BIGINT AS a, length(w[i]) AS n, CASE WHEN length(w[i]) % 3 = 0 THEN 'NNG' ELSE 'VV' END AS tag FROM w, range(1, 2000) AS r(i) WHERE i <= len(w) AND w[i] <> ''),
+k AS (SELECT unnest({VALIDATED}) AS key),
+s AS (SELECT id, i - 1 AS a, i - 1 + length(key) AS z, key FROM w, k, range(1, 4000) AS r(i) WHERE i <= length(text) AND substring(text, i, length(key)) = key),
+j AS (SELECT s.id, s.a, s.z, key, min({{'a': tk.a, 'z': tk.a + n, 't': tag}}) AS f, max({{'a': tk.a, 'z': tk.a + n, 't': tag}}) AS l FROM s LEFT JOIN tk ON tk.id = s.id AND s.a < tk.a + n AND tk.a < s.z GROUP BY ALL),
+v AS (SELECT id, a, z, key, CASE WHEN f.a IS NULL THEN 'no_morpheme' WHEN f.a <> a OR l.z <> z THEN 'not_token_aligned' WHEN l.t <> 'NNG' THEN 'non_nominal_morpheme' END AS reason FROM j),
+c AS (SELECT v.*, reason IS NULL AND NOT EXISTS (SELECT 1 FROM v o WHERE o.reason IS NULL AND o.id = v.id AND o.a < v.z AND v.a < o.z AND (o.z - o.a > v.z - v.a OR (o.z - o.a = v.z - v.a AND o.a < v.a))) AS kept FROM v),
+x AS (SELECT key, string_agg(id || ':' || a || ':' || reason, ',' ORDER BY id, a) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id, a) AS n FROM v WHERE reason IS NOT NULL) WHERE n <= 5 GROUP BY key)
+SELECT key, count(DISTINCT id) FILTER (kept) AS texts, count(*) FILTER (kept) AS occurrences, count(*) FILTER (reason = 'not_token_aligned') AS not_token_aligned, count(*) FILTER (reason = 'non_nominal_morpheme') AS non_nominal_morpheme,
+       CASE WHEN count(*) FILTER (kept) = 0 THEN 'excluded' WHEN count(reason) > 0 THEN 'partial' ELSE 'valid' END AS status, coalesce(any_value(examples), '') AS examples
+FROM c LEFT JOIN x USING (key) GROUP BY key
+""", "MAT-4 MAT-5 MAT-1 MAT-2")
+def validated_terms(spark, sf_dir):
+    """Terms found in turns, checked against the words' borders and tags; overlaps go to the longest, with rejects and examples by term."""
+    d = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    words = d.withColumn("w", F.split("text", " ", -1)).select("id", F.posexplode(F.transform("w", lambda x, i: F.struct(F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, y: a + F.length(y) + 1).alias("start"), F.length(x).alias("n")))).alias("i", "x"))
+    tokens = words.select("id", "x.start", (F.col("x.start") + F.col("x.n")).alias("end"), F.when(F.col("x.n") % 3 == 0, "NNG").otherwise("VV").alias("tag")).where("end > start")
+    found = M.match_terms(d, spark.createDataFrame([(t,) for t in VALIDATED], "key string"), "id", "text", longest=False)
+    spans = found.withColumn("span", F.concat_ws(":", "id", "start", "key"))
+    g = P.term_validation(spans, tokens)
+    examples = F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["id"], x["start"], x["reason"])), ",")
+    return g.select("key", "texts", "occurrences", "not_token_aligned", "non_nominal_morpheme", "status", F.coalesce(examples, F.lit("")).alias("examples"))

@@ -180,19 +180,3 @@ def classifier_latency(spark, sf_dir):
     p = c.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
     g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("attempts"), F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("accuracy"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 3).alias("max"))
     return g.join(p, "event_type")
-
-
-@query("""
-WITH s AS (SELECT user_id AS key, event_id, CASE WHEN value > 100 THEN 'wrong_tag' WHEN value > 60 THEN 'not_aligned' END AS reason FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id) AS n FROM s WHERE reason IS NOT NULL),
-g AS (SELECT key, count(*) AS matches, count(*) FILTER (reason IS NULL) AS accepted FROM s GROUP BY 1), x AS (SELECT key, string_agg(reason, ',' ORDER BY event_id) AS examples FROM r WHERE n <= 5 GROUP BY 1)
-SELECT key, matches, accepted, CASE WHEN accepted = 0 THEN 'excluded' WHEN accepted = matches THEN 'kept' ELSE 'partial' END AS status, coalesce(examples, '') AS examples FROM g LEFT JOIN x USING (key)
-""", "MAT-5")
-def validated_terms(spark, sf_dir):
-    """Keys by what became of their matches, with the first five rejections."""
-    v = F.col("value")
-    s = load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.when(v > 100, "wrong_tag").when(v > 60, "not_aligned").alias("reason"))
-    g = s.groupBy("key").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("reason").isNull()).alias("accepted"))
-    first = s.where("reason is not null").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("event_id"))).where("n <= 5")
-    x = first.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "reason"))), lambda r: r["reason"]), ",").alias("examples"))
-    status = F.when(F.col("accepted") == 0, "excluded").when(F.col("accepted") == F.col("matches"), "kept").otherwise("partial")
-    return g.join(x, "key", "left").select("key", "matches", "accepted", status.alias("status"), F.coalesce("examples", F.lit("")).alias("examples"))

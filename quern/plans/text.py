@@ -12,25 +12,47 @@ TERMS = ["the", "que", "und", "de", "tion"]
 #: White space in Unicode's sense, for the SQL.
 WIDE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_N = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n?', chr(10), 'g'), '(?s)<img[^>]*>.*?</img>', '', 'g'), '</?img[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')"
+_N = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n?', chr(10), 'g'), '(?is)<img\b[^>]*>.*?</img>', '', 'g'), '(?i)</?img\b[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')"
 LINES = r"nullif(regexp_replace(regexp_replace(regexp_replace(" + _N + r", ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '')"
 _E = "replace(replace(replace(replace(replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
-_M = _E.format(t=r"regexp_replace(regexp_replace(regexp_replace(replace(html, '\n', chr(10)), '\r\n?', chr(10), 'g'), '(?i)<br */?>|</p>', chr(10), 'g'), '<[^>]*>', ' ', 'g')")
-MARKUP = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_M}, '\x{{a0}}', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_TAGS = r"regexp_replace(regexp_replace({t}, '(?i)<br *[/]?>|</p *>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+_M1 = _E.format(t=_TAGS.format(t=r"regexp_replace(replace(replace(replace(html, '\r\n', chr(10)), '\n', chr(10)), '\t', ' '), '\r\n?', chr(10), 'g')"))
+_M2 = _E.format(t=_TAGS.format(t="html"))
 
 
 def one_line_sql(t: str) -> str:
     return f"regexp_replace(regexp_replace({t}, '{WIDE}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-@query(f"SELECT doc_id, {LINES.format(t='text')} AS normalised FROM documents")
+#: What markup adds to every third text, and what must be left of it.
+PLANTED = "\r\n <IMG src='a'>그림\n</IMG>\t제1조 <img/> <imgx>가</imgx>  \r\n\n\n\n 끝 "
+PLANTED_LEFT = "\n제1조 <imgx>가</imgx>\n\n끝"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {LINES.format(t='text')} AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(t, '') || '{PLANTED_LEFT}' ELSE t END AS normalised FROM d
+""")
 def text_normalise(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.lines_normalised(F.col("text")).alias("normalised"))
+    d = load(spark, sf_dir, "documents").where("text is not null")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(PLANTED))).otherwise(F.col("text"))
+    return d.select("doc_id", T.lines_normalised(text).alias("normalised"))
 
 
-@query(f"SELECT page_id, {MARKUP} AS body FROM pages")
+#: What stands before each page, and what the two cleanings must make of it.
+BEFORE = "a\\r\\nb\\tc\\nd\x0be f</P >g<BR />&lt;h&gt;\r\n \n \n \ni "
+CHUNK_BEFORE, BODY_BEFORE = "a\nb c\nd e f\ng\n<h>\n\ni ", "a\\r\\nb\\tc\\nd e f\ng\n<h> \n \n \n \ni "
+_BODY = rf"regexp_replace(regexp_replace(regexp_replace({_M2}, '[ \t\r\f\v\x{{a0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{WIDE}+$', '')"
+_CHUNK = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_M1}, '[ \t\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{WIDE}+$', '')"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, 'x' || html AS html FROM pages WHERE html IS NOT NULL)
+SELECT page_id, '{CHUNK_BEFORE}' || {_CHUNK} AS chunk, '{BODY_BEFORE}' || {_BODY} AS body FROM p
+""")
 def markup_normalise(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", T.markup_normalised(F.col("html")).alias("body"))
+    html = F.concat(F.lit(BEFORE), F.lit("x"), "html")
+    return load(spark, sf_dir, "pages").where("html is not null").select("page_id", T.chunk_normalised(html).alias("chunk"), T.body_normalised(html).alias("body"))
 
 
 @query(f"SELECT doc_id, {one_line_sql('text')} AS line FROM documents")

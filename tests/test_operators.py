@@ -163,7 +163,7 @@ def test_excerpts(spark):
 def test_text_columns(spark):
     df = spark.createDataFrame([("１２ Ａb　c", "제1장 총칙", "전원합의체판결: 가", "가&copy;&#44032;나")], "a string, b string, c string, d string")
     r = df.select(T.term_key("a").alias("k"), T.heading_label(F.col("b")).alias("l"), T.heading_level(F.col("b")).alias("v"), T.judgment_type(F.col("c")).alias("j"), T.entities(F.col("d")).alias("e"), T.low_substance(F.lit("무변론 판결")).alias("s"), T.evidence_in(F.lit("가, 나"), F.lit("x가 나y")).alias("i"), T.evidence_in(F.lit("가"), F.lit("가")).alias("n")).first()
-    assert tuple(r) == ("12abc", "제1장", "장", "전원합의체 판결 : 가", "가©가나", True, True, False)
+    assert tuple(r) == ("12abc", "제1장", "chapter", "전원합의체 판결 : 가", "가©가나", True, True, False)
 
 
 def test_component_cover(spark):
