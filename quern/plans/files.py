@@ -8,8 +8,10 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
+from quern.operators.encoding import encoded
 from quern.plans.catalog import query
 from quern.sources import files as S
+from quern.streaming.store import Store, fill
 from quern.tables import load
 
 
@@ -152,3 +154,51 @@ SELECT '| event_type | n | mean |' || chr(10) || '| --- | ---: | ---: |' || chr(
 def report(spark, sf_dir):
     g = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean")).orderBy("event_type")
     return spark.createDataFrame([(S.markdown_table(g),)], "report string")
+
+
+class Killed(RuntimeError):
+    """A job that dies between a batch's data and its entry in the ledger."""
+
+
+@query("SELECT event_id, user_id FROM events", "SNK-3 STM-4")
+def streamed_upsert(spark, sf_dir):
+    """A store that a stream of four files fills; the job dies between data and ledger of the third, and another goes on."""
+    from pyspark.errors import StreamingQueryException
+
+    e = load(spark, sf_dir, "events").select("event_id", "user_id")
+    source, at, path = S.scratch(spark, "stream"), S.scratch(spark, "progress"), S.scratch(spark, "ledger")
+    e.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def die(batch):
+        if batch == 2:
+            raise Killed("between data and ledger")
+
+    try:
+        fill(stream, Store(spark, path, "event_id long, user_id long", "event_id"), at, die)
+    except StreamingQueryException as error:
+        if "between data and ledger" not in str(error):
+            raise
+    store = Store(spark, path, "event_id long, user_id long", "event_id")
+    fill(stream, store, at)
+    return store.read()
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) <= 60000 THEN length(text)::DOUBLE END AS chars, CASE WHEN length(text) <= 60000 THEN (length(text) - length(replace(text, 'e', '')))::DOUBLE END AS e, CASE WHEN length(text) > 60000 THEN 'too long' END AS error
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+""", "VEC-4")
+def split_encoding(spark, sf_dir):
+    """Every document through an encoder that takes 60,000 characters at once: batches are halved, longer texts are reported."""
+
+    def make():
+        def encode(texts):
+            if sum(map(len, texts)) > 60_000:
+                raise MemoryError("too long")
+            return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+        return encode
+
+    d = encoded(load(spark, sf_dir, "documents"), "doc_id", "text", make, 2)
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return d.select("doc_id", at(0).alias("chars"), at(1).alias("e"), "error")
