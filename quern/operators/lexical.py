@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 MOST_TOKENS, CELLS = 1_000_000, 4_000_000
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents that share a token with a query; tables (.._id, tokens: array).
 
     idf is ln(1 + (N - df + .5) / (df + .5)); a token counts as often as the query has it. Only tokens of queries travel:
     documents are cut down to them before the join. A document that shares none has score 0 and is not listed.
+    With `pairs` (query_id, doc_id) only these are scored, by the statistics of all documents.
     """
     sized = docs.select("doc_id", "tokens", F.size("tokens").alias("n"))
     total = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
@@ -25,10 +26,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     wanted = q.select("token").distinct()
     tf = sized.select("doc_id", "n", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if pairs is not None:
+        tf = tf.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     d = tf.join(df, "token").join(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return d.select("token", "doc_id", weight.alias("w")).join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
+    met = d.select("token", "doc_id", weight.alias("w")).join(q, "token")
+    if pairs is not None:
+        met = met.join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
 
 
 def best_bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -86,3 +86,32 @@ def macro(per_query: DataFrame, columns: list[str], by: list[str] | None = None)
     """Mean of each column over queries, to 6 places, and the number of queries."""
     grouped = per_query.groupBy(*by) if by else per_query.groupBy()
     return grouped.agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(c), 6).alias(c) for c in columns))
+
+
+def full_hits(ranked: DataFrame, by: str = "query_id", least: int = 10) -> DataFrame:
+    """`ranked`, failing the job where a query has fewer than `least` hits."""
+    n = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("_hits"))
+    good = F.when(F.col("_hits") >= least, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {least} hits: "), F.col(by).cast("string"))).cast("boolean"))
+    return ranked.join(n, by).where(good).drop("_hits")
+
+
+def model_order(per_query: DataFrame, critical: Column) -> DataFrame:
+    """A row a model of per-query metrics (model, query_id, ..): incomplete critical queries, macro metrics and place.
+
+    Fewest critical queries with recall@10 below 1, then recall@10, nDCG@10, MRR@10, then name. Models that were not asked the same
+    queries fail the job.
+    """
+    names = ["recall5", "recall10", "mrr10", "ndcg10", "precision10", "hit10"]
+    missed = F.count_if(critical & (F.col("recall10") < 1)).alias("incomplete")
+    asked = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("query_id")).alias("h")).alias("_asked")
+    d = per_query.groupBy("model").agg(missed, asked, *(F.round(F.avg(c), 6).alias(c) for c in names))
+    w = Window.orderBy("incomplete", F.desc("recall10"), F.desc("ndcg10"), F.desc("mrr10"), "model")  # a row a model
+    same = F.min("_asked").over(Window.partitionBy()) == F.max("_asked").over(Window.partitionBy())
+    good = F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("models were asked different queries")).cast("boolean"))
+    return d.withColumn("_good", good).withColumn("place", F.row_number().over(w)).where("_good").drop("_asked", "_good")
+
+
+def order_changed(one: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: whether two model orders (model, place) under two label policies differ, and both orders."""
+    said = lambda d, name: d.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model"))), lambda x: x["model"]).alias(name))  # noqa: E731  a row a model
+    return said(one, "one").join(F.broadcast(said(other, "other"))).select((F.col("one") != F.col("other")).alias("changed"), "one", "other")

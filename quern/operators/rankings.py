@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.order import numbered
+
 
 def pooled(hits: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Hits (query, doc, chunk_id, chunk_rank, distance) by document: best rank, best distance and its chunk, and place.
@@ -45,7 +47,7 @@ def ranked_definitions(rows: DataFrame, keys: list[str], score: Column, restrict
     """Distinct (keys) with a definition, the first of each by seq, by score, unrestricted ones first, then source and text."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
     d = rows.where(F.coalesce("definition", F.lit("")) != "").withColumn("score", score).withColumn("restricted", restricted).withColumn("_n", first).where("_n = 1").drop("_n")
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "restricted", "source", "definition", "seq")))
+    return numbered(d, [F.desc("score"), "restricted", "source", "definition", "seq"], "rank")
 
 
 def discovery_order(candidates: DataFrame, known_ids: DataFrame, known_names: DataFrame, warnings: list[str]) -> DataFrame:
@@ -54,7 +56,7 @@ def discovery_order(candidates: DataFrame, known_ids: DataFrame, known_names: Da
     d = candidates.join(known_ids.select("id").distinct().withColumn("_i", F.lit(True)), "id", "left").join(known_names.select("name").distinct().withColumn("_n", F.lit(True)), "name", "left")
     found = F.filter(F.array(*map(F.lit, warnings)), lambda t: F.contains(F.col("name"), t))
     d = d.withColumn("existing", F.coalesce("_i", "_n", F.lit(False))).withColumn("warnings", found).drop("_i", "_n")
-    return d.withColumn("place", F.row_number().over(Window.orderBy("existing", F.size("warnings") > 0, F.desc("score"), "name", "id")))
+    return numbered(d, ["existing", F.size("warnings") > 0, F.desc("score"), "name", "id"])
 
 
 def in_match_order(terms: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType
+
+from quern.functions.text import WIDE
 
 
 def needs_review(score: Column, confidence: Column, seed: Column) -> Column:
@@ -55,57 +61,58 @@ def distinct_first(df: DataFrame, fields: list[str], by: list[str], order: list[
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, *keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def merged_windows(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Windows that overlap or touch as one."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(windows):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], z))
-        else:
-            out.append((a, z))
-    return out
+def case_key(number: Column, case_id: Column) -> Column:
+    """What makes cases alike: the number without white space, in lower case; the id where there is none."""
+    key = F.lower(F.regexp_replace(F.coalesce(number, F.lit("")), WIDE, ""))
+    return F.when(key != "", key).otherwise(F.concat(F.lit("precedent:"), case_id.cast("string")))
+
 
+def islands(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of windows, those that overlap or touch as one: a new one begins where no window before it reaches."""
+    order = np.argsort(begins, kind="stable")
+    begins, reach = begins[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.r_[True, begins[1:] > reach[:-1]])
+    return begins[first], reach[np.r_[first[1:], len(begins)] - 1]
 
-EXCERPT = StructType([StructField("text", StringType()), StructField("windows", IntegerType()), StructField("chars", IntegerType())])
+
+EXCERPT = "text string, windows int, chars int"
 
 
 def excerpts(headings: list[str], keywords: list[str], most: int, head: tuple[int, int], tail: tuple[int, int], about_heading: tuple[int, int], about_keyword: tuple[int, int], keyword_windows: int, title: str = "이유 발췌"):
     """A function of a text column: beginning, end and windows about headings and the first keywords, merged, up to `most`.
 
-    Texts of up to `most` characters stay whole (0 windows). head and tail are (characters, part of most: a third is 3), the
-    less counts. Keywords are looked for one after another, in any case, and the first windows count. Each window is
-    preceded by [title number: begin~end]; `chars` counts the whole excerpt.
+    Texts of up to `most` characters stay whole (0 windows); null is empty. head and tail are (characters, part of most: a
+    third is 3), the less counts. Keywords are looked for one after another, in any case, and the first windows count. Parts are
+    trimmed, blank ones left out, and the one that passes `most` is cut there. Each is preceded by [title number: begin~end];
+    `chars` counts the whole excerpt.
     """
-    import re
-
-    heads, words = ([re.compile(p, re.I) for p in ps] for ps in (headings, keywords))
-
-    def about(text: str, patterns: list, before: int, after: int) -> list[tuple[int, int]]:
-        return [(max(0, m.start() - before), min(len(text), m.end() + after)) for p in patterns for m in p.finditer(text)]
+    edge = min(head[0], most // head[1]), min(tail[0], most // tail[1])
+    wanted = [(re.compile(p, re.I), *about_heading, None) for p in headings], [(re.compile(p, re.I), *about_keyword, keyword_windows) for p in keywords]
+
+    def places(text: str) -> np.ndarray:
+        """A row (begin, end) a window, not yet kept within the text."""
+        rows = [(0, edge[0]), (len(text) - edge[1], len(text))]
+        for kind in wanted:
+            hits = ((m.start() - before, m.end() + after) for p, before, after, _ in kind for m in p.finditer(text))
+            rows.extend(islice(hits, kind[0][3] if kind else 0))
+        return np.clip(np.array(rows, np.int64), 0, len(text))
+
+    def excerpt(text: str) -> tuple[str, int, int]:
+        if len(text) <= most:
+            return text, 0, len(text)
+        begins, ends = islands(*places(text).T)
+        shown, spare = [], most
+        for a, z, part in ((a, z, text[a:z].strip()) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)):
+            fits = part if len(part) <= spare else part[:spare].rstrip()
+            if fits or (part and spare):
+                shown.append((a, z if fits is part else a + len(fits), fits))
+                spare -= len(fits)
+        out = "\n\n...\n\n".join(f"[{title} {k}: {a}~{z}]\n{part}" for k, (a, z, part) in enumerate(shown, 1))
+        return out, len(shown), len(out)
 
     @F.pandas_udf(EXCERPT)
     def run(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in text:
-            t = t or ""
-            if len(t) <= most:
-                rows.append((t, 0, len(t)))
-                continue
-            spans = [(0, min(head[0], most // head[1])), (max(0, len(t) - min(tail[0], most // tail[1])), len(t))]
-            spans += about(t, heads, *about_heading) + about(t, words, *about_keyword)[:keyword_windows]
-            left, parts = most, []
-            for a, z in merged_windows(spans):
-                part = t[a:z].strip()
-                if left <= 0 or not part:
-                    continue
-                if len(part) > left:
-                    part = part[:left].rstrip()
-                    z = a + len(part)
-                parts.append(f"[{title} {len(parts) + 1}: {a}~{z}]\n{part}")
-                left -= len(part)
-            out = "\n\n...\n\n".join(parts)
-            rows.append((out, len(parts), len(out)))
-        return pd.DataFrame(rows, columns=["text", "windows", "chars"])
+        return pd.DataFrame([excerpt(t or "") for t in text], columns=["text", "windows", "chars"])
 
     return run
 

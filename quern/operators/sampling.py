@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.order import numbered, written
+
 
 def hash_key(seed: str, *parts: str) -> Column:
     """sha256(seed NUL part NUL part ..): an order that does not depend on the rows' order."""
@@ -68,9 +70,9 @@ def evenly_spaced(df: DataFrame, count: int, by: list[str], order: list[str]) ->
 def required_then_spaced(df: DataFrame, key: str, required: list, total: int, order: list[Column]) -> DataFrame:
     """`total` rows: the required keys that are there, then places spaced evenly over the order, then the first rows that are left.
 
-    Adds step (0 required, 1 spaced, 2 fill). Only `total` places and as many first rows are looked at beyond the numbering.
+    Adds step (0 required, 1 spaced, 2 fill). Rows are numbered in ranges; only `total` places and as many first rows are looked at beyond that.
     """
-    d = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    d = written(numbered(df, order, "_i").withColumn("_i", F.col("_i") - 1), "numbered")
     wanted = d.where(F.col(key).isin(required)).select(key)
     n, asked = df.count(), min(total, wanted.count())
     slots = total - asked

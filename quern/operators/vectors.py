@@ -68,6 +68,12 @@ def top(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def document_of(precedent_id: Column, source_case_id: Column, chunk_id: Column) -> Column:
+    """The document of a chunk: its precedent_id, else its source_case_id, else what its id precedent:{id}:.. names; null without any."""
+    given = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.coalesce(given(precedent_id), given(source_case_id), F.nullif(F.regexp_extract(chunk_id, "^precedent:([^:]+):", 1), F.lit("")))
+
+
 def group_hits(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Hits (.., document, id, distance, rank) as documents: best distance and chunk, number of chunks, rank 1..k.
 

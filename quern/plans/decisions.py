@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import decisions as D
 from quern.operators import validate as V
+from quern.operators.order import numbered
 from quern.plans.catalog import query
 from quern.tables import load
 
@@ -177,25 +178,25 @@ def decision_faults(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT conv_id, turn, role, text, substring(text, 3, 30) AS a, CASE WHEN turn % 3 = 0 THEN 'zzzz' ELSE substring(text, 1, 12) END AS b FROM conversations),
-e AS (SELECT *, regexp_replace(a, '[^[:alnum:]]', '', 'g') AS ka, regexp_replace(b, '[^[:alnum:]]', '', 'g') AS kb, regexp_replace(text, '[^[:alnum:]]', '', 'g') AS kt FROM c)
+e AS (SELECT *, regexp_replace(a, '[^\\p{L}\\p{N}]', '', 'g') AS ka, regexp_replace(b, '[^\\p{L}\\p{N}]', '', 'g') AS kb, regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g') AS kt FROM c)
 SELECT conv_id, turn, CASE WHEN NOT (length(ka) >= 2 AND contains(kt, ka)) THEN 'first_not_found' WHEN NOT (length(kb) >= 2 AND contains(kt, kb)) THEN 'second_not_found' WHEN trim(text) = '' THEN 'empty'
-       WHEN length(text) > 500 THEN 'too_long' WHEN length(text) < 20 OR NOT contains(text, 'th') THEN 'incomplete' END AS fault FROM e WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')
+       WHEN length(text) > 500 THEN 'too_long' WHEN length(text) < 20 OR NOT contains(text, 'th') THEN 'incomplete' END AS fault FROM e
 """, "V-11 STR-30")
 def explanation_check(spark, sf_dir):
     text = F.col("text")
     a, b = F.substring(text, 3, 30), F.when(F.col("turn") % 3 == 0, "zzzz").otherwise(F.substring(text, 1, 12))
-    d = load(spark, sf_dir, "conversations").where(~text.rlike(r"[^\x00-\x7f]"))
+    d = load(spark, sf_dir, "conversations")
     fault = D.explanation_fault(a, T.evidence_in(a, text), b, T.evidence_in(b, text), text, "th")
     return d.select("conv_id", "turn", fault.alias("fault"))
 
 
 @query("""
-WITH s AS (SELECT doc_id, substring(text, 1, 400) AS t, doc_id % 10 <> 0 AS same FROM documents)
+WITH s AS (SELECT doc_id, text AS t, doc_id % 10 <> 0 AS same FROM documents)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT same THEN 'id_mismatch' END, CASE WHEN t = '' THEN 'empty' END, CASE WHEN length(t) > 350 THEN 'too_long:' || length(t) END, CASE WHEN starts_with(t, 'Th') THEN 'banned_opening' END,
        CASE WHEN contains(t, 'que') OR contains(t, 'und') THEN 'polite_style' END], lambda x: x IS NOT NULL), ',') AS errors, CASE WHEN t <> '' AND length(t) < 200 THEN 'too_short:' || length(t) ELSE '' END AS warnings FROM s
 """, "V-19")
 def easy_summary_check(spark, sf_dir):
-    t = F.substring("text", 1, 400)
+    t = F.col("text")
     n = F.length(t).cast("string")
     errors = F.array(F.when(F.col("doc_id") % 10 == 0, "id_mismatch"), F.when(t == "", "empty"), F.when(F.length(t) > 350, F.concat(F.lit("too_long:"), n)), F.when(F.startswith(t, F.lit("Th")), "banned_opening"), F.when(F.contains(t, F.lit("que")) | F.contains(t, F.lit("und")), "polite_style"))
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(errors, ",").alias("errors"), F.when((t != "") & (F.length(t) < 200), F.concat(F.lit("too_short:"), n)).otherwise("").alias("warnings"))
@@ -301,10 +302,7 @@ def uncertain_targets(spark, sf_dir):
 @query(SOURCES + "SELECT id, row_number() OVER (ORDER BY s, seq) AS place FROM r WHERE n = 1", "SET-9")
 def related_ids(spark, sf_dir):
     """Keys of three sources, one after another, in the order first met."""
-    from pyspark.sql import Window
-
-    d = D.priority_sources(sources(spark, sf_dir), "id", "yes")
-    return d.select("id", F.row_number().over(Window.orderBy("order")).alias("place"))
+    return numbered(D.priority_sources(sources(spark, sf_dir), "id", "yes"), ["order"]).select("id", "place")
 
 
 @query("""

@@ -9,6 +9,8 @@ from quern.functions import text as T
 from quern.operators import matching as M
 from quern.operators import spans as P
 from quern.operators.lexical import best_bm25
+from quern.operators.lexical import bm25 as bm25_scores
+from quern.operators.order import written
 from quern.operators.validate import all_failing
 from quern.operators.vectors import top
 from quern.plans.catalog import query
@@ -48,19 +50,24 @@ def bm25_unseen(spark, sf_dir):
     return top(best.join(pooled, ["query_id", "doc_id"], "left_anti"), ["query_id"], 5, F.desc("score"), F.col("doc_id"))
 
 
-@query("""
-WITH c AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6))) AS concept FROM benchmark),
+@query(BM25 + """,
+c AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]+'), lambda x: length(x) >= 6))) AS concept FROM benchmark),
 m AS (SELECT item_id, doc_id, count(*) AS coverage FROM c JOIN documents ON contains(lower(text), concept) GROUP BY ALL HAVING count(*) >= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) AS place FROM m)
-SELECT item_id, doc_id, coverage, place FROM r WHERE place <= 3
+o AS (SELECT m.*, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, coalesce(score, 0) DESC, m.doc_id) AS place FROM m LEFT JOIN s ON s.query_id = item_id AND s.doc_id = m.doc_id)
+SELECT item_id, doc_id, coverage, place FROM o WHERE place <= 3
 """)
 def concept_coverage(spark, sf_dir):
-    """How many of an item's concepts a text contains, as part of longer words too: two or more, the best three texts."""
+    """How many of an item's concepts a text contains, as part of longer words too: two or more, the best three texts, ties by BM25, then id."""
     c = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 6))).alias("key"))
     found = M.match_terms(load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), c.select("key").distinct(), longest=False)
     d = found.select(F.col("id").alias("doc_id"), "key").distinct().join(F.broadcast(c), "key")  # a stated set of items, whose terms match_terms bounds
     covered = d.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("coverage")).where("coverage >= 2")
-    return covered.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id"))).where("place <= 3")
+    # only texts that could still be among the three are scored
+    close = covered.withColumn("_r", F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("coverage")))).where("_r <= 3").drop("_r")
+    close = written(close.withColumnRenamed("item_id", "query_id"), "covered")
+    scored = close.join(bm25_scores(*texts(spark, sf_dir), pairs=close), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "doc_id")
+    return scored.withColumn("place", F.row_number().over(order)).where("place <= 3").select(F.col("query_id").alias("item_id"), "doc_id", "coverage", "place")
 
 
 @query(f"""

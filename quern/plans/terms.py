@@ -10,6 +10,7 @@ from quern.operators import labels as L
 from quern.operators import sampling as S
 from quern.operators import terms as K
 from quern.operators import validate as V
+from quern.operators.order import numbered
 from quern.plans.catalog import query
 from quern.tables import load
 
@@ -222,7 +223,7 @@ def term_catalogue(spark, sf_dir):
     """Pages of terms as one catalogue: of rows that agree in all naming fields the first one read."""
     fields = ["p_name", "p_type", "p_brand"]
     d = load(spark, sf_dir, "part").groupBy(*fields).agg(F.min("p_partkey").alias("p_partkey"))
-    return d.select("p_partkey", "p_name", F.row_number().over(Window.orderBy(*fields)).alias("place"))
+    return numbered(d, fields).select("p_partkey", "p_name", "place")
 
 
 @query("""
