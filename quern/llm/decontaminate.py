@@ -134,10 +134,10 @@ def edits_of(size: int) -> int:
     return 0 if size < SHORT else int(RATE * size)
 
 
-def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark | None:
-    """Of (id, text); items without a word, null ones too, are left out."""
+def benchmark_of(rows: list[tuple[int | None, str]]) -> Benchmark | None:
+    """Of (id, text); items without a word are left out, those without an id are not."""
     hashes = word_hashes(pa.array([t or "" for _, t in rows], pa.string())) if rows else []
-    kept = [(i, w) for (i, _), w in zip(rows, hashes, strict=True) if i is not None and len(w)]
+    kept = [(i, w) for (i, _), w in zip(rows, hashes, strict=True) if len(w)]
     if not kept:
         return None
     sizes = np.array([len(w) for _, w in kept])
@@ -306,7 +306,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Each block of items is searched in one pass over the whole texts, without a shuffle. A row repeated in `docs` is reported
     again and a null id is passed on; rows without a leak, null or empty texts and items give nothing. Of items that share an
-    id each is searched. An empty table on either side gives an empty one.
+    id each is searched; one without an id is too, and reported with a null item_id. An empty table on either side gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

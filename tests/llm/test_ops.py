@@ -491,3 +491,13 @@ def test_lm_stores_all_seen_once(spark):
     for n, level in zip((2, 3), model.levels, strict=True):
         grams = {tuple(x[a : a + n]) for _, t in rows for x in [["^", *t.split(), "$"]] for a in range(len(x) - n + 1)}
         assert sum(len(lm.open_arrays(u)[0]["prob"]) for u in level.uris if u) == len(grams)
+
+
+def test_items_without_an_id(spark):
+    r = random.Random(11)
+    item = " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "something else altogether"), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (7, None), (None, "")], "item_id long, text string")
+    got = decontaminate.benchmark_leaks(docs, items).collect()
+    assert sorted((x.doc_id or 0, x.item_id, x.word_begin, x.word_end) for x in got) == [(0, None, 0, 30), (1, None, 1, 31)]
+    assert [x.doc_id for x in decontaminate.decontaminate(docs, items).collect()] == [2]
