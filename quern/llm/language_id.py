@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._common import docs_of, prepare, working
 
 #: Hashed n-gram features.
 BINS = 4096
-#: Labelled rows that the centroids are fitted on: about this many over all languages, and a language at most.
+#: Labelled rows that the centroids are fitted on: at most this many over all languages, and of a language.
 SAMPLE_ROWS, SAMPLE_A_LANGUAGE = 4000, 600
 #: Centroids a language, and rounds of their clustering.
 CENTROIDS, ROUNDS = 4, 12
@@ -120,18 +120,35 @@ def fit(counts: np.ndarray, labels: list[str]) -> LanguageModel:
     return model
 
 
+def share_below(wanted: int, of: int) -> int:
+    """The 62-bit hash below which about `wanted` of `of` rows lie, and surely not fewer where hashes are even: with eight deviations to spare."""
+    spare = wanted + 8 * int(wanted**0.5) + 32
+    return 2**62 if spare >= of else (2**62 * spare) // of
+
+
+def _drawn(rows: DataFrame, by: str, counts: dict, each: int, seed: int) -> DataFrame:
+    """Of each value of `by` with `counts` rows the `each` rows of the smallest hashes of the id, ties by the hash of the whole row.
+
+    Hashes first say which rows can be among them, so that about `each` rows of a value are sorted; each task keeps no more than
+    `each` of a value before rows travel, also where one id stands in a third of the rows.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 2)
+    near = F.lit(False)
+    for value, n in counts.items():
+        near = near | ((F.col(by) == F.lit(value)) & (h < F.lit(share_below(each, n))))
+    w = Window.partitionBy(by).orderBy("_h", "_tie")
+    d = rows.where(near).withColumn("_h", h).withColumn("_tie", F.xxhash64(*rows.columns))
+    return d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select(*rows.columns)
+
+
 def _sample(rows: DataFrame, by: str, most: int, most_each: int, seed: int) -> DataFrame:
-    """About `most` rows, evenly over the values of `by`, by a hash of the id. One count for each value comes to the driver."""
+    """At most `most` rows, evenly over the values of `by`, whatever the size of `rows`. One count for each value comes to the driver."""
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
-    each = min(most_each, most / max(1, len(counts)))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * min(1.0, each / n))))
-    return rows.where(keep)
+    return _drawn(rows, by, counts, max(1, min(most_each, most // max(1, len(counts)))), seed)
 
 
 def fit_language_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Fit on about SAMPLE_ROWS of the rows where `train` holds and the language is not null; None if no text has a letter.
+    """Fit on at most SAMPLE_ROWS of the rows where `train` holds and the language is not null; None if no text has a letter.
 
     Only gram counts of the sample (16 KB a text) come to the driver.
     """

@@ -165,10 +165,10 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, vectors: np.ndarray)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """Fit on about SAMPLE_ROWS labelled documents where `train_rows` holds (an expression of the labels' id column).
+    """Fit on at most SAMPLE_ROWS labelled documents where `train_rows` holds (an expression of the labels' id column).
 
     The sample takes both labels evenly and weighs them back to their true shares, so that probabilities stay calibrated. Its
-    ids, at most about SAMPLE_ROWS, are broadcast to the documents; sums of 3 MB for each of four tasks and pooled vectors
+    ids, at most SAMPLE_ROWS, are broadcast to the documents; sums of 3 MB for each of four tasks and pooled vectors
     come to the driver. A document with several labels has the least; null ids and labels are left out. None if one label or
     no document is found.
     """

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -107,6 +108,78 @@ def test_quality(spark, odd, empty, small):
     assert quality.score_quality(empty, model).count() == 0
 
 
+def test_sample_of_smallest_hashes(spark):
+    """The rows drawn are those a full sort would give first; a stated size of 1e10 rows still draws; one id in most rows draws no more."""
+    from pyspark.sql import functions as F
+
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 2)
+    rows = spark.range(30_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"))
+    for seen in (language_id._sample(rows, "label", 200, 90, 7), language_id._sample(rows, "label", 400, 1000, 7)):
+        each = 90 if seen.count() == 180 else 200
+        for label in "ab":
+            want = [r.doc_id for r in rows.where(F.col("label") == label).orderBy(h).limit(each).collect()]
+            assert {r.doc_id for r in seen.where(F.col("label") == label).collect()} == set(want) and len(want) == each
+    assert language_id._sample(rows, "label", 10**6, 10**6, 7).count() == 30_000
+    assert language_id._sample(rows.where("false"), "label", 200, 90, 7).count() == 0
+    many = spark.range(20_000_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("label"))
+    assert 2 <= language_id._drawn(many, "label", {"a": 10**10}, 5000, 7).count() <= 40
+    assert all(0 < language_id.share_below(k, n) * n // 2**62 - k < 12 * k**0.5 + 64 for k, n in ((600, 10**9), (4000, 10**10), (4000, 10**13)))
+    one = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("label"), F.col("id").cast("string").alias("text"))
+    low = spark.range(200).where(F.shiftrightunsigned(F.xxhash64(F.lit(None).cast("long"), F.col("id").cast("int")), 2) < language_id.share_below(300, 5000)).first().id
+    assert language_id._drawn(one, "label", {"a": 5000}, 300, low).count() == 300
+
+
+def plain_grams(text: str) -> dict[int, int]:
+    """Bins of a text's letters, pairs and triples, a letter at a time."""
+    cp, got, mask = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "], {}, 2**32 - 1
+    for k, here in enumerate(cp):
+        if here != 32:
+            here *= 0x85EBCA77
+            pair = cp[k - 1] * 0x9E3779B1 + here
+            for h in (pair + cp[k + 1] * 0xC2B2AE3D, pair ^ 0x5BD1E995, here ^ 0x27D4EB2F):
+                h &= mask
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D & mask
+                got[h >> 20] = got.get(h >> 20, 0) + 1
+    return got
+
+
+def test_language_scores_by_hand(spark, small):
+    """The query's prediction, score and distance of each text are those of the fitted model, worked out text by text."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit_language_model(docs, queries.fold(3) != 1)
+    got, text = by_id(queries.op2_language_id(spark, small)), {r.doc_id: r.text for r in docs.collect()}
+    for i, t in text.items():
+        v = np.zeros(language_id.BINS)
+        for b, n in plain_grams(t or "").items():
+            v[b] = np.log1p(n) * float(model.idf[b])
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cos = [float(v @ c) / np.linalg.norm(v) for c in model.centroids.astype(float)]
+        best = {k: max(c for c, o in zip(cos, model.owner, strict=True) if o == k) for k in set(model.owner.tolist())}
+        top = max(best, key=best.get)
+        assert got[i].lang_pred == model.langs[top]
+        assert abs(got[i].score - 1 / sum(np.exp(20 * (b - best[top])) for b in best.values())) < 1e-3
+        assert abs(got[i].distance - max(0.0, 1 - max(cos))) < 1e-4
+
+
+def test_quality_scores_by_hand(spark, small):
+    """The query's score of each text is that of the fitted network, a word and a hidden unit at a time."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit_quality(docs, labels, queries.fold(4) != 2)
+    got, rows = by_id(queries.op5_quality(spark, small)), docs.orderBy("doc_id").limit(60).collect()
+    for r in rows:
+        ((words, shapes, again),) = quality.codes_of(pa.array([r.text or ""], pa.string()))
+        n = max(len(words), 1)
+        mean = np.sum([m.vectors[w].astype(float) for w in words], 0) / n if len(words) else np.zeros(quality.DIM)
+        shape = np.sum([m.vectors[s].astype(float) for s in shapes], 0) / n if len(words) else np.zeros(quality.DIM)
+        x = [*mean, *shape, np.log1p(len(words)), sum(s == quality.REPEAT for s in shapes) / n, again]
+        z = [(a - b) / c for a, b, c in zip(x, m.mean, m.scale, strict=True)]
+        hidden = [max(0.0, float(np.dot(z, m.w1[:, j])) + m.b1[j]) for j in range(m.w1.shape[1])]
+        logit = (float(np.dot(hidden, m.w2)) + m.b2) / m.temperature
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-logit))) < 1e-3
+
+
 # ---- 3, 4 ----
 
 
