@@ -73,8 +73,9 @@ def clean_lines(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Paragraphs, each on one line, with an empty line between."""
-    parts = F.transform(F.split(_sub(text, r"\r\n?", "\n"), r"\n[ \t]*\n+"), one_line)
+    """Paragraphs, parted by empty lines, with one empty line between; blanks are one space and go around line feeds, which stay."""
+    lines = lambda x: _sub(_sub(_sub(x, r"[ \t\f\x0b]+", " "), r" *\n *", "\n"), rf"^{WIDE}+|{WIDE}+$", "")
+    parts = F.transform(F.split(_sub(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"\n{2,}"), lines)
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
 
 

@@ -172,10 +172,14 @@ def case_lists(spark, sf_dir):
     return g.select("o_custkey", T.case_list(F.concat("list", F.lit(", 77, 78"))).alias("cases"))
 
 
+#: What stands before each text, and what must be left of it.
+ROUGH, ROUGH_LEFT = " a \t b\r\n\u000bc \r\r \n\n\n d\n \ne\n\n", "a b\nc\n\nd\n\ne\n\n"
+
+
 @query(f"""
-WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n+') AS w FROM documents)),
-c AS (SELECT doc_id, i, {one_line_sql('t')} AS t FROM p), d AS (SELECT doc_id FROM documents)
-SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS summary FROM d LEFT JOIN c USING (doc_id) GROUP BY doc_id
-""", "STR-31")
+WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{{{{2,}}}}') AS w FROM documents)),
+c AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t\\f\\v]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^{WIDE}+|{WIDE}+$', '', 'g') AS t FROM p), d AS (SELECT doc_id FROM documents)
+SELECT doc_id, rtrim('{ROUGH_LEFT}' || coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), ''), chr(10)) AS summary FROM d LEFT JOIN c USING (doc_id) GROUP BY doc_id
+""".replace("{{2,}}", "{2,}"), "STR-31")
 def easy_summary(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("summary"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.concat(F.lit(ROUGH), F.coalesce("text", F.lit("")))).alias("summary"))
