@@ -67,6 +67,26 @@ def evenly_spaced(df: DataFrame, count: int, by: list[str], order: list[str]) ->
     return d.where(F.array_contains(wanted, F.col("_i").cast("long")) | (F.col("_n") <= count)).drop("_i", "_n")
 
 
+def most_senses_then_spaced(df: DataFrame, senses: str, total: int, length: str, key: str) -> DataFrame:
+    """`total` rows of two or more senses: those of three and more, most first, then shortest, then by key; for the rest of the
+    sample rows of two senses at places spaced evenly over (length, key).
+
+    Places are numbered in ranges. Too few rows of two senses fail the job.
+    """
+    order = [F.desc(senses), F.col(length), F.col(key)]
+    many = df.where(F.col(senses) >= 3).orderBy(*order).limit(total)
+    left = total - many.count()
+    if not left:
+        return many
+    two = df.where(F.col(senses) == 2)
+    n = two.count()
+    if n < left:
+        raise ValueError(f"{left} rows of two senses wanted, {n} there")
+    at = [n // 2] if left == 1 else [round(k * (n - 1) / (left - 1)) for k in range(left)]
+    spaced = numbered(two, [F.col(length), F.col(key)], "_i").where((F.col("_i") - 1).isin(at)).drop("_i")
+    return many.unionByName(spaced)
+
+
 def required_then_spaced(df: DataFrame, key: str, required: list, total: int, order: list[Column]) -> DataFrame:
     """`total` rows: the required keys that are there, then places spaced evenly over the order, then the first rows that are left.
 

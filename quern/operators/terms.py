@@ -81,6 +81,33 @@ def runs_of(tags: Column, words: Column, wanted: str, most: int = 4) -> Column:
     return F.when(F.size(words) > 0, found).otherwise(F.expr("cast(array() as array<struct<component:string,size:int>>)"))
 
 
+def components(terms: DataFrame, tags: Column, words: Column, whole: Column, wanted: str, most: int = 4, least: int = 2) -> DataFrame:
+    """(key, component, methods) of terms (key, ..): runs of wanted words of `least` characters and more that are not the whole key.
+
+    methods, in order: token for a run of one word, ngram for a longer one; a component may come about both ways.
+    """
+    d = terms.select("key", whole.alias("_whole"), F.explode(runs_of(tags, words, wanted, most)).alias("x"))
+    d = d.select("key", "_whole", "x.component", F.when(F.col("x.size") == 1, "token").otherwise("ngram").alias("method"))
+    d = d.where((F.length("component") >= least) & (F.col("component") != F.col("_whole")))
+    return d.groupBy("key", "component").agg(F.array_sort(F.collect_set("method")).alias("methods"))
+
+
+def user_selection(term: Column, included: Column, wanted: list[str], unwanted: list[str], common: list[str], named: Column) -> Column:
+    """A struct (decision, reason): what users ask for or refuse goes before everything, also before an earlier exclusion
+    (`included` not true); then common words and names of laws go, and all others stay. A term on both lists is wanted."""
+    rules = [
+        (term.isin(wanted), "selected", "user_selected"),
+        (term.isin(unwanted), "excluded", "user_excluded"),
+        (~F.coalesce(included, F.lit(False)), "excluded", "excluded_before"),
+        (term.isin(common), "excluded", "common_word"),
+        (F.coalesce(named, F.lit(False)), "excluded", "statute_name"),
+    ]
+    out = F
+    for rule, decision, reason in rules:
+        out = out.when(rule, F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason")))
+    return out.otherwise(F.struct(F.lit("selected").alias("decision"), F.lit("kept_in_doubt").alias("reason")))
+
+
 def cover(parents: DataFrame) -> DataFrame:
     """Of (parent, components: array) the components chosen to cover the parent: longest first, then leftmost, none overlapping.
 

@@ -151,7 +151,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from quern.plans import chunking, decisions, files, labels, matching, rankings, records, retrieval, review, sampling, statutes, stats, structure, summaries, targets, terms, text, trials  # noqa: F401
+    from quern.plans import chunking, decisions, files, labels, matching, rankings, readiness, records, relevance, retrieval, review, sampling, statutes, stats, structure, summaries, targets, terms, text, trials  # noqa: F401
 
 
 _load()

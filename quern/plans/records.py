@@ -75,12 +75,15 @@ def keyword_counts(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT p_name, count(DISTINCT p_type) AS senses, min(p_partkey) AS first FROM part GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY senses ORDER BY length(p_name), p_name) - 1 AS i, count(*) OVER (PARTITION BY senses) AS n FROM s)
-SELECT p_name, senses FROM o WHERE n <= 3 OR i IN (SELECT round_even(k * (n - 1) / 2, 0) FROM range(3) t(k))
-""")
+WITH s AS (SELECT p_name, count(DISTINCT p_type) AS senses, length(p_name) AS n FROM part GROUP BY 1),
+m AS (SELECT * FROM s WHERE senses >= 3 ORDER BY senses DESC, n, p_name LIMIT 30), k AS (SELECT 30 - count(*) AS spare FROM m),
+t AS (SELECT *, row_number() OVER (ORDER BY n, p_name) - 1 AS i, count(*) OVER () AS total FROM s WHERE senses = 2),
+w AS (SELECT DISTINCT CASE WHEN spare = 1 THEN total // 2 ELSE round_even(j * (total - 1) / (spare - 1), 0) END AS i FROM (SELECT unnest(range(spare)) AS j, spare FROM k WHERE spare > 0), (SELECT count(*) AS total FROM t))
+SELECT p_name, senses FROM m UNION ALL SELECT p_name, senses FROM t WHERE i IN (SELECT i FROM w)
+""", "SMP-9")
 def multi_sense_sample(spark, sf_dir):
     s = load(spark, sf_dir, "part").groupBy("p_name").agg(F.countDistinct("p_type").alias("senses"))
-    return S.evenly_spaced(s.withColumn("n", F.length("p_name")), 3, ["senses"], ["n", "p_name"]).select("p_name", "senses")
+    return S.most_senses_then_spaced(s.withColumn("n", F.length("p_name")), "senses", 30, "n", "p_name").select("p_name", "senses")
 
 
 @query("""

@@ -132,15 +132,29 @@ def match_patterns(spark, sf_dir):
 
 @query("""
 WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS w, list_transform(string_split(p_name || ' ' || lower(p_type), ' '), lambda x: CASE WHEN length(x) >= 4 THEN 'NN' ELSE 'JJ' END) AS t FROM part),
-s AS (SELECT p_partkey, w, t, unnest(range(1, len(w) + 1)) AS a FROM w), g AS (SELECT *, unnest(range(1, 5)) AS n FROM s)
-SELECT DISTINCT p_partkey, array_to_string(w[a:a + n - 1], '') AS component, CAST(n AS INTEGER) AS size FROM g
-WHERE a + n - 1 <= len(w) AND len(list_filter(t[a:a + n - 1], lambda x: x <> 'NN')) = 0 AND length(array_to_string(w[a:a + n - 1], '')) >= 2
+s AS (SELECT p_partkey, w, t, unnest(range(1, len(w) + 1)) AS a FROM w), g AS (SELECT *, unnest(range(1, 5)) AS n FROM s),
+c AS (SELECT p_partkey, array_to_string(w, '') AS whole, array_to_string(w[a:a + n - 1], '') AS component, n FROM g WHERE a + n - 1 <= len(w) AND len(list_filter(t[a:a + n - 1], lambda x: x <> 'NN')) = 0)
+SELECT p_partkey, component, CASE WHEN min(n) > 1 THEN 'ngram' WHEN max(n) = 1 THEN 'token' ELSE 'ngram,token' END AS methods FROM c WHERE length(component) >= 2 AND component <> whole GROUP BY p_partkey, component
 """, "MAT-7")
 def morpheme_ngrams(spark, sf_dir):
     words = F.split(F.concat_ws(" ", F.col("p_name"), F.lower("p_type")), " ")
     tags = F.transform(words, lambda w: F.when(F.length(w) >= 4, "NN").otherwise("JJ"))
-    d = load(spark, sf_dir, "part").select("p_partkey", F.explode(K.runs_of(tags, words, "^NN")).alias("x"))
-    return d.select("p_partkey", "x.component", "x.size").where("length(component) >= 2").distinct()
+    terms = load(spark, sf_dir, "part").withColumn("key", F.col("p_partkey"))
+    d = K.components(terms, tags, words, F.array_join(words, ""), "^NN")
+    return d.select(F.col("key").alias("p_partkey"), "component", F.array_join("methods", ",").alias("methods"))
+
+
+@query("""
+WITH w AS (SELECT lower(unnest(string_split(text, ' '))) AS term, item_id FROM benchmark), t AS (SELECT term, count(DISTINCT item_id) AS items FROM w WHERE term <> '' GROUP BY 1)
+SELECT term, CASE WHEN term IN ('the', 'licence') THEN 'selected' WHEN term IN ('water', 'und') THEN 'excluded' WHEN items < 2 THEN 'excluded' WHEN term IN ('of', 'and', 'de') THEN 'excluded' WHEN regexp_matches(term, '(act|law|ung)$') THEN 'excluded' ELSE 'selected' END AS decision,
+       CASE WHEN term IN ('the', 'licence') THEN 'user_selected' WHEN term IN ('water', 'und') THEN 'user_excluded' WHEN items < 2 THEN 'excluded_before' WHEN term IN ('of', 'and', 'de') THEN 'common_word' WHEN regexp_matches(term, '(act|law|ung)$') THEN 'statute_name' ELSE 'kept_in_doubt' END AS reason FROM t
+""", "MAT-12")
+def user_selection(spark, sf_dir):
+    """Words of the benchmark as terms; those of one item alone were excluded before."""
+    w = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("term")).select("item_id", F.lower("term").alias("term"))
+    t = w.where("term <> ''").groupBy("term").agg((F.countDistinct("item_id") >= 2).alias("included"))
+    got = K.user_selection(F.col("term"), F.col("included"), ["the", "licence"], ["water", "und"], ["of", "and", "de"], F.col("term").rlike("(act|law|ung)$"))
+    return t.select("term", got.alias("x")).select("term", "x.*")
 
 
 @query(None, "MAT-8")
