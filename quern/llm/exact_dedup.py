@@ -7,12 +7,52 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import by_group, prepare, work_table
 
+#: Rows of some 24 bytes that are sent to all tasks at most; more meet their texts by a shuffle.
+MOST_TOLD = 200_000
+
 
 def normalised(text: Column) -> Column:
     r"""Each `[\x20\x09-\x0D]+` as one space; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t-\r]{2,}|[\t-\r]", " ")
 
 
+def _shape(text: Column, prefix_chars: int) -> list[Column]:
+    """What the first pass takes of a normalised text: its length and a hash of its first characters."""
+    return [F.length(text).alias("n"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("ph")]
+
+
+def _partnered(keys: DataFrame, total: int) -> DataFrame:
+    """The rows of `keys` that share their length, and of these the ones that share length and prefix, with another."""
+    one = F.count(F.lit(1)).alias("c")
+    lengths = keys.groupBy("n").agg(one).where("c > 1")
+    prefixes = keys.groupBy("n", "ph").agg(one).where("c > 1")
+    prefixes = by_group(prefixes, lengths, ["n"], "c", total, "left_semi")
+    return by_group(keys, prefixes, ["n", "ph"], "c", total, "left_semi")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """A written table, to be sent to all tasks if it has MOST_TOLD rows at most."""
+    return F.broadcast(rows) if rows.count() <= MOST_TOLD else rows
+
+
+def _survivors(base: DataFrame, keys: DataFrame, total: int, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n0, ph0) of the rows that lengths and prefixes leave, and these rows with content and sha of their whole texts.
+
+    A row is found again by id, length and prefix, which do not need the text's end; rows that share all three are all read.
+    """
+    spark = base.sparkSession
+    some = work_table(spark, _partnered(keys, total).select(F.col("doc_id").alias("id"), F.col("n").alias("n0"), F.col("ph").alias("ph0")).distinct(), "exact-some")
+    met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("n0")) & (F.col("ph") == F.col("ph0"))
+    again = base.select("doc_id", "t", *_shape(F.col("t"), prefix_chars)).join(_told(some), met, "left_semi")
+    left = again.select("doc_id", "n", "ph", F.xxhash64("t").alias("content"), F.unhex(F.sha2(F.col("t"), 256)).alias("sha"))
+    return some, work_table(spark, left, "exact-left")
+
+
+def _same(left: DataFrame) -> DataFrame:
+    """Of rows with sha a row for each digest that occurs more than once: the smallest id and the number of rows."""
+    return left.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, and `content`, a 64-bit hash of the text.
 
@@ -20,8 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and a hash of the first `prefix_chars` characters; what still has a partner is compared by the SHA-256 of the whole text.
     All grouping is on narrow rows, aggregated before it is shuffled, and groups with a large share of the rows meet their
     rows in these rows' own tasks. With `digest_all` the digest, a result column, is made for each row in the only pass over
-    the content, and the refinement only narrows what is grouped by it; without, the content is read again for surviving
-    rows alone and text_sha256 is null elsewhere.
+    the content, and the refinement only narrows what is grouped by it; without, the first pass takes lengths and prefixes
+    alone, whole texts are hashed for surviving rows alone, and text_sha256 and content are null elsewhere.
 
     A null text counts as empty; empty texts equal each other. A null id is a row of its own in the group: it never becomes
     keep_id unless all ids of the group are null, and kept is then false. Rows that repeat an id are separate rows (both kept
@@ -29,37 +69,37 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    digest = F.unhex(F.sha2(F.col("t"), 256))
-    cols = ["doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("ph"), F.xxhash64("t").alias("content")]
-    keys = work_table(spark, base.select(*cols, *([digest.alias("sha")] if digest_all else [])), "exact-keys")
-
-    total, one = keys.count(), F.count(F.lit(1)).alias("c")
-    lengths = keys.groupBy("n").agg(one).where("c > 1")
-    prefixes = keys.groupBy("n", "ph").agg(one).where("c > 1")
-    prefixes = by_group(prefixes, lengths, ["n"], "c", total, "left_semi")
-    left = by_group(keys, prefixes, ["n", "ph"], "c", total, "left_semi")
-    if not digest_all:
-        # a surviving row is found again by its id and content, which rows that share both share with their verdict
-        some = left.select(F.col("doc_id").alias("id"), F.col("content").alias("own")).distinct()
-        met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("own"))
-        left = work_table(spark, base.withColumn("content", F.xxhash64("t")).join(some.hint("merge"), met, "left_semi").select("doc_id", "content", digest.alias("sha")), "exact-left")
-    groups = left.groupBy("sha").agg(F.min("doc_id").alias("keep"), one).where("c > 1")
+    whole = [F.xxhash64("t").alias("content"), F.unhex(F.sha2(F.col("t"), 256)).alias("sha")] if digest_all else []
+    keys = work_table(spark, base.select("doc_id", *_shape(F.col("t"), prefix_chars), *whole), "exact-keys")
+    total = keys.count()
     if digest_all:
-        out = by_group(keys.select("doc_id", "content", "sha"), groups, ["sha"], "c", total, "left")
+        out = by_group(keys.select("doc_id", "content", "sha"), _same(_partnered(keys, total)), ["sha"], "c", total, "left")
     else:
-        seen = by_group(left, groups, ["sha"], "c", total, "left")
-        rest = keys.join(some, met, "left_anti").select("doc_id", "content")
-        out = seen.unionByName(rest, allowMissingColumns=True)
+        some, left = _survivors(base, keys, total, prefix_chars)
+        done = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("n0")) & (F.col("ph") == F.col("ph0"))
+        rest = keys.join(some, done, "left_anti").select("doc_id")
+        out = by_group(left, _same(left), ["sha"], "c", total, "left").unionByName(rest, allowMissingColumns=True)
     keep = F.coalesce("keep", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "content")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """The rows of `docs`, all columns, without those whose text another row with a smaller id has.
 
-    Rows are told apart by id and content, so rows that share an id and no text are judged each by its own text; rows that
-    share both stay or go together. Null texts count as empty. Rows with a null id stay. An empty table gives an empty one.
+    Whole texts are hashed for rows alone whose length and prefix another row shares, and once more for those whose id, length
+    and prefix a dropped row has. Rows are told apart by id and content, so rows that share an id and no text are judged each
+    by its own text; rows that share both stay or go together. Null texts count as empty. Rows with a null id stay. An empty
+    table gives an empty one.
     """
-    gone = exact_dedup(docs, id_col, text_col, digest_all=False).where("not kept and doc_id is not null").select("doc_id", "content").distinct()
-    found = (docs[id_col] == gone["doc_id"]) & (F.xxhash64(normalised(docs[text_col])) == gone["content"])
-    return docs.join(gone.hint("merge"), found, "left_anti").select(*(docs[c] for c in docs.columns))
+    spark = prepare(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+    keys = work_table(spark, base.select("doc_id", *_shape(F.col("t"), prefix_chars)), "exact-keys")
+    total = keys.count()
+    _, left = _survivors(base, keys, total, prefix_chars)
+    judged = by_group(left, _same(left), ["sha"], "c", total, "left")
+    gone = work_table(spark, judged.where("doc_id <> keep").select("doc_id", "n", "ph", "content").distinct(), "exact-gone")
+    t = normalised(docs[text_col])
+    n, ph = _shape(t, prefix_chars)
+    alike = (docs[id_col] == gone["doc_id"]) & (n == gone["n"]) & (ph == gone["ph"])
+    same = F.xxhash64(t).bitwiseXOR(gone["content"]) == 0  # no join key, so that it is looked at where the rest meets only
+    return docs.join(_told(gone), alike & same, "left_anti").select(*(docs[c] for c in docs.columns))

@@ -70,6 +70,32 @@ def test_exact_dedup(spark, odd, empty):
     assert sorted((r.doc_id or 0, r.text or "") for r in drop_copies(twice).collect()) == [(0, "a b"), (1, "a  b"), (2, "unique text"), (3, "")]
 
 
+@pytest.mark.parametrize("told", [0, 10**6])
+def test_copies_read_again(spark, monkeypatch, told):
+    """Texts alike in length and first characters, ids and columns that clash, both ways of meeting survivors; against plain Python."""
+    from quern.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "MOST_TOLD", told)
+    chance = random.Random(5)
+    start = "x" * 70
+    rows = [(chance.choice([None, *range(40)]), chance.choice(["", None, "a", start + "one", start + "two", start + " \t one", start + " one", "y" * 73, f"alone {k}" * 9]), k, str(k), k % 3) for k in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int, content string, ph int").repartition(7)
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[norm(t)] = min(least.get(norm(t), i), i)
+    want = [r for r in rows if r[0] is None or r[0] == least[norm(r[1])]]
+    assert sorted(map(tuple, drop_copies(d).collect()), key=repr) == sorted(want, key=repr)
+    sizes = Counter(norm(t) for _, t, *_ in rows)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(d, digest_all=False).collect()), key=repr)
+    # a text that no row with an id shares has no row that stays
+    assert got == sorted(((i, least.get(norm(t), i), sizes[norm(t)], i is not None and i == least[norm(t)]) for i, t, *_ in rows), key=repr)
+    shared = {norm(t) for t, c in sizes.items() if c > 1}
+    read = [r for r in exact_dedup(d, digest_all=False).collect() if r.text_sha256]
+    assert sum(c for t, c in sizes.items() if t in shared) <= len(read) < len(rows)
+
+
 # ---- 2, 5 ----
 
 
