@@ -168,8 +168,8 @@ def sequence_patterns(events: DataFrame, longest: int = 4, gap_us: int = 300 * S
     spark = prepare(events.sparkSession)
     slot = lambda t: F.floor(t / span_us).cast("long")
     got = events.select("client", "t", "type").where("client is not null and t is not null and type is not null")
-    # ranges in order, no more tasks than there are tiles: each task repeats the sums by pattern
-    ranged = got.repartitionByRange("client", "t").coalesce(max(1, -(-got.count() // tile_events))).sortWithinPartitions("client", "t", "type")
+    # as many ranges as tiles, as each task repeats the sums by pattern; coalesce() would group ranges by where they lie, out of order
+    ranged = got.repartitionByRange(max(1, -(-got.count() // tile_events)), "client", "t").sortWithinPartitions("client", "t", "type")
     tiles = work_table(spark, ranged.mapInArrow(lambda it: cut_tiles(it, span_us, tile_events), _TILES), "tiles")
 
     # a tile of several clients ends its first one's timeline and begins its last one's; a tile of one is in the midst of a long one
