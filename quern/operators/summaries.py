@@ -32,22 +32,26 @@ def summary_check(payload: Column, expected_id: Column, case_number: Column, cou
     The id is the expected one, with a warning where the payload had another. An empty summary is an error and has no warnings.
     Warnings, in this order: id, opening, polite endings, too short, too long, beyond the recommended length, metadata named.
     """
-    parsed = F.try_parse_json(payload)
-    given = F.trim(F.coalesce(*(F.nullif(_field(parsed, f), F.lit("")) for f in ID_FIELDS), F.lit("")))
-    text = T.one_line(T.body_normalised(_field(parsed, SUMMARY_FIELD)))
-    n = F.length(text)
-    leaks = [(name, T.body_normalised(value)) for name, value in (("has_case_number", case_number), ("has_court", court), ("has_date", date))]
-    rules = [
-        ("id_corrected", given != expected_id),
-        ("banned_opening", F.startswith(text, F.lit(OPENING))),
-        ("polite_style", text.rlike("|".join(ENDINGS))),
-        ("too_short", n < LEAST),
-        ("too_long", n > MOST),
-        ("over_recommended", n > RECOMMENDED),
-        *((name, (value != "") & F.contains(text, value)) for name, value in leaks),
-    ]
-    empty = text == ""
-    return F.struct(expected_id.alias("precedent_id"), text.alias("summary"), n.alias("chars"), F.when(empty, "empty").alias("error"), F.when(empty, F.array().cast("array<string>")).otherwise(all_failing(rules)).alias("warnings"))
+    fields = T.once(F.try_parse_json(payload), lambda p: F.struct(*(_field(p, f).alias(f"f{k}") for k, f in enumerate((*ID_FIELDS, SUMMARY_FIELD)))))
+    given = T.once(fields, lambda f: F.trim(F.coalesce(*(F.nullif(f[f"f{k}"], F.lit("")) for k in range(len(ID_FIELDS))), F.lit(""))))
+    text = T.one_line(T.body_normalised(fields[f"f{len(ID_FIELDS)}"]))
+    leaks = {"has_case_number": case_number, "has_court": court, "has_date": date}
+
+    def checked(x: Column) -> Column:
+        text, n, empty = x["text"], F.length(x["text"]), x["text"] == ""
+        rules = [
+            ("id_corrected", x["given"] != x["expected"]),
+            ("banned_opening", F.startswith(text, F.lit(OPENING))),
+            ("polite_style", text.rlike("|".join(ENDINGS))),
+            ("too_short", n < LEAST),
+            ("too_long", n > MOST),
+            ("over_recommended", n > RECOMMENDED),
+            *((name, (x[name] != "") & F.contains(text, x[name])) for name in leaks),
+        ]
+        return F.struct(x["expected"].alias("precedent_id"), text.alias("summary"), n.alias("chars"), F.when(empty, "empty").alias("error"), F.when(empty, F.array().cast("array<string>")).otherwise(all_failing(rules)).alias("warnings"))
+
+    values = F.struct(expected_id.alias("expected"), given.alias("given"), text.alias("text"), *(T.body_normalised(v).alias(name) for name, v in leaks.items()))
+    return T.once(values, checked)
 
 
 def easy_summary_check(payload: Column, expected_id: Column) -> Column:
@@ -55,16 +59,20 @@ def easy_summary_check(payload: Column, expected_id: Column) -> Column:
 
     Errors: another id, empty, too long, unwanted opening, polite endings, explained terms that are no list. Too short is a warning.
     """
-    parsed = F.try_parse_json(payload)
-    text = T.paragraphs(_field(parsed, "easy_summary"))
-    n = F.length(text)
-    errors = [
-        F.when(F.coalesce(_field(parsed, "precedent_id"), F.lit("")) != expected_id, "precedent_id_mismatch"),
-        F.when(text == "", "empty_easy_summary"),
-        F.when(n > EASY_MOST, _with_length("too_long", text)),
-        F.when(F.startswith(text, F.lit(OPENING)), "starts_with_this_precedent"),
-        F.when(text.rlike("|".join(EASY_ENDINGS)), "formal_polite_style"),
-        F.when(_field(parsed, "explained_difficult_terms", "array<variant>").isNull(), "explained_difficult_terms_not_list"),
-    ]
-    short = F.when((text != "") & (n < EASY_LEAST), _with_length("review_too_short", text))
-    return F.struct(text.alias("summary"), F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(short)).alias("warnings"))
+    fields = T.once(F.try_parse_json(payload), lambda p: F.struct(_field(p, "easy_summary").alias("text"), _field(p, "precedent_id").alias("given"), _field(p, "explained_difficult_terms", "array<variant>").isNull().alias("no_list")))
+
+    def checked(x: Column) -> Column:
+        text, n = x["text"], F.length(x["text"])
+        errors = [
+            F.when(F.coalesce(x["given"], F.lit("")) != x["expected"], "precedent_id_mismatch"),
+            F.when(text == "", "empty_easy_summary"),
+            F.when(n > EASY_MOST, _with_length("too_long", text)),
+            F.when(F.startswith(text, F.lit(OPENING)), "starts_with_this_precedent"),
+            F.when(text.rlike("|".join(EASY_ENDINGS)), "formal_polite_style"),
+            F.when(x["no_list"], "explained_difficult_terms_not_list"),
+        ]
+        short = F.when((text != "") & (n < EASY_LEAST), _with_length("review_too_short", text))
+        return F.struct(text.alias("summary"), F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(short)).alias("warnings"))
+
+    values = T.once(fields, lambda f: F.struct(T.paragraphs(f["text"]).alias("text"), f["given"].alias("given"), f["no_list"].alias("no_list"), expected_id.alias("expected")))
+    return T.once(values, checked)

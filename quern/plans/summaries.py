@@ -16,7 +16,8 @@ def texts(spark, sf_dir) -> DataFrame:
     """(k, id, body) of each order: its text, unwanted openings and endings, a case number and blanks at times."""
     k = F.col("o_orderkey")
     body = F.concat(F.when(k % 7 == 0, "이 판례는 ").otherwise(""), F.repeat(F.lit(PHRASE), (k % 90 + 3).cast("int")), F.when(k % 11 == 0, F.concat(F.lit("2020다"), k, F.lit(" "))).otherwise(""), F.when(k % 5 == 0, "인정됩니다.").when(k % 5 == 1, "입니다.").otherwise("인정한다."))
-    return load(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 6 == 0, k + 1).otherwise(k).cast("string").alias("given"), F.when(k % 13 == 0, "").otherwise(body).alias("body"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey").repartition(4 * spark.sparkContext.defaultParallelism)  # one small file, much work a row
+    return orders.select(k.alias("k"), F.when(k % 6 == 0, k + 1).otherwise(k).cast("string").alias("given"), F.when(k % 13 == 0, "").otherwise(body).alias("body"))
 
 
 TEXTS = f"""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 6 = 0 AS other, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CASE WHEN o_orderkey % 7 = 0 THEN '이 판례는 ' ELSE '' END || repeat('{PHRASE}', (o_orderkey % 90 + 3)::INT)
