@@ -76,7 +76,7 @@ d AS (SELECT *, id IN (FROM k) OR name IN (FROM n) AS existing, list_filter(['7'
 SELECT id, existing, array_to_string(warnings, ',') AS warnings, row_number() OVER (ORDER BY existing, len(warnings) > 0, score DESC, name, id) AS place FROM d
 """, "W-18 SRC-11")
 def discovery_order(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.round("c_acctbal").cast("long").alias("score"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.rint("c_acctbal").cast("long").alias("score"))
     ids = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
     names = load(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
     return R.discovery_order(c, ids, names, ["7", "00009"]).select("id", "existing", F.array_join("warnings", ",").alias("warnings"), "place")
