@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one pass over the vectors takes; more queries are as many passes.
 BLOCK = 4096
+#: Distances that a task has at a time: vectors are taken in parts, so that its memory doesn't grow with the queries.
+CELLS = 500_000
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, low: int = 0, high: int | None = None, keep_self: bool = False) -> DataFrame:
@@ -22,7 +24,8 @@ def near(vectors: DataFrame, queries: DataFrame, k: int, low: int = 0, high: int
     """(query_id, id, distance): the k nearest of each query in each task's vectors, of which top() makes the k nearest of all.
 
     Both sides have columns id and vector. Queries come to the driver in blocks and go out with the tasks; each task keeps its
-    own k best of each query, so a row for each query, task and place is all that is shuffled. Dimensions low..high count.
+    own k best of each query, so a row for each query, task and place is all that is shuffled. A task holds CELLS distances and
+    its k best of a block's queries at a time. Dimensions low..high count.
     Rows without a vector are left out.
     """
     found = None
@@ -32,24 +35,41 @@ def near(vectors: DataFrame, queries: DataFrame, k: int, low: int = 0, high: int
         ids = np.array([r[0] for r in rows])
         q = np.array([r[1] for r in rows], np.float64)[:, low:high]
         q /= np.linalg.norm(q, axis=1, keepdims=True)
+        step = max(1, CELLS // len(ids))
 
         def run(batches) -> Iterator[pa.RecordBatch]:
-            best_id, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            bound, held, waiting = np.full(len(ids), np.inf), [], 0
+
+            def nearest(rows: list) -> tuple:
+                """The k nearest of each query among (place of the query, id, distance), in order."""
+                at, own, far = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.lexsort((own, far, at))
+                at, own, far = at[order], own[order], far[order]
+                begin = np.searchsorted(at, np.arange(len(ids)))
+                ok = np.arange(len(at)) - begin[at] < k
+                full = np.diff(np.r_[begin, len(at)]) >= k
+                bound[full] = far[begin[full] + k - 1]
+                return at[ok], own[ok], far[ok]
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)[:, low:high]
-                far = np.round(1 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6) + 0.0
-                if not keep_self:
-                    far[ids[:, None] == own[None, :]] = np.inf
-                all_id = np.concatenate([best_id, np.broadcast_to(own, far.shape)], 1)
-                far = np.concatenate([best, far], 1)
-                order = np.lexsort((all_id, far), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(all_id, order, 1), np.take_along_axis(far, order, 1)
-            ok = np.isfinite(best)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[ok]), pa.array(best_id[ok]), pa.array(best[ok])], names=["query_id", "id", "distance"])
+                for low_row in range(0, batch.num_rows, step):
+                    part = batch.slice(low_row, step)
+                    own = part.column(0).to_numpy()
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)[:, low:high]
+                    far = np.round(1 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6) + 0.0
+                    if not keep_self:
+                        far[ids[:, None] == own[None, :]] = np.inf
+                    # what is no nearer than k others that are known can be left out at once
+                    at, place = np.nonzero((far <= bound[:, None]) & np.isfinite(far))
+                    held.append((at, own[place], far[at, place]))
+                    waiting += len(at)
+                    if waiting >= CELLS:
+                        best, held, waiting = nearest([best, *held]), [], 0
+            at, own, far = nearest([best, *held])
+            for start in range(0, len(at), CELLS):
+                rows = slice(start, start + CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[rows]]), pa.array(own[rows]), pa.array(far[rows])], names=["query_id", "id", "distance"])
 
         return vectors.where("vector is not null").select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, distance double")
 
