@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FAULT = ("fault", "model", "query_id", "id")
@@ -40,12 +40,15 @@ def ranking_faults(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, mod
     return reduce(DataFrame.union, (_fault(d, name) for name, d in kinds.items()))
 
 
-def label_faults(labels: DataFrame, corpus: DataFrame, positive: int = 2) -> DataFrame:
-    """(fault, model: null, query_id, id) of labels (query_id, id, grade): repeated_label, unknown_label (the corpus lacks it), no_positive."""
+def label_faults(labels: DataFrame, corpus: DataFrame, positive: int = 2, grades: DataFrame | None = None) -> DataFrame:
+    """(fault, model: null, query_id, id) of labels (query_id, id, grade): repeated_label, unknown_label (the corpus lacks it), no_positive.
+
+    Where `grades` has every query's grades (query_id, grade), `labels` need only be those of ids that are repeated or unknown."""
+    grades = labels if grades is None else grades
     kinds = {
         "repeated_label": labels.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
         "unknown_label": labels.join(corpus.select("id").distinct(), "id", "left_anti"),
-        "no_positive": labels.groupBy("query_id").agg(F.max("grade").alias("g")).where(F.coalesce(F.col("g") < positive, F.lit(True))),
+        "no_positive": grades.groupBy("query_id").agg(F.max("grade").alias("g")).where(F.coalesce(F.col("g") < positive, F.lit(True))),
     }
     return reduce(DataFrame.union, (_fault(d, name) for name, d in kinds.items()))
 
@@ -66,21 +69,29 @@ def ranked_models(ranked: DataFrame) -> DataFrame:
     return counts.groupBy("model").agg(F.sum("q").alias("query_count"), F.array_sort(F.collect_set("n")).alias("result_counts"))
 
 
-def readiness(labels: DataFrame, ranked: DataFrame, blockers: DataFrame, positive: int = 2) -> DataFrame:
+def _rows(d: DataFrame) -> Column:
+    """How many rows each row stands for."""
+    return F.col("n") if "n" in d.columns else F.lit(1)
+
+
+def readiness(labels: DataFrame, ranked: DataFrame, blockers: DataFrame, positive: int = 2, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row on labels (query_id, id, grade of 0 to 3): questions, judgments, how many of each grade, positives, positives that
-    no ranking has, blockers (rows that are not settled), and whether final metrics may be published, which blockers forbid."""
-    seen = ranked.select("query_id", "id").distinct().withColumn("_seen", F.lit(True))
-    d = labels.join(seen, ["query_id", "id"], "left")
-    yes = F.col("grade") >= positive
+    no ranking has, blockers (rows that are not settled), and whether final metrics may be published, which blockers forbid.
+
+    Labels may be counted by a key of ids that `ranked` has too, as (query_id, key, grade, n), and blockers by any, with their n."""
+    seen = ranked.select(*dict.fromkeys(["query_id", "id", *key])).distinct().groupBy("query_id", *key).agg(F.count(F.lit(1)).alias("_seen"))
+    d = labels.withColumn("_n", _rows(labels).cast("long")).join(seen, ["query_id", *key], "left")
+    yes, n = F.col("grade") >= positive, F.col("_n")
+    of = lambda c, x=n: F.sum(F.when(c, x).otherwise(0))
     one = d.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("j"),
-        *(F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(4)),
-        F.count_if(yes).alias("p"),
-        F.count_if(yes & F.col("_seen").isNull()).alias("u"),
+        F.sum(n).alias("j"),
+        *(of(F.col("grade") == g).alias(f"g{g}") for g in range(4)),
+        of(yes).alias("p"),
+        of(yes, n - F.coalesce("_seen", F.lit(0))).alias("u"),
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     one = one.agg(F.count(F.lit(1)).alias("questions"), total("j").alias("judgments"), *(total(f"g{g}").alias(f"grade_{g}") for g in range(4)), total("p").alias("positives"), total("u").alias("positives_unranked"))
-    open_ = blockers.agg(F.count(F.lit(1)).alias("blockers"))
+    open_ = blockers.agg(F.coalesce(F.sum(_rows(blockers)), F.lit(0)).cast("long").alias("blockers"))
     return one.join(F.broadcast(open_)).withColumn("final_ready", F.col("blockers") == 0)  # a row each
 
 

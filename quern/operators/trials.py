@@ -116,21 +116,21 @@ def label_sensitivity(majority: DataFrame, independent: DataFrame, reviewed: Dat
     return d.where("sensitive or unchecked").drop("_seen")
 
 
-def policy_misses(grades: DataFrame, ranked: DataFrame, models: list[str], positive: int = 2) -> DataFrame:
+def policy_misses(grades: DataFrame, ranked: DataFrame, models: list[str], positive: int = 2, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """Of (policy, query_id, id, grade) and (model, query_id, id, rank up to 10) a row a policy, query and model: relevant,
     found in 5, shared_missing (no model has it), own_missing (another has it) and late (rank 6 to 10).
 
-    Ranks of all models meet a positive in one row, so positives are joined once, by query and id."""
-    per = ranked.where("rank <= 10").groupBy("query_id", "id").agg(*(F.min(F.when(F.col("model") == m, F.col("rank"))).alias(f"_r{k}") for k, m in enumerate(models)))
-    d = grades.where(F.col("grade") >= positive).select("policy", "query_id", "id").join(per, ["query_id", "id"], "left")
-    none = F.coalesce(*(F.col(f"_r{k}") for k in range(len(models)))).isNull()
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"_r{k}").alias("rank")) for k, m in enumerate(models))))
-    rows = d.select("policy", "query_id", none.alias("none"), each.alias("m")).select("policy", "query_id", "none", "m.*")
-    gone = F.col("rank").isNull()
-    return rows.groupBy("policy", "query_id", "model").agg(
-        F.count(F.lit(1)).alias("relevant"),
-        F.count_if(F.col("rank") <= 5).alias("found5"),
-        F.count_if("none").alias("shared_missing"),
-        F.count_if(gone & ~F.col("none")).alias("own_missing"),
-        F.count_if(F.col("rank") >= 6).alias("late"),
+    Grades may be counted by a key of ids that `ranked` has too, as (policy, query_id, key, grade, n). Ranks of all models meet
+    in one row, so that hits alone are joined with their grades; what no model has is the rest of what is relevant."""
+    per = ranked.where("rank <= 10").groupBy(*dict.fromkeys(["query_id", "id", *key])).agg(*(F.min(F.when(F.col("model") == m, F.col("rank"))).alias(f"_r{k}") for k, m in enumerate(models)))
+    good = grades.where(F.col("grade") >= positive)
+    n = F.sum("n") if "n" in grades.columns else F.count(F.lit(1))
+    relevant = good.groupBy("policy", "query_id").agg(n.alias("relevant"))
+    each = lambda name, of: [F.count_if(of(F.col(f"_r{k}"))).alias(f"_{name}{k}") for k in range(len(models))]
+    hits = good.select("policy", "query_id", *key).join(per, ["query_id", *key]).groupBy("policy", "query_id").agg(
+        F.count(F.lit(1)).alias("_any"), *each("found", lambda r: r <= 5), *each("own", lambda r: r.isNull()), *each("late", lambda r: r >= 6)
     )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), zero(f"_found{k}").alias("found5"), zero(f"_own{k}").alias("own_missing"), zero(f"_late{k}").alias("late")) for k, m in enumerate(models))))
+    d = relevant.join(hits, ["policy", "query_id"], "left").select("policy", "query_id", "relevant", (F.col("relevant") - zero("_any")).alias("shared_missing"), rows.alias("m"))
+    return d.select("policy", "query_id", "m.model", "relevant", "m.found5", "shared_missing", "m.own_missing", "m.late")

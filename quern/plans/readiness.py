@@ -10,7 +10,7 @@ from quern.operators import readiness as A
 from quern.operators.order import written
 from quern.plans.catalog import query
 from quern.plans.retrieval import MODELS, RANKS, rankings
-from quern.plans.trials import policies
+from quern.plans.trials import KIND, counted_policies, kinds, policies
 from quern.tables import load
 
 NAMES = [m for m, _, _ in MODELS]
@@ -59,10 +59,10 @@ SELECT count(DISTINCT query_id) AS questions, count(*) AS judgments, count(*) FI
 """, "AGG-26")
 def metrics_readiness(spark, sf_dir):
     """Independent labels; where they and the majority are on different sides of the threshold, publication is blocked."""
-    both = written(policies(spark, sf_dir), "policies")
-    own = both.where("policy = 'independent'").select("query_id", "id", "grade")
-    per = both.groupBy("query_id", "id").agg(F.min(F.col("grade") >= 2).alias("a"), F.max(F.col("grade") >= 2).alias("b"))
-    return A.readiness(own, rankings(spark, sf_dir), per.where("a <> b"))
+    both = written(counted_policies(spark, sf_dir), "policies")
+    per = both.groupBy("query_id", *KIND, "n").agg(F.min(F.col("grade") >= 2).alias("a"), F.max(F.col("grade") >= 2).alias("b"))
+    ranked = rankings(spark, sf_dir).join(kinds(spark, sf_dir), "id")
+    return A.readiness(both.where("policy = 'independent'"), ranked, per.where("a <> b"), key=tuple(KIND))
 
 
 @query(LABELS + """
@@ -70,9 +70,12 @@ SELECT 'unknown_label' AS fault, query_id::VARCHAR AS query_id, id::VARCHAR AS i
 UNION ALL SELECT 'no_positive', query_id::VARCHAR, NULL FROM l GROUP BY query_id HAVING max(i) < 2
 """, "AGG-26")
 def label_faults(spark, sf_dir):
-    own = written(policies(spark, sf_dir).where("policy = 'independent'").select("query_id", "id", "grade"), "labels")
+    """Labels are paired with their queries where they may be faulty: ids that are repeated or that the corpus lacks."""
     corpus = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"))
-    return A.label_faults(own, corpus).drop("model")
+    ids = kinds(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(corpus.distinct().withColumn("known", F.lit(True)), "id", "left")
+    own = written(policies(spark, sf_dir, ids.where("n > 1 or known is null")).where("policy = 'independent'").select("query_id", "id", "grade"), "labels")
+    grades = counted_policies(spark, sf_dir).where("policy = 'independent'").select("query_id", "grade")
+    return A.label_faults(own, corpus, grades=grades).drop("model")
 
 
 @query(RANKS + """
