@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -31,9 +32,19 @@ def lines_normalised(text: Column) -> Column:
     return nullable(_sub(t, r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf(StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: Texts that a vectorised function has as Python strings at a time; the rest of a batch stays in Arrow's buffers.
+PART = 128
+
+
+def by_parts(texts: pa.Array, f: Callable[[str | None], object], kind: pa.DataType) -> pa.Array:
+    """`f` of each text of a batch, a part of it at a time, so that long texts and what is made of them never stand twice in memory."""
+    parts = [pa.array([f(t) for t in texts.slice(at, PART).to_pylist()], kind) for at in range(0, len(texts), PART)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def _unescaped(text: pa.Array) -> pa.Array:
+    return by_parts(text, lambda t: t if t is None else html.unescape(t), pa.string())
 
 
 def entities(text: Column) -> Column:

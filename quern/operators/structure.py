@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.text import by_parts
+
 
 def heading_path(df: DataFrame, by: list[str], order: str, level: Column, label: Column, depth: int) -> DataFrame:
     """Adds path: the labels of the last heading of each level that no heading above it has ended since."""
@@ -122,14 +123,14 @@ def without_signatures(text: str) -> tuple[str, bool]:
     return (text, False) if not found or len(kept) < len(text) * MUST_REMAIN else (kept, True)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def packed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: pack(t or ""))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def packed(text: pa.Array) -> pa.Array:
+    return by_parts(text, lambda t: pack(t or ""), pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
-def signatures_cut(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([without_signatures(t or "") for t in text], columns=["text", "cut"])
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
+def signatures_cut(text: pa.Array) -> pa.Array:
+    return by_parts(text, lambda t: dict(zip(("text", "cut"), without_signatures(t or ""), strict=True)), pa.struct([("text", pa.string()), ("cut", pa.bool_())]))
 
 
 def case_chunks(cases: DataFrame, key: str, split: list[tuple[str, str, str]], whole: list[tuple[str, str, str]]) -> DataFrame:
