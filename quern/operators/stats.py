@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import _hashlib
+import ctypes
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from quern.sources.files import scratch
 
 
 def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -81,16 +87,52 @@ def ordered_hash(df: DataFrame, by: list[str], order: list[str], row: Column) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "\n"), 256).alias("digest"))
 
 
+class _Sha256(ctypes.Structure):
+    """OpenSSL's SHA256_CTX, which holds no pointers: its bytes are a digest's state, to be taken up elsewhere."""
+
+    _fields_ = [("h", ctypes.c_uint32 * 8), ("n", ctypes.c_uint32 * 2), ("data", ctypes.c_uint32 * 16), ("num", ctypes.c_uint), ("length", ctypes.c_uint)]
+
+
+def _openssl() -> ctypes.CDLL:
+    """The library behind hashlib."""
+    lib = ctypes.CDLL(_hashlib.__file__)
+    lib.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+    lib.SHA256_Final.argtypes = [ctypes.c_char_p, ctypes.c_void_p]
+    return lib
+
+
+def _go_on(batches: Iterator[pa.RecordBatch], state: bytes, first: bool) -> Iterator[pa.RecordBatch]:
+    """The digest's state after a range of texts, and how many they are."""
+    lib, at, n = _openssl(), _Sha256.from_buffer_copy(state), 0
+    for batch in batches:
+        for t in batch.column(0):
+            text = (b"" if first and not n else b"\n") + t.as_py().encode()
+            lib.SHA256_Update(ctypes.byref(at), text, len(text))
+            n += 1
+    yield pa.RecordBatch.from_pydict({"state": [bytes(at)], "n": [n]})
+
+
 def corpus_digest(df: DataFrame, order: list[str], row: Column) -> tuple[int, str]:
-    """(rows, SHA-256) of all rows' text in order, a line feed between: rows stream through the driver, which holds one block of them.
+    """(rows, SHA-256) of all rows' text in order, a line feed between.
 
-    A digest over all rows in one order cannot be put together from parts; the sort is distributed, the hashing is not.
+    A digest over all rows in one order cannot be put together from parts, but it can be taken up: rows are put into ranges, each
+    range is hashed by a task of its own from where the one before ended, and the driver hands on a state of 112 bytes. So ranges
+    are hashed one after the other, and no task or driver has more than one.
     """
-    digest, n = hashlib.sha256(), 0
-    for r in df.orderBy(*order).select(row.alias("t")).toLocalIterator():
-        digest.update((b"\n" if n else b"") + r["t"].encode())
-        n += 1
-    return n, digest.hexdigest()
+    path = scratch(df.sparkSession, "ranges")
+    ranged = df.select(*order, row.alias("_text")).repartitionByRange(*order)
+    ranged.withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+    d = df.sparkSession.read.schema(StructType([*ranged.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    lib, at, n = _openssl(), _Sha256(), 0
+    lib.SHA256_Init(ctypes.byref(at))
+    for part in sorted(r[0] for r in d.select("_part").distinct().collect()):
+        state, first = bytes(at), n == 0
+        one = d.where(F.col("_part") == part).coalesce(1).sortWithinPartitions(*order).select("_text")
+        got = one.mapInArrow(lambda it, state=state, first=first: _go_on(it, state, first), "state binary, n long").first()
+        at, n = _Sha256.from_buffer_copy(bytes(got.state)), n + got.n
+    out = ctypes.create_string_buffer(32)
+    lib.SHA256_Final(out, ctypes.byref(at))
+    return n, out.raw.hex()
 
 
 def batches(sizes: Column, most_items: int, most_total: int) -> Column:
