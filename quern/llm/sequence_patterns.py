@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import prepare, work_table
+from quern.llm._common import drop_table, prepare, work_table
 
 #: Events of a tile at most; a tile is what a task holds at once, beside its halo.
 TILE_EVENTS = 200_000
 SECOND = 1_000_000
 
+_RUNS = "range long, begin long, n long, clients binary, times binary, types binary, names array<string>"
 _TILES = "tile long, client_from long, t_from long, client_to long, t_to long, clients binary, times binary, types binary, names array<string>, near_t array<long>, near_type array<string>"
 _FOUND = "types array<string>, client long, support long, crc long"
 
@@ -40,17 +41,15 @@ def click_events(clicks: DataFrame) -> DataFrame:
     return got.select(F.col("client_id").cast("long").alias("client"), F.explode(F.when(marked, three).otherwise(F.array(own))).alias("e")).select("client", "e.t", "e.type")
 
 
-def cut_tiles(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa.RecordBatch]:
-    """A row for each run of `most` events in order, and which of them a tile before may need: its first client's, or where it has no other, those within `span` of its start."""
-    schema = pa.schema([("tile", pa.int64()), ("client_from", pa.int64()), ("t_from", pa.int64()), ("client_to", pa.int64()), ("t_to", pa.int64()), ("clients", pa.binary()), ("times", pa.binary()), ("types", pa.binary()), ("names", pa.list_(pa.string())), ("near_t", pa.list_(pa.int64())), ("near_type", pa.list_(pa.string()))])
-    part, made, held = TaskContext.get().partitionId(), 0, []
+def cut_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of up to `most` events in order, with how many of its range lie before it."""
+    schema = pa.schema([("range", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("clients", pa.binary()), ("times", pa.binary()), ("types", pa.binary()), ("names", pa.list_(pa.string()))])
+    part, begin, held = TaskContext.get().partitionId(), 0, []
 
-    def tile(rows: pa.Table) -> pa.RecordBatch:
-        client, t = (rows.column(c).to_numpy() for c in ("client", "t"))
+    def run(rows: pa.Table) -> pa.RecordBatch:
         coded = rows.column("type").combine_chunks().dictionary_encode()
-        codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.to_pylist()
-        near = int(np.searchsorted(client, client[0], "right") if client[0] != client[-1] else np.searchsorted(t, t[0] + span, "right"))
-        one = {"tile": (part << 32) + made, "client_from": client[0], "t_from": t[0], "client_to": client[-1], "t_to": t[-1], "clients": client.tobytes(), "times": t.tobytes(), "types": codes.tobytes(), "names": names, "near_t": t[:near], "near_type": [names[k] for k in codes[:near]]}
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        one = {"range": part, "begin": begin, "n": rows.num_rows, "clients": rows.column("client").to_numpy().tobytes(), "times": rows.column("t").to_numpy().tobytes(), "types": codes.tobytes(), "names": coded.dictionary.to_pylist()}
         return pa.RecordBatch.from_pylist([one], schema)
 
     for batch in batches:
@@ -59,12 +58,37 @@ def cut_tiles(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterat
             continue
         rows, at = pa.Table.from_batches(held), 0
         while rows.num_rows - at >= most:
-            yield tile(rows.slice(at, most))
-            made, at = made + 1, at + most
+            yield run(rows.slice(at, most))
+            begin, at = begin + most, at + most
         held = rows.slice(at).to_batches()
     rows = pa.Table.from_batches(held) if held else None
     if rows is not None and rows.num_rows:
-        yield tile(rows)
+        yield run(rows)
+
+
+def join_runs(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """A row for each tile from its parts of runs in order, and which of its events a tile before may need: its first client's, or where it has no other, those within `span` of its start."""
+    schema = pa.schema([("tile", pa.int64()), ("client_from", pa.int64()), ("t_from", pa.int64()), ("client_to", pa.int64()), ("t_to", pa.int64()), ("clients", pa.binary()), ("times", pa.binary()), ("types", pa.binary()), ("names", pa.list_(pa.string())), ("near_t", pa.list_(pa.int64())), ("near_type", pa.list_(pa.string()))])
+
+    def tile(rows: list[dict]) -> pa.RecordBatch:
+        client, t = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("clients", "times"))
+        known: dict[str, int] = {}
+        codes = np.concatenate([np.array([known.setdefault(x, len(known)) for x in r["names"]], np.int32)[np.frombuffer(r["types"], np.int32)] for r in rows])
+        names = list(known)
+        near = int(np.searchsorted(client, client[0], "right") if client[0] != client[-1] else np.searchsorted(t, t[0] + span, "right"))
+        one = {"tile": rows[0]["tile"], "client_from": client[0], "t_from": t[0], "client_to": client[-1], "t_to": t[-1], "clients": client.tobytes(), "times": t.tobytes(), "types": codes.tobytes(), "names": names, "near_t": t[:near], "near_type": [names[k] for k in codes[:near]]}
+        return pa.RecordBatch.from_pylist([one], schema)
+
+    held: list[dict] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if held and held[0]["tile"] != row["tile"]:
+                yield tile(held)
+                held = []
+            held.append(row)
+    if held:
+        yield tile(held)
 
 
 def enumerate_tile(client: np.ndarray, t: np.ndarray, code: np.ndarray, own: int, longest: int, gap: int, span: int) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
@@ -156,8 +180,8 @@ def sequence_patterns(events: DataFrame, longest: int = 4, gap_us: int = 300 * S
     after the one before by more than 0 and at most `gap_us`, the last at most `span_us` after the first. Kept are patterns of
     `min_clients` clients at least and `min_percent` percent of the clients that have events.
 
-    Spark ranges the events by client and time, so that a long timeline is cut into as many tiles as it has runs of
-    `tile_events` events, wherever these lie; a short one that lies on a border goes whole to the tile where it begins. A cut
+    Spark ranges the events by client and time and numbers them in that order; each `tile_events` of them are a tile, so that a
+    long timeline is cut into as many tiles as it fills, wherever these lie; a short one that lies on a border goes whole to the tile where it begins. A cut
     one's tile has as its halo what follows its last event within the span, be it in the next tile or in several; tiles meet
     their halos by client and time slot. Each task enumerates the occurrences that start in a tile. Clients whole in one tile
     are summed there; those of cut timelines become distinct (client, pattern) rows first. Nothing but sums by pattern is gathered. Work grows with the patterns that occur, so types should be a vocabulary.
@@ -168,9 +192,19 @@ def sequence_patterns(events: DataFrame, longest: int = 4, gap_us: int = 300 * S
     spark = prepare(events.sparkSession)
     slot = lambda t: F.floor(t / span_us).cast("long")
     got = events.select("client", "t", "type").where("client is not null and t is not null and type is not null")
-    # as many ranges as tiles, as each task repeats the sums by pattern; coalesce() would group ranges by where they lie, out of order
-    ranged = got.repartitionByRange(max(1, -(-got.count() // tile_events)), "client", "t").sortWithinPartitions("client", "t", "type")
-    tiles = work_table(spark, ranged.mapInArrow(lambda it: cut_tiles(it, span_us, tile_events), _TILES), "tiles")
+    count = max(1, -(-got.count() // tile_events))
+    ranged = got.repartitionByRange(count, "client", "t").sortWithinPartitions("client", "t", "type")
+    runs = work_table(spark, ranged.mapInArrow(lambda it: cut_runs(it, tile_events), _RUNS), "runs")
+
+    # tiles are cut by place in the order of all events, as each repeats the sums by pattern: however many ranges there are, tiles are full
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = runs.groupBy("range").agg(F.sum("n").alias("n")).select("range", before.alias("offset"))  # a row a range
+    placed = runs.join(F.broadcast(offsets), "range").withColumn("begin", F.col("begin") + F.col("offset"))
+    parts = placed.withColumn("tile", F.explode(F.expr(f"sequence(begin div {tile_events}, (begin + n - 1) div {tile_events})")))
+    parts = parts.withColumns({"a": F.expr(f"int(greatest(tile * {tile_events} - begin, 0))"), "b": F.expr(f"int(least((tile + 1) * {tile_events} - begin, n))")})
+    parts = parts.select("tile", "begin", *(F.expr(f"substring({c}, {w} * a + 1, {w} * (b - a))").alias(c) for c, w in (("clients", 8), ("times", 8), ("types", 4))), "names")
+    tiles = work_table(spark, parts.repartition(count, "tile").sortWithinPartitions("tile", "begin").mapInArrow(lambda it: join_runs(it, span_us), _TILES), "tiles")
+    drop_table(spark, runs)
 
     # a tile of several clients ends its first one's timeline and begins its last one's; a tile of one is in the midst of a long one
     single = F.col("client_from") == F.col("client_to")
