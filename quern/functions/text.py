@@ -8,9 +8,10 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 BLANK = r"[ \t]"
 #: White space in Unicode's sense.
@@ -73,11 +74,53 @@ def chunk_normalised(text: Column) -> Column:
     return _sub(_sub(_sub(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"), rf"^{WIDE}+|{WIDE}+$", "")
 
 
+_BREAKS, _TAGS = r"<(?:[bB][rR][ \t-\r]*/?|/[pP][ \t-\r]*)>", r"<[^>]+>"
+
+
+def _read(markup: pa.Array) -> pa.Array:
+    """Breaks and paragraph ends as line feeds, other tags as spaces, references read; null is empty."""
+    t = pc.replace_substring_regex(pc.replace_substring_regex(pc.fill_null(markup, ""), _BREAKS, "\n"), _TAGS, " ")
+    plain = pc.replace_substring(t, "&nbsp;", "\u00a0")  # by far the commonest; where no other is left, this is all that unescape() does
+    more = pc.match_substring_regex(plain, "&")
+    return pc.replace_with_mask(plain, more, pa.array(map(html.unescape, t.filter(more).to_pylist()), pa.string())) if pc.any(more).as_py() else plain
+
+
+def _body(markup: pa.Array) -> pa.Array:
+    t = pc.replace_substring_regex(pc.replace_substring(_read(markup), "\u00a0", " "), r"[ \t\r\f\x0b]+", " ")
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(t, r"\n{3,}", "\n\n"))
+
+
+def _line(markup: pa.Array) -> pa.Array:
+    t = _read(pc.replace_substring(markup, "<br/>", "\x1c"))  # the commonest break, as white space that no other break can have
+    return pc.binary_join(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(t)), " ")
+
+
+def _in_parts(texts: pa.Array, f: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """by_parts() for a function of arrays of texts."""
+    return pa.concat_arrays([f(texts.slice(at, PART)) for at in range(0, len(texts), PART)] or [texts])
+
+
+@F.arrow_udf(StringType())
+def _bodies(markup: pa.Array) -> pa.Array:
+    return _in_parts(markup, _body)
+
+
 def body_normalised(text: Column) -> Column:
     """Markup as text for reading: as chunk_normalised(), but nothing written out is meant, a no-break space is a space, and spaces stay around line feeds."""
-    t = _sub(F.coalesce(text, F.lit("")), r"(?i)<br[ \t-\r]*/?>|</p[ \t-\r]*>", "\n")
-    t = F.replace(entities(_sub(t, r"<[^>]+>", " ")), F.lit("\u00a0"), F.lit(" "))
-    return _sub(_sub(_sub(t, r"[ \t\r\f\x0b]+", " "), r"\n{3,}", "\n\n"), rf"^{WIDE}+|{WIDE}+$", "")
+    return _bodies(text)
+
+
+@F.arrow_udf(StructType([StructField("line", StringType()), StructField("beside", StringType())]))
+def _lines(markup: pa.Array, beside: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([_in_parts(markup, _line), beside.cast(pa.string())], ["line", "beside"])
+
+
+def body_line(text: Column, beside: Column) -> Column:
+    """Struct (line, beside): one_line(body_normalised(text)) in the same pass of Python, as white space ends as one space in any case.
+
+    `beside` comes back as it is: what has the text's source is made together with the text then, and not once more after Python.
+    """
+    return _lines(text, beside)
 
 
 def one_line(text: Column) -> Column:

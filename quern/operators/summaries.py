@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,26 +35,22 @@ def summary_check(payload: Column, expected_id: Column, case_number: Column, cou
     The id is the expected one, with a warning where the payload had another. An empty summary is an error and has no warnings.
     Warnings, in this order: id, opening, polite endings, too short, too long, beyond the recommended length, metadata named.
     """
-    fields = T.once(F.try_parse_json(payload), lambda p: F.struct(*(_field(p, f).alias(f"f{k}") for k, f in enumerate((*ID_FIELDS, SUMMARY_FIELD)))))
-    given = T.once(fields, lambda f: F.trim(F.coalesce(*(F.nullif(f[f"f{k}"], F.lit("")) for k in range(len(ID_FIELDS))), F.lit(""))))
-    text = T.one_line(T.body_normalised(fields[f"f{len(ID_FIELDS)}"]))
+    parsed = F.try_parse_json(payload)
+    ids = (_field(parsed, name) for name in ID_FIELDS)
+    got = T.body_line(_field(parsed, SUMMARY_FIELD), F.trim(F.coalesce(*(F.when(i != "", i) for i in ids), F.lit(""))))
+    text, n = got["line"], F.length(got["line"])
+    empty = text == ""
     leaks = {"has_case_number": case_number, "has_court": court, "has_date": date}
-
-    def checked(x: Column) -> Column:
-        text, n, empty = x["text"], F.length(x["text"]), x["text"] == ""
-        rules = [
-            ("id_corrected", x["given"] != x["expected"]),
-            ("banned_opening", F.startswith(text, F.lit(OPENING))),
-            ("polite_style", text.rlike("|".join(ENDINGS))),
-            ("too_short", n < LEAST),
-            ("too_long", n > MOST),
-            ("over_recommended", n > RECOMMENDED),
-            *((name, (x[name] != "") & F.contains(text, x[name])) for name in leaks),
-        ]
-        return F.struct(x["expected"].alias("precedent_id"), text.alias("summary"), n.alias("chars"), F.when(empty, "empty").alias("error"), F.when(empty, F.array().cast("array<string>")).otherwise(all_failing(rules)).alias("warnings"))
-
-    values = F.struct(expected_id.alias("expected"), given.alias("given"), text.alias("text"), *(T.body_normalised(v).alias(name) for name, v in leaks.items()))
-    return T.once(values, checked)
+    rules = [
+        ("id_corrected", got["beside"] != expected_id),
+        ("banned_opening", F.startswith(text, F.lit(OPENING))),
+        ("polite_style", reduce(or_, (F.contains(text, F.lit(e)) for e in ENDINGS))),
+        ("too_short", n < LEAST),
+        ("too_long", n > MOST),
+        ("over_recommended", n > RECOMMENDED),
+        *((name, (x != "") & F.contains(text, x)) for name, x in ((name, T.body_normalised(v)) for name, v in leaks.items())),
+    ]
+    return F.struct(expected_id.alias("precedent_id"), text.alias("summary"), n.alias("chars"), F.when(empty, "empty").alias("error"), F.when(empty, F.array().cast("array<string>")).otherwise(all_failing(rules)).alias("warnings"))
 
 
 def easy_summary_check(payload: Column, expected_id: Column) -> Column:
