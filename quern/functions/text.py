@@ -20,17 +20,27 @@ WIDE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 _sub = F.regexp_replace
 
 
+def trimmed(text: Column) -> Column:
+    """Trimmed of blanks and line feeds."""
+    return _sub(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
 def nullable(text: Column) -> Column:
     """Trimmed of blanks and line feeds; empty as null."""
-    return F.nullif(_sub(text, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), F.lit(""))
+    return F.nullif(trimmed(text), F.lit(""))
 
 
-def lines_normalised(text: Column) -> Column:
-    """Images and tags dropped, blanks as one space, trimmed around line feeds, at most one empty line; empty as null."""
+def lines(text: Column) -> Column:
+    """Images and tags dropped, blanks as one space, trimmed around line feeds, at most one empty line."""
     t = _sub(text, r"\r\n?", "\n")
     t = _sub(_sub(t, r"(?is)<img\b[^>]*>.*?</img>", ""), r"(?i)</?img\b[^>]*>", "")
     t = _sub(_sub(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return nullable(_sub(t, r"\n{3,}", "\n\n"))
+    return trimmed(_sub(t, r"\n{3,}", "\n\n"))
+
+
+def lines_normalised(text: Column) -> Column:
+    """lines(); empty as null."""
+    return F.nullif(lines(text), F.lit(""))
 
 
 #: Texts that a vectorised function has as Python strings at a time; the rest of a batch stays in Arrow's buffers.
