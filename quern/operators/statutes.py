@@ -126,15 +126,16 @@ def articles_of(laws: DataFrame) -> DataFrame:
 _WIDE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def article_chunks(articles: DataFrame, groups: DataFrame) -> DataFrame:
-    """The chunks of articles (articles_of()); `groups` (node_id, groups) has those that are to be split.
+def article_chunks(articles: DataFrame, groups: DataFrame | Column) -> DataFrame:
+    """The chunks of articles (articles_of()); `groups` (node_id, groups) has those that are to be split, or is a column of the articles, null for the others.
 
     chunk_type: article, or article_part for each group of paragraphs, the article's own text in part 1 only; then, for parent-child
     retrieval, article_parent with paragraph_child rows, or one article_child of an article whose paragraphs have no text. An article
     without any text has one excluded row. Groups that are not the article's paragraphs, each once, fail the job.
     """
     own, said = F.col("node_id"), F.btrim("title", F.lit(_WIDE))
-    d = articles.join(groups, "node_id", "left").withColumn("name", F.when(said != "", F.concat("label", F.lit("("), said, F.lit(")"))).otherwise(F.col("label")))
+    d = articles.withColumn("groups", groups) if isinstance(groups, Column) else articles.join(groups, "node_id", "left")
+    d = d.withColumn("name", F.when(said != "", F.concat("label", F.lit("("), said, F.lit(")"))).otherwise(F.col("label")))
     body = F.btrim(F.when(F.startswith("text", F.col("name")), F.substring("text", F.length("name") + 1, F.length("text"))).otherwise(F.col("text")), F.lit(_WIDE))
     headed = F.when(F.size("headings") > 0, F.concat(F.lit("구조: "), F.array_join("headings", " > ")))
     placed = F.array_sort(F.transform("paragraphs", lambda p, i: F.struct(p["ord"].alias("ord"), i.alias("i"), p.alias("p"))))
